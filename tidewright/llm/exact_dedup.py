@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidewright.llm._common import materialize
 
 RUN = "digest binary, keep_id bigint, n_keep bigint, group_size bigint, dest int"
+RUN_SCHEMA = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("group_size", pa.int64())])
 #: Groups with more than this share of the rows are joined by broadcast: there are at most 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 0.001
 
@@ -61,7 +62,7 @@ def _merge(level: int, rounds: int, fan_in: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).select(["digest", "keep_id", "n_keep", "group_size"])
+            table = pa.Table.from_batches([batch]).select(RUN_SCHEMA.names).cast(RUN_SCHEMA)
             table = combined(pa.concat_tables([carry, table]) if carry is not None else table)
             carry = table.slice(table.num_rows - 1)
             if table.num_rows > 1:
