@@ -15,6 +15,7 @@ from tidewright.llm.near_dedup import near_duplicates
 from tidewright.llm.packing import pack
 from tidewright.llm.quality import importance_resample
 from tidewright.llm.token_counts import token_counts
+from tidewright.llm.toxicity import toxicity
 from tidewright.llm.warc import archive_round_trip
 
 
@@ -45,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_temperature_mixing": op4_temperature_mixing,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
