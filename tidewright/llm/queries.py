@@ -14,6 +14,7 @@ from tidewright.llm.mixing import mix
 from tidewright.llm.near_dedup import near_duplicates
 from tidewright.llm.packing import pack
 from tidewright.llm.quality import importance_resample
+from tidewright.llm.suffix_dedup import remove_repeats
 from tidewright.llm.token_counts import token_counts
 from tidewright.llm.toxicity import toxicity
 from tidewright.llm.warc import archive_round_trip
@@ -37,6 +38,10 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_passes", 6).alias("mix_passes"), "mix_block", "mix_position", "mix_copies")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_grams", F.round("log_weight", 4).alias("log_weight"), F.round("score", 4).alias("score"), "selected")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_temperature_mixing": op4_temperature_mixing,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
