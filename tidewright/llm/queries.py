@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm._common import read_table
 from tidewright.llm.exact_dedup import exact_dedup
+from tidewright.llm.media import media_search, render_vectors
 from tidewright.llm.mixing import mix
 from tidewright.llm.near_dedup import near_duplicates
 from tidewright.llm.packing import pack
@@ -38,6 +39,10 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_passes", 6).alias("mix_passes"), "mix_block", "mix_position", "mix_copies")
 
 
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_search(render_vectors(read_table(spark, sf_dir, "embeddings")))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_temperature_mixing": op4_temperature_mixing,
+    "op5_chroma_fingerprints": op5_chroma_fingerprints,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_exact_dedup": op8_exact_dedup,
