@@ -1,4 +1,189 @@
 """Every registered query of the runtime-decision and trace operators, with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.functions import ids
+from tidewright.operators import folds, graphs, lifecycle, objects, scheduling, traces  # noqa: F401  (they register their decisions)
+from tidewright.operators.decision import REGISTRY, Decision
+from tidewright.plans.projections import BASE_TABLES, project, projection_sql
+from tidewright.runtime import run_tasks
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in BASE_TABLES else project(spark, sf_dir, name)
+
+
+def _query(d: Decision) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return d.apply(spark, **{t: _table(spark, sf_dir, t) for t in d.inputs})
+
+    run.__name__ = run.__qualname__ = d.name
+    run.__doc__ = d.doc
+    return run
+
+
+def with_projections(sql: str, inputs: tuple[str, ...], recursive: bool = False) -> str:
+    """DuckDB text: the projections as common tables around ``sql``, which names them in braces."""
+    named = [t for t in inputs if t not in BASE_TABLES]
+    body = sql.format(**{t: t for t in inputs})
+    if not named:
+        return body
+    head = ", ".join(f"{t} AS ({projection_sql(t)})" for t in named)
+    return f"WITH {head} SELECT * FROM ({body}) result"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {d.name: _query(d) for d in REGISTRY.values()}
+ORACLES: dict[str, str] = {d.name: with_projections(d.check or d.sql, d.inputs) for d in REGISTRY.values()}
+
+
+def _tables(names: str):
+    """Give a query function the projected tables it names."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(_table(spark, sf_dir, n) for n in names.split()))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        return run
+
+    return wrap
+
+
+@_tables("task_events")
+def retry_fold(task_events: DataFrame) -> DataFrame:
+    return folds.retry_fold(task_events)
+
+
+@_tables("lease_ops")
+def lease_lifecycle(lease_ops: DataFrame) -> DataFrame:
+    return folds.lease_lifecycle(lease_ops)
+
+
+@_tables("ledger_ops node_resources")
+def ledger_fold(ledger_ops: DataFrame, node_resources: DataFrame) -> DataFrame:
+    op = F.when(F.col("pick") < 6, "ALLOCATE").when(F.col("pick") < 8, "RELEASE").when(F.col("pick") < 9, "YIELD_CPU").otherwise("REACQUIRE_CPU")
+    totals = node_resources.filter("resource = 'CPU'").select(F.col("node").alias("ledger"), "total")
+    return folds.ledger_fold(ledger_ops.select("ledger", "seq", op.alias("op"), "token", "milli"), totals)
+
+
+@_tables("bundle_replies")
+def reservation_fold(bundle_replies: DataFrame) -> DataFrame:
+    op = F.when(F.col("reply") == "REJECTED", "ABORT").when(F.col("reply") == "PREPARED", "PREPARE").otherwise("COMMIT")
+    return folds.reservation_fold(bundle_replies.select("pg", "seq", op.alias("op"), F.col("bundle").alias("payload")))
+
+
+@_tables("actor_calls")
+def mailbox_execution(actor_calls: DataFrame) -> DataFrame:
+    return folds.mailbox_execution(actor_calls)
+
+
+@_tables("lineage_edges")
+def lineage_closure(edges: DataFrame) -> DataFrame:
+    """For each object that nothing was made from: everything it goes back to."""
+    ends = edges.select(F.col("src").alias("node")).join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    return graphs.reachable(edges, ends)
+
+
+@_tables("lineage_edges")
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """Objects on a cycle when every seventh object's edge is there in the other direction too."""
+    back = edges.filter("src % 7 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graphs.cycle_members(edges.union(back))
+
+
+@_tables("holdings orders")
+def gc_cascade(holdings: DataFrame, orders: DataFrame) -> DataFrame:
+    """Everything that is freed when only open orders are still referenced."""
+    every = holdings.select(F.explode(F.array("src", "dst")).alias("object")).distinct()
+    held = orders.filter("o_orderstatus = 'O'").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("object"))
+    return graphs.gc_cascade(every, held, holdings).select("object")
+
+
+@_tables("order_states lineage_edges")
+def reconstruction_preflight(order_states: DataFrame, edges: DataFrame) -> DataFrame:
+    """What rebuilding every lost object needs."""
+    return graphs.preflight(order_states, edges, order_states.filter("state = 'LOST'").select(F.col("object").alias("node")))
+
+
+@_tables("trace_events")
+def trace_cause_chains(trace_events: DataFrame) -> DataFrame:
+    return graphs.cause_chains(trace_events, trace_events.filter("event = 'rpc_reply_received'").select(F.col("event_id").alias("node")))
+
+
+@_tables("trace_events")
+def trace_reachability(trace_events: DataFrame) -> DataFrame:
+    """How far into each process the first record of each component reaches."""
+    first = trace_events.groupBy("component").agg(F.min(F.struct("process_id", "process_sequence", "event_id")).alias("e"))
+    return graphs.causal_reach(trace_events, first.select(F.col("e.event_id").alias("seed"), "e.process_id", "e.process_sequence"))
+
+
+@_tables("tasks")
+def derived_ids(tasks: DataFrame) -> DataFrame:
+    return tasks.select("task", ids.derived_id("driver-task", F.col("task")).alias("id"))
+
+
+@_tables("tasks nodes")
+def seeded_topk(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    ranked = nodes.filter("alive").agg(F.slice(F.sort_array(F.collect_list("node")), 1, 8).alias("candidates"), F.count("*").alias("cluster"))
+    return ids.seeded_choice(tasks.select("task").crossJoin(F.broadcast(ranked)), "task", "candidates", 2, 0.02, "cluster").select("task", "chosen")
+
+
+@_tables("tasks")
+def execute_tasks(tasks: DataFrame) -> DataFrame:
+    """Outcome rows of pushed tasks: a user's exception is an outcome, not a failed Spark task."""
+    return run_tasks(tasks.select("task", "cpu"), _divide, "task bigint, cpu bigint")
+
+
+def _divide(row: dict) -> str:
+    return str(row["cpu"] * 10 // (row["task"] % 11))
+
+
+_REACH = """
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({edges_sql}) x),
+walk AS (SELECT seed, dst AS node, CAST(1 AS BIGINT) AS depth FROM ({seeds_sql}) s JOIN e ON e.src = s.seed
+  UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < {limit})
+SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node
+"""
+ORACLES["retry_fold"] = with_projections(folds.RETRY_CHECK, ("task_events",))
+ORACLES["lease_lifecycle"] = with_projections(folds.LEASE_CHECK, ("lease_ops",))
+ORACLES["lineage_closure"] = with_projections(
+    _REACH.format(edges_sql="SELECT src, dst FROM {lineage_edges}", seeds_sql="SELECT DISTINCT src AS seed FROM {lineage_edges} WHERE src NOT IN (SELECT dst FROM {lineage_edges})", limit=1000), ("lineage_edges",)
+)
+ORACLES["cycle_members"] = with_projections(
+    """
+WITH RECURSIVE e AS (SELECT src, dst FROM {lineage_edges} UNION SELECT dst, src FROM {lineage_edges} WHERE src % 7 = 0),
+walk AS (SELECT src AS seed, dst AS node FROM e UNION SELECT w.seed, e.dst FROM walk w JOIN e ON e.src = w.node)
+SELECT DISTINCT node FROM walk WHERE seed = node
+""",
+    ("lineage_edges",),
+)
+ORACLES["gc_cascade"] = with_projections(
+    """
+WITH RECURSIVE kept AS (
+  SELECT concat('o', o_orderkey) AS object FROM {orders} WHERE o_orderstatus = 'O'
+  UNION SELECT h.dst FROM kept k JOIN {holdings} h ON h.src = k.object)
+SELECT object FROM (SELECT src AS object FROM {holdings} UNION SELECT dst FROM {holdings}) t WHERE object NOT IN (SELECT object FROM kept)
+""",
+    ("holdings", "orders"),
+)
+ORACLES["trace_reachability"] = with_projections(
+    """
+WITH RECURSIVE e AS (
+  SELECT cause_event_id AS src, event_id AS dst FROM {trace_events} WHERE cause_event_id IS NOT NULL
+  UNION SELECT event_id, following FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY process_id ORDER BY process_sequence) AS following FROM {trace_events}) t WHERE following IS NOT NULL),
+first AS (SELECT event_id AS seed FROM (SELECT event_id, row_number() OVER (PARTITION BY component ORDER BY process_id, process_sequence, event_id) AS k FROM {trace_events}) t WHERE k = 1),
+walk AS (SELECT f.seed, e.dst AS node FROM first f JOIN e ON e.src = f.seed UNION SELECT w.seed, e.dst FROM walk w JOIN e ON e.src = w.node)
+SELECT w.seed, t.process_id, min(t.process_sequence) AS first_sequence FROM walk w JOIN {trace_events} t ON t.event_id = w.node GROUP BY w.seed, t.process_id
+""",
+    ("trace_events",),
+)
+ORACLES["trace_cause_chains"] = with_projections(
+    _REACH.format(edges_sql="SELECT event_id AS src, cause_event_id AS dst FROM {trace_events} WHERE cause_event_id IS NOT NULL", seeds_sql="SELECT event_id AS seed FROM {trace_events} WHERE event = 'rpc_reply_received'", limit=10),
+    ("trace_events",),
+)
