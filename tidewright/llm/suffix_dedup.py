@@ -22,7 +22,7 @@ from tidewright.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 400, 100
 #: Bytes of segment text that a shard holds on average, and the memory its queues may use before they go to disk.
-SHARD_BYTES, QUEUE_BYTES = 12 << 20, 48 << 20
+SHARD_BYTES, QUEUE_BYTES = 2 << 20, 16 << 20
 #: Anchors with more distinct segments than this are too large for one shard.
 HEAVY_SEGMENTS = 4096
 _LOW = 30
@@ -68,7 +68,7 @@ def segments(data, offsets, length: int, gram: int):
 
 def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             document, at, count, anchor, content = segments(*text_buffer(batch.column("text")), length, gram)
             rows = pa.array(document)
             yield pa.record_batch(
