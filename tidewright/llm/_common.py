@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
 
@@ -45,10 +46,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that no later step reads."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def neutral(df: DataFrame) -> tuple[DataFrame, list]:
+    """``df`` with columns c0, c1, ... and the columns that restore its names: extra columns can't clash with an operator's own."""
+    from_ = [df[f"`{c.replace('`', '``')}`"].alias(f"c{i}") for i, c in enumerate(df.columns)]
+    return df.select(*from_), [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
 def worker_cache(name: str) -> dict:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import materialize
+from tidewright.llm._common import materialize, neutral
 
 RUN = "digest binary, keep_id bigint, n_keep bigint, group_size bigint, dest int"
 RUN_SCHEMA = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("group_size", pa.int64())])
@@ -114,14 +114,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, in the columns of ``docs``.
 
-    Of repeated rows with the same id and equal texts one stays.  Rows with a null id stay or go as a group of their own.
+    Of repeated rows with the same id and equal texts one stays, null ids too.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__digest"), F.col("n_keep").alias("__n")).distinct()
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest"), "n_keep").distinct()
     kept = materialize(kept, "kept-ids")
-    keyed = docs.withColumn("__digest2", F.unhex(F.sha2(normalized(F.col(text_col)), 256)))
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__digest2") == F.col("__digest"))
-    out = keyed.join(kept, same)
-    if not kept.filter("__n > 1").isEmpty():
-        single = out.filter("__n = 1").select(*docs.columns)
-        return single.union(out.filter("__n > 1").dropDuplicates(["__id", "__digest"]).select(*docs.columns))
-    return out.select(*docs.columns)
+    rows, names = neutral(docs)
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    rows = rows.withColumn("own", F.unhex(F.sha2(normalized(text), 256)))
+    out = rows.join(kept, key.cast("bigint").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
+    if not kept.filter("n_keep > 1").isEmpty():
+        again = out.filter("n_keep > 1").dropDuplicates(["id", "digest"])
+        return out.filter("n_keep = 1").select(*names).union(again.select(*names))
+    return out.select(*names)

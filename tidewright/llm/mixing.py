@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import materialize
+from tidewright.llm._common import materialize, neutral
 
 BLOCK_ROWS = 1024
 STEPS = 30
@@ -79,9 +79,12 @@ def mix(
     permutation, and ``mix_copies`` how often the row is drawn: all whole passes, and once more if the remaining budget of
     its block reaches it (a document is taken when at least half of it fits).  Defined cases: a null source is a source of
     its own; null or empty texts have no tokens, follow the whole passes, and come last in the partial one only if their
-    place in the permutation is reached; an empty table gives an empty result; repeated rows are drawn row by row.
+    place in the permutation is reached; an empty table gives an empty result; repeated rows are drawn row by row; columns of
+    ``docs`` that have the name of a result are replaced by it.
     """
-    columns = docs.columns
+    docs = docs.drop("mix_tokens", "mix_weight", "mix_passes", "mix_block", "mix_position", "mix_copies")
+    id_col, text_col, source_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    docs, columns = neutral(docs)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key")
     shares = source_shares(docs.select(key, token_count(F.col(text_col)).alias("tokens")))
     exponent = temperature(shares, target_entropy, max_repeats, budget_passes)
@@ -99,25 +102,26 @@ def mix(
     rows = docs.select("*", key, token_count(F.col(text_col)).alias("mix_tokens"))
     # One row for each source; where it outgrows a broadcast, the join on the source is split by the engine.
     rows = rows.join(plan, "source_key")
-    tag = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rows = rows.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), tag), F.col("blocks")))
-    rows = rows.withColumn("__order", F.xxhash64(F.lit(seed + 1), tag))
+    tag = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), tag), F.col("blocks"))).withColumn("place_key", F.xxhash64(F.lit(seed + 1), tag))
     block = Window.partitionBy("source_key", "mix_block")
-    ordered = block.orderBy("__order", id_col)
+    ordered = block.orderBy("place_key", id_col)
     rows = rows.withColumn("mix_position", F.row_number().over(ordered) - 1)
     before = F.sum("mix_tokens").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__total", F.sum("mix_tokens").over(block))
-    partial = (F.col("mix_passes") - F.floor("mix_passes")) * F.col("__total")
-    extra = (F.col("__before") + F.col("mix_tokens") / 2 <= partial) & (partial > 0)
+    rows = rows.withColumn("drawn_before", F.coalesce(before, F.lit(0))).withColumn("block_tokens", F.sum("mix_tokens").over(block))
+    partial = (F.col("mix_passes") - F.floor("mix_passes")) * F.col("block_tokens")
+    extra = (F.col("drawn_before") + F.col("mix_tokens") / 2 <= partial) & (partial > 0)
     rows = rows.withColumn("mix_copies", (F.floor("mix_passes") + F.when(extra, 1).otherwise(0)).cast("bigint"))
     return rows.select(*columns, "mix_tokens", "mix_weight", "mix_passes", "mix_block", "mix_position", "mix_copies")
 
 
-def mixed_rows(docs: DataFrame, max_repeats: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_rows(docs: DataFrame, max_repeats: float = 1.25, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as they are drawn, in the columns of ``docs``: every row once at least.
 
     The budget is the smallest that drops nothing, and the exponent goes as far towards equal weights as ``max_repeats`` lets it.
     """
-    drawn = mix(docs, max_repeats=max_repeats, budget_passes=None, id_col=id_col, text_col=text_col)
+    places = [f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col)]
+    rows, names = neutral(docs)
+    drawn = mix(rows, max_repeats=max_repeats, budget_passes=None, id_col=places[0], text_col=places[1], source_col=places[2])
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))
-    return drawn.filter("mix_copies > 0").select(*docs.columns, copies.alias("__copy")).select(*docs.columns)
+    return drawn.filter("mix_copies > 0").withColumn("mix_copies", copies).select(*names)

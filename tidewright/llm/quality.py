@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import prefix, spans, words
-from tidewright.llm._common import materialize, slices, text_buffer
+from tidewright.llm._common import materialize, neutral, slices, text_buffer
 
 BUCKETS = 1 << 16
 #: Bytes of an n-gram.
@@ -217,6 +217,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
 def quality_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the sampling selects, in the columns of ``docs``."""
     # What is rejected is the smaller part; the join keeps every other row, repeated ones too.
-    gone = importance_resample(docs, labels, id_col=id_col, text_col=text_col).filter("not selected").select(F.col(id_col).alias("__id"), "text_key").distinct()
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("text_key"))
-    return docs.join(gone, same, "left_anti")
+    gone = importance_resample(docs, labels, id_col=id_col, text_col=text_col).filter("not selected").select(F.col(id_col).alias("id"), "text_key").distinct()
+    rows, names = neutral(docs)
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    same = key.cast("bigint").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_key"))
+    return rows.join(gone, same, "left_anti").select(*names)
