@@ -22,23 +22,97 @@ from pyspark.sql import functions as F
 from tidewright.llm._common import materialize, slices, worker_cache
 
 CAPACITY = 2048
-CACHE_ENTRIES, CACHE_LONGEST = 300_000, 200
+#: Entries of a worker's caches (about 200 bytes each) and the longest unit or word that is kept in them.
+CACHE_UNITS, CACHE_WORDS, CACHE_LONGEST = 400_000, 800_000, 100
 #: Separators that Python's str.split() cuts at and the tokenizer doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Token ids of texts as bytes, equal to the library's, with caches for white-space units and for the words in them.
 
-    cache = worker_cache("tokenizers")
-    if path not in cache:
-        cache[path] = Tokenizer.from_file(path), {}
-    return cache[path]
+    The tokenizer drops white space and cuts units into words (runs of letters, digits, runs of marks), each encoded on its
+    own and closed by a piece that ends a word.  So only words that no cache has are encoded, many in one call.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import numpy as np
+        import regex
+        from tokenizers import Tokenizer
+
+        with open(path, "rb") as f:
+            config = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.special = [t["content"] for t in config["added_tokens"]]
+        suffix = config["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and piece.endswith(suffix)
+        pattern = next((p["pattern"]["Regex"] for p in config["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split" and p["invert"] and p["behavior"] == "Removed"), None)
+        self.split = regex.compile(pattern).findall if pattern and suffix else None
+
+    def _whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _encode_words(self, words: list[str]) -> None:
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words) and (not len(cuts) or cuts[-1] == len(ids)):
+            data, start = ids.tobytes(), 0
+            for word, end in zip(words, (cuts * 4).tolist(), strict=True):
+                self.words[word] = data[start:end]
+                start = end
+        else:
+            for word in words:
+                self.words[word] = self._whole(word)
+
+    def _add(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that the cache doesn't have."""
+        parts = {}
+        for unit in units:
+            if any(x in unit for x in self.special):
+                parts[unit] = None
+            else:
+                parts[unit] = self.split(unit.lower() if unit.isascii() else self.tokenizer.normalizer.normalize_str(unit))
+        missing = list(dict.fromkeys(w for p in parts.values() if p for w in p if w not in self.words))
+        if len(self.words) + len(missing) > CACHE_WORDS:
+            self.words.clear()
+            missing = list(dict.fromkeys(w for p in parts.values() if p for w in p))
+        if missing:
+            self._encode_words(missing)
+        found = {u: self._whole(u) if p is None else b"".join([self.words[w] for w in p]) for u, p in parts.items()}
+        for word in missing:
+            if len(word) > CACHE_LONGEST:
+                del self.words[word]
+        if len(self.units) > CACHE_UNITS:
+            self.units.clear()
+        self.units.update((u, x) for u, x in found.items() if len(u) <= CACHE_LONGEST)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if self.split is None or any(c in text for c in ODD):
+            return self._whole(text)
+        units = text.split()
+        got = list(map(self.units.get, units))
+        if None in got:
+            missing = [i for i, x in enumerate(got) if x is None]
+            found = self._add(list({units[i]: 0 for i in missing}))
+            for i in missing:
+                got[i] = found[units[i]]
+        return b"".join(got)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    """(id, piece, start, length, crc) of each piece of each text; white space separates what is encoded on its own."""
+    """(id, piece, start, length, crc) of each piece of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -46,32 +120,16 @@ def _pieces(path: str, capacity: int, end_id: int):
         import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part = TaskContext.get().partitionId()
-        tokenizer, known = _tokenizer(path)
+        part, cache = TaskContext.get().partitionId(), worker_cache("tokenizers")
+        if path not in cache:
+            cache[path] = Encoder(path)
+        encode = cache[path].encode
         end, width = np.uint32(end_id).tobytes(), 4 * capacity
-
-        def encoded(units: list[str]) -> None:
-            for unit, got in zip(units, tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-                known[unit] = np.array(got.ids, np.uint32).tobytes()
-
+        kinds = {"id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         for batch in slices(batches, "text", 4 << 20):
-            out = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
+            out = {k: [] for k in kinds}
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if any(c in text for c in ODD):
-                    ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-                else:
-                    units = text.split()
-                    missing = [u for u in dict.fromkeys(units) if u not in known]
-                    if missing:
-                        if len(known) + len(missing) > CACHE_ENTRIES:
-                            known.clear()
-                            missing = list(dict.fromkeys(units))
-                        encoded(missing)
-                    ids = b"".join(map(known.__getitem__, units))
-                    for unit in missing:
-                        if len(unit) > CACHE_LONGEST:
-                            del known[unit]
-                ids += end
+                ids = encode(text) + end
                 for i, at in enumerate(range(0, len(ids), width)):
                     piece = ids[at : at + width]
                     out["id"].append(key)
@@ -79,9 +137,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     out["start"].append(at // 4)
                     out["length"].append(len(piece) // 4)
                     out["ids_crc32"].append(zlib.crc32(piece))
-            kinds = {"id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
-            n = len(out["id"])
-            yield pa.record_batch({k: pa.array(out[k], t) for k, t in kinds.items()} | {"part": pa.array([part] * n, pa.int32())})
+            yield pa.record_batch({k: pa.array(out[k], t) for k, t in kinds.items()} | {"part": pa.array([part] * len(out["id"]), pa.int32())})
 
     return run
 
