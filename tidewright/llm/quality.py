@@ -24,13 +24,17 @@ SIZES = (2, 4)
 LABELLED = 20_000
 #: Documents that the raw model counts for as the prior of the target model.
 PRIOR = 10.0
+#: Neutral n-grams that are added to a text's byte and word n-grams, so that short texts aren't judged by a few.
+DRAWN = (20, 4)
+#: A good document that is rejected counts as much as this many bad ones that are kept.
+COST = 5
 
 
 def _grams(data, offsets):
     """Buckets of the n-grams of texts, arrays over positions; BUCKETS stands where none begins.
 
-    Besides byte n-grams there is one array over words: whether a word is that before it again, with its first and last kind
-    of character, so that chains of one word, shouting and strewn marks have n-grams of their own whatever the words are.
+    Besides byte n-grams there is one array over words: whether a word is that of one or two before it again, with its first
+    and last kind of character, so that chains of one word, shouting and strewn marks have n-grams of their own whatever the words are.
     """
     import numpy as np
 
@@ -51,9 +55,11 @@ def _grams(data, offsets):
     bucket = np.full(n, BUCKETS, np.int32)
     if len(starts):
         h = spans(prefix(data), starts, ends)
-        again = np.zeros(len(h), np.int64)
-        again[1:] = h[1:] == h[:-1]
-        again[first[:-1][first[:-1] < len(h)]] = 0
+        same = np.zeros(len(h), np.int64)
+        same[1:] = h[1:] == h[:-1]
+        same[first[:-1][first[:-1] < len(h)]] = 0
+        again = same.copy()
+        again[1:] += same[1:] * same[:-1]  # 0 another word, 1 the word before, 2 the word of the two before
         kind = np.full(256, 3, np.int64)  # 0 lower case, 1 upper case, 2 digit, 3 mark
         kind[97:123], kind[128:], kind[65:91], kind[48:58] = 0, 0, 1, 2
         shape = ((again * 4 + kind[data[starts]]) * 4 + kind[data[ends - 1]]).astype(np.uint32)
@@ -94,7 +100,7 @@ def _weigh(table):
             weight, count, score = 0.0, 0, 0.0
             # Byte n-grams and word n-grams are two models: each gives its mean, and the score is their sum.
             *small, shapes = _grams(data, offsets)
-            for group in (small, [shapes]):
+            for group, drawn in ((small, DRAWN[0]), ([shapes], DRAWN[1])):
                 sums, seen = np.zeros(len(data) + 1), np.zeros(len(data) + 1, np.int64)
                 for grams in group:
                     sums[1:] += ratio[grams]
@@ -102,7 +108,7 @@ def _weigh(table):
                 np.cumsum(sums, out=sums)
                 np.cumsum(seen, out=seen)
                 total, n = np.round(sums[offsets[1:]] - sums[offsets[:-1]], 6), np.diff(seen[offsets])
-                weight, count, score = weight + total, count + n, score + np.round(total / np.maximum(1, n), 6)
+                weight, count, score = weight + total, count + n, score + np.round(total / (n + drawn), 6)
             yield pa.record_batch({"id": batch.column("id"), "text_key": batch.column("text_key"), "n_grams": pa.array(count), "log_weight": pa.array(weight), "score": pa.array(score)})
 
     return run
@@ -175,8 +181,8 @@ def boundary(weights: DataFrame, labels: DataFrame, labelled: int = LABELLED, id
     good, score = rows["good"].to_numpy() == 1, rows["score"].to_numpy()
     if good.all() or not good.any():
         return 0.0
-    # Balanced errors of the cut before each row; of the best cuts the middle one is taken.
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
+    # Errors of the cut before each row, as shares of the two kinds; of the best cuts the middle one is taken.
+    lost = COST * np.concatenate([[0], np.cumsum(good)]) / good.sum()
     kept = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
     errors = np.round(lost + kept, 9)
     best = np.flatnonzero(errors == errors.min())
