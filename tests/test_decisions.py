@@ -148,6 +148,21 @@ def test_reservation(spark):
     ]
 
 
+def test_publication(spark):
+    stages = ["INTENT", "PREPARED", "ARMED", "TERMINAL", "COMMITTED", "ADOPTED", "PREPARED", "FENCED", "RETIRED"]
+    rows = [(1, False, i, s) for i, s in enumerate(stages)] + [(2, True, 0, "INTENT"), (2, True, 1, "TERMINAL"), (2, True, 2, "COMMITTED"), (2, True, 3, "PREPARED"), (2, True, 4, "COMMITTED"), (3, False, 0, "INTENT"), (3, False, 1, "FENCED"), (3, False, 2, "PREPARED")]
+    got = folds.publication_fold(spark.createDataFrame(rows, "ref bigint, is_put boolean, seq bigint, stage string")).orderBy("ref", "seq").collect()
+    assert [r["receipt"] for r in got[:9]] == [1, 2, 3, 4, 5, 6, 2, 7, 8] and [r["graph_active"] for r in got[6:9]] == [True, True, False]
+    assert [r["error"] for r in got[9:]] == [None, "NO_TERMINAL_STAGE", "PREREQUISITE", None, None, None, None, "FENCED"]
+
+
+def test_store(spark):
+    ops = [("CREATE", 1, 5), ("CREATE", 2, 4), ("SEAL", 1, 0), ("WRITE", 1, 3), ("SEAL", 1, 0), ("WRITE", 1, 2), ("SEAL", 1, 0), ("SEAL", 1, 0), ("PIN", 1, 0), ("DELETE", 1, 0), ("UNPIN", 1, 0), ("DELETE", 1, 0), ("DELETE", 1, 0)]
+    rows = [(1, i, *o) for i, o in enumerate(ops)]
+    got = folds.store_fold(spark.createDataFrame(rows, "store bigint, seq bigint, op string, object bigint, size bigint"), 8).orderBy("seq").collect()
+    assert [r["error"] for r in got] == [None, "FULL", "INCOMPLETE", None, "INCOMPLETE", None, None, "SEALED", None, "PINNED", None, None, "UNKNOWN"] and got[-1]["used"] == 0
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (6, 7), (7, 6), (8, 8), (9, 6)], "src bigint, dst bigint")
     assert {r["node"] for r in graphs.cycle_members(edges).collect()} == {6, 7, 8}

@@ -8,7 +8,7 @@ import pytest
 from tidewright import runtime as rt
 from tidewright.functions import ids
 from tidewright.sources import traces
-from tidewright.streaming.traces import after_cursor, dedup_stream, mailbox_stream
+from tidewright.streaming.traces import BoundedSink, after_cursor, dedup_stream, mailbox_stream
 
 
 @pytest.fixture
@@ -71,6 +71,17 @@ def test_drop_and_rebuild(running):
         rt.get(value)
 
 
+def test_store_is_bounded(spark):
+    rt.init(spark, inline_threshold=10, object_store_bytes=1000)
+    try:
+        rt.put(b"x" * 700)
+        rt.put(1)
+        with pytest.raises(rt.RuntimeFailure):
+            rt.put(b"x" * 700)
+    finally:
+        rt.shutdown()
+
+
 def test_actor(running):
     @rt.remote
     class Counter:
@@ -188,6 +199,13 @@ def test_mailbox_stream(spark, tmp_path):
     assert [(r["generation"], r["seq"]) for r in got if r["state"] == "CACHED"] == [(0, 1)]
 
 
+def test_bounded_sink(spark):
+    sink = BoundedSink(3)
+    for i in (0, 1, 1):
+        sink(spark.range(2), i)
+    assert len(sink.rows) == 3 and sink.dropped == 1
+
+
 def test_cursor(spark):
     deaths = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "node bigint, epoch bigint")
     assert after_cursor(deaths, 1).count() == 2 and after_cursor(deaths, 3).count() == 0

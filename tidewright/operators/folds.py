@@ -183,6 +183,73 @@ def reservation_fold(ops: DataFrame) -> DataFrame:
     return ordered_fold(ops, "pg", ["seq"], start, step, "pg bigint, seq bigint, phase string, error string")
 
 
+_PRIOR = {"INTENT": (), "PREPARED": ("INTENT",), "ARMED": ("PREPARED",), "TERMINAL": ("ARMED",), "COMMITTED": ("PREPARED", "TERMINAL"), "ADOPTED": ("COMMITTED",), "FENCED": ("INTENT",), "RETIRED": ("FENCED",)}
+
+
+def publication_fold(requests: DataFrame) -> DataFrame:
+    """Stage requests (ref, is_put, seq, stage) of publications: a stage needs its prerequisites, and a replay returns the first
+    receipt without a new number.  A put has no terminal stage and commits without one; a fenced publication only retires."""
+
+    def start() -> dict:
+        return {"receipts": {}}
+
+    def step(s: dict, r: dict) -> dict:
+        got, stage, error = s["receipts"], r["stage"], None
+        if stage not in got:
+            if r["is_put"] and stage == "TERMINAL":
+                error = "NO_TERMINAL_STAGE"
+            elif any(p not in got for p in _PRIOR[stage] if not (r["is_put"] and p == "TERMINAL")):
+                error = "PREREQUISITE"
+            elif "FENCED" in got and stage not in ("FENCED", "RETIRED"):
+                error = "FENCED"
+            else:
+                got[stage] = len(got) + 1
+        return {"ref": r["ref"], "seq": r["seq"], "stage": stage, "accepted": error is None, "receipt": got.get(stage), "error": error, "graph_active": "PREPARED" in got and "RETIRED" not in got}
+
+    return ordered_fold(requests, "ref", ["seq"], start, step, "ref bigint, seq bigint, stage string, accepted boolean, receipt bigint, error string, graph_active boolean")
+
+
+def store_fold(ops: DataFrame, capacity: int) -> DataFrame:
+    """Object stores (store, seq, op, object, size): the whole size is reserved at creation, a full store is an error, sealing
+    needs every byte and happens once, and a pinned object isn't deleted."""
+
+    def start() -> dict:
+        return {"used": 0, "objects": {}}
+
+    def step(s: dict, r: dict) -> dict:
+        op, item, error = r["op"], s["objects"].get(r["object"]), None
+        if op == "CREATE":
+            if item is not None:
+                error = "EXISTS"
+            elif s["used"] + r["size"] > capacity:
+                error = "FULL"
+            else:
+                s["used"] += r["size"]
+                s["objects"][r["object"]] = {"size": r["size"], "written": 0, "sealed": False, "pins": 0}
+        elif item is None:
+            error = "UNKNOWN"
+        elif op == "WRITE":
+            if item["sealed"]:
+                error = "SEALED"
+            else:
+                item["written"] = min(item["size"], item["written"] + r["size"])
+        elif op == "SEAL":
+            if item["sealed"] or item["written"] < item["size"]:
+                error = "SEALED" if item["sealed"] else "INCOMPLETE"
+            else:
+                item["sealed"] = True
+        elif op in ("PIN", "UNPIN"):
+            item["pins"] = max(0, item["pins"] + (1 if op == "PIN" else -1))
+        elif item["pins"]:
+            error = "PINNED"
+        else:
+            s["used"] -= item["size"]
+            del s["objects"][r["object"]]
+        return {"store": r["store"], "seq": r["seq"], "ok": error is None, "error": error, "used": s["used"]}
+
+    return ordered_fold(ops, "store", ["seq"], start, step, "store bigint, seq bigint, ok boolean, error string, used bigint")
+
+
 def mailbox_execution(calls: DataFrame) -> DataFrame:
     """Order in which an actor runs its calls: by arrival, but each caller's calls in contiguous numbers; repeats are cached."""
 

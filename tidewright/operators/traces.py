@@ -82,6 +82,21 @@ WHERE s.event = 'rpc_request_sent'
     "Requests with their receipt, reply and its receipt, linked by cause and across processes.",
 )
 
+ANCHORS = decision(
+    "trace_rpc_anchors",
+    "trace_events",
+    """
+WITH anchor AS (SELECT process_id, min(process_sequence) AS opened, max(process_sequence) AS closed FROM {trace_events} WHERE component = 'signup' GROUP BY process_id),
+served AS (
+  SELECT s.rpc_id, s.process_id AS client, s.process_sequence AS sent_at, r.process_id AS server, r.process_sequence AS received_at
+  FROM {trace_events} s JOIN {trace_events} r ON r.rpc_id = s.rpc_id AND r.event = 'rpc_request_received' AND r.cause_event_id = s.event_id AND r.process_id <> s.process_id
+  WHERE s.event = 'rpc_request_sent')
+SELECT v.rpc_id, v.client, v.server FROM served v JOIN anchor a ON a.process_id = v.client AND v.sent_at > a.opened AND v.sent_at < a.closed
+JOIN anchor b ON b.process_id = v.server AND v.received_at > b.opened
+""",
+    "Requests sent between two anchor records of the client and received after one of the server.",
+)
+
 CAUSAL_EDGES = decision(
     "trace_causal_edges",
     "trace_events",

@@ -12,6 +12,7 @@ from tidewright.operators import folds, graphs, lifecycle, objects, scheduling,
 from tidewright.operators.decision import REGISTRY, Decision
 from tidewright.plans.projections import BASE_TABLES, project, projection_sql
 from tidewright.runtime import run_tasks
+from tidewright.sources.shared import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,18 @@ def reservation_fold(bundle_replies: DataFrame) -> DataFrame:
     return folds.reservation_fold(bundle_replies.select("pg", "seq", op.alias("op"), F.col("bundle").alias("payload")))
 
 
+@_tables("stages")
+def publication_fold(stages: DataFrame) -> DataFrame:
+    return folds.publication_fold(stages)
+
+
+@_tables("ledger_ops")
+def store_fold(ledger_ops: DataFrame) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in ("CREATE", "CREATE", "CREATE", "WRITE", "WRITE", "SEAL", "PIN", "UNPIN", "DELETE", "DELETE")))
+    ops = ledger_ops.select(F.col("ledger").alias("store"), "seq", names[F.col("pick").cast("int")].alias("op"), F.col("token").alias("object"), F.col("milli").alias("size"))
+    return folds.store_fold(ops, 20_000)
+
+
 @_tables("actor_calls")
 def mailbox_execution(actor_calls: DataFrame) -> DataFrame:
     return folds.mailbox_execution(actor_calls)
@@ -123,6 +136,18 @@ def trace_reachability(trace_events: DataFrame) -> DataFrame:
     return graphs.causal_reach(trace_events, first.select(F.col("e.event_id").alias("seed"), "e.process_id", "e.process_sequence"))
 
 
+@_tables("trace_events")
+def trace_order_rules(trace_events: DataFrame) -> DataFrame:
+    """For each two components: whether the first record of the second comes causally after the first record of the first."""
+    first = trace_events.groupBy("component").agg(F.min(F.struct("process_id", "process_sequence", "event_id")).alias("e"))
+    first = materialize(first.select("component", F.col("e.event_id").alias("seed"), "e.process_id", "e.process_sequence"), "first")
+    reach = graphs.causal_reach(trace_events, first.select("seed", "process_id", "process_sequence"))
+    later = first.select(F.col("component").alias("after"), F.col("process_id").alias("p"), F.col("process_sequence").alias("s"))
+    pairs = first.select(F.col("component").alias("before"), "seed").crossJoin(F.broadcast(later)).filter("before <> after")
+    held = pairs.join(reach, (pairs["seed"] == reach["seed"]) & (pairs["p"] == reach["process_id"]), "left")
+    return held.select("before", "after", F.coalesce(F.col("first_sequence") <= F.col("s"), F.lit(False)).alias("holds"))
+
+
 @_tables("tasks")
 def derived_ids(tasks: DataFrame) -> DataFrame:
     return tasks.select("task", ids.derived_id("driver-task", F.col("task")).alias("id"))
@@ -187,3 +212,15 @@ ORACLES["trace_cause_chains"] = with_projections(
     _REACH.format(edges_sql="SELECT event_id AS src, cause_event_id AS dst FROM {trace_events} WHERE cause_event_id IS NOT NULL", seeds_sql="SELECT event_id AS seed FROM {trace_events} WHERE event = 'rpc_reply_received'", limit=10),
     ("trace_events",),
 )
+ORACLES["trace_order_rules"] = with_projections(
+    """
+WITH RECURSIVE e AS (
+  SELECT cause_event_id AS src, event_id AS dst FROM {trace_events} WHERE cause_event_id IS NOT NULL
+  UNION SELECT event_id, following FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY process_id ORDER BY process_sequence) AS following FROM {trace_events}) t WHERE following IS NOT NULL),
+first AS (SELECT component, event_id FROM (SELECT component, event_id, row_number() OVER (PARTITION BY component ORDER BY process_id, process_sequence, event_id) AS k FROM {trace_events}) t WHERE k = 1),
+walk AS (SELECT f.event_id AS seed, e.dst AS node FROM first f JOIN e ON e.src = f.event_id UNION SELECT w.seed, e.dst FROM walk w JOIN e ON e.src = w.node)
+SELECT a.component AS before, b.component AS after, w.node IS NOT NULL AS holds
+FROM first a JOIN first b ON a.component <> b.component LEFT JOIN walk w ON w.seed = a.event_id AND w.node = b.event_id
+""",
+    ("trace_events",),
+)

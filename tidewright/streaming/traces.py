@@ -53,3 +53,23 @@ def mailbox_stream(calls: DataFrame) -> DataFrame:
     return calls.groupBy("actor", "generation", "caller").applyInPandasWithState(
         run, "actor string, generation bigint, caller bigint, seq bigint, state string", "expected bigint, waiting string", "append", GroupStateTimeout.NoTimeout
     )
+
+
+class BoundedSink:
+    """A sink for ``writeStream.foreachBatch`` that keeps the first rows of a stream in memory, up to a limit, and counts the rest.
+
+    Batches are taken once by their id, so a repeated batch changes nothing.
+    """
+
+    def __init__(self, limit: int = 10_000):
+        self.limit, self.rows, self.dropped, self.seen = limit, [], 0, set()
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id in self.seen:
+            return
+        self.seen.add(batch_id)
+        room = self.limit - len(self.rows)
+        total = batch.count()
+        if room > 0:
+            self.rows.extend(batch.limit(room).collect())
+        self.dropped += max(0, total - room)
