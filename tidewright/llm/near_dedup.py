@@ -6,11 +6,13 @@
 3. Candidates are compared batch of signature values by batch: as soon as the posterior probability that their similarity
    reaches the threshold falls to the miss probability, they are pruned.  Survivors are checked on their full shingle sets.
 4. Buckets whose classes are then still in several components get the pairs between different components, in blocks of
-   bounded size, through the same pruning.  So no link is lost to the star, and a bucket of one component costs nothing.
+   bounded size.  Exact distances from the bucket's first class rule out most of them (Jaccard distance is a metric), and
+   the same pruning most of the others.  So no link is lost to the star, and a bucket of one component costs nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import mix, set_digest, shingles
-from tidewright.llm._common import materialize, slices, text_buffer, worker_cache
+from tidewright.llm._common import materialize, neutral, slices, text_buffer, worker_cache
 from tidewright.llm.components import connected_components
 
 BANDS, BAND_ROWS = 32, 4
@@ -27,7 +29,7 @@ HASHES = BANDS * BAND_ROWS
 BATCH = 16
 BLOCK = 256
 #: Posterior probability of reaching the threshold at which a candidate is given up.
-MISS = 1e-6
+MISS = 1e-5
 
 
 @lru_cache(maxsize=8)
@@ -37,13 +39,11 @@ def least_matches(similarity: float, miss: float = MISS, hashes: int = HASHES, b
     With a uniform prior the similarity given m matches of n is Beta(m + 1, n - m + 1), and the probability that it reaches
     ``similarity`` is the lower tail of Binomial(n + 1, similarity) up to m.
     """
-    from math import comb
-
     out = []
     for n in range(batch, hashes + 1, batch):
         tail, m = 0.0, 0
         while m <= n:
-            tail += comb(n + 1, m) * similarity**m * (1 - similarity) ** (n + 1 - m)
+            tail += math.comb(n + 1, m) * similarity**m * (1 - similarity) ** (n + 1 - m)
             if tail > miss:
                 break
             m += 1
@@ -155,7 +155,7 @@ def _blocks(similarity: float, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        steps = least_matches(similarity, miss)
+        steps, apart = least_matches(similarity, miss), 1 - similarity + 1e-9
         for batch in batches:
             for row in batch.to_pylist():
                 left, right = row["left_block"], row["right_block"]
@@ -165,6 +165,9 @@ def _blocks(similarity: float, miss: float):
                 differ = ra[:, None] != rb[None, :]
                 if row["same"]:
                     differ &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
+                # Jaccard distance is a metric: what stands at unlike distances from the leader can't be near each other.
+                da, db = (np.array([x["distance"] for x in block]) for block in (left, right))
+                differ &= np.abs(da[:, None] - db[None, :]) <= apart
                 i, j = np.nonzero(differ)
                 matches, done = np.zeros(len(i), np.int64), 0
                 for upto, least in steps:
@@ -172,31 +175,28 @@ def _blocks(similarity: float, miss: float):
                     keep = matches >= least
                     i, j, matches, done = i[keep], j[keep], matches[keep], upto
                 if len(i):
-                    yield pa.record_batch({"u": pa.array([left[x]["node"] for x in i], pa.binary()), "v": pa.array([right[x]["node"] for x in j], pa.binary()), "matches": pa.array(matches)})
+                    ends = [([left[x][c] for x in i], [right[x][c] for x in j]) for c in ("node", "root")]
+                    yield pa.record_batch({"u": pa.array(ends[0][0], pa.binary()), "v": pa.array(ends[0][1], pa.binary()), "matches": pa.array(matches), "ru": pa.array(ends[1][0], pa.binary()), "rv": pa.array(ends[1][1], pa.binary())})
 
     return run
 
 
-def _verify(similarity: float):
-    """Exact check of pairs (u, v, mu, mv) on their full sets: 100 * intersection >= 100 * similarity * union in integers."""
-    percent = round(similarity * 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("mu"), batch.column("mv"), strict=True)):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")})
+def _compare(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Exact sizes of intersection and union for the pairs (u, v) of a block, given the full sets of its nodes."""
+    import numpy as np
 
-    return run
+    members = {n: np.frombuffer(m.as_buffer(), np.uint64) for n, m in zip(sets["node"].to_pylist(), sets["members"], strict=True)}
+    common, union = [], []
+    for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist(), strict=True):
+        both = np.concatenate([members[u], members[v]])
+        both.sort()
+        common.append(int((both[1:] == both[:-1]).sum()))
+        union.append(len(both) - common[-1])
+    return pa.table({"u": pairs["u"].cast(pa.binary()), "v": pairs["v"].cast(pa.binary()), "common": pa.array(common, pa.int64()), "union": pa.array(union, pa.int64())})
 
 
+#: Pairs that a block of the exact comparison holds on average.
+GRID_PAIRS = 1000
 PAIR = "u binary, v binary, matches bigint"
 
 
@@ -221,13 +221,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
         return materialize(full.select("u", "v", "su", "sv").mapInArrow(_prune(similarity, miss), PAIR), name)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select(F.col("v").alias("node")).distinct()).distinct()
         wanted = nodes.join(classes.select("node", "rep"), "node")
         texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
         sets = materialize(texts.mapInArrow(_sets(k), "node binary, members binary").dropDuplicates(["node"]), name + "-sets")
-        full = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("mu")), "u").join(sets.select(F.col("node").alias("v"), F.col("members").alias("mv")), "v")
-        return materialize(full.select("u", "v", "mu", "mv").mapInArrow(_verify(similarity), "u binary, v binary"), name)
+        # A grid of blocks over both ends: a block gets the set of each of its nodes once, however many pairs share it.
+        side = max(1, math.isqrt(-(-pairs.count() // GRID_PAIRS)))
+        grid = pairs.select("u", "v", (F.pmod(F.xxhash64("u"), F.lit(side)) * side + F.pmod(F.xxhash64("v"), F.lit(side))).alias("cell"))
+        ends = [grid.select(F.col("cell").alias("part"), F.col(c).alias("node")).distinct() for c in ("u", "v")]
+        full = ends[0].union(ends[1]).distinct().join(sets, "node").select("part", "node", "members")
+        found = grid.groupBy("cell").cogroup(full.groupBy("part")).applyInArrow(_compare, "u binary, v binary, common bigint, union bigint")
+        return materialize(found, name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return compared(pairs, name).filter(F.col("common") * 100 >= F.col("union") * round(similarity * 100)).select("u", "v")
 
     def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         r = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
@@ -242,21 +250,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(verified(more, "links-2"))
         roots = connected_components(links)
 
-    rooted = sides.filter("n > 2").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    rooted = sides.filter("n > 2").join(roots, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root"))
     open_bands = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("band", "n")
-    # A bucket's members are dealt to blocks by a hash, so block sizes stay near BLOCK; a heavy bucket only has more blocks.
-    spread = rooted.join(open_bands, "band").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    blocks = spread.groupBy("band", "block").agg(F.collect_list(F.struct("node", "root", "sig")).alias("members"), F.first("n").alias("n"))
-    blocks = materialize(blocks, "blocks")
-    if not blocks.isEmpty():
+    rooted = materialize(rooted.join(open_bands, "band"), "open")
+    if not rooted.isEmpty():
+        stand = compared(rooted.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "stand")
+        stand = stand.select(F.col("u").alias("leader"), F.col("v").alias("node"), (1 - F.col("common") / F.col("union")).alias("distance"))
+        # A bucket's members are dealt to blocks by a hash, so block sizes stay near BLOCK; a heavy bucket only has more blocks.
+        spread = rooted.join(stand, ["leader", "node"], "left").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+        member = F.struct("node", "root", "sig", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+        blocks = materialize(spread.groupBy("band", "block").agg(F.collect_list(member).alias("members")), "blocks")
         left = blocks.select("band", F.col("block").alias("x"), F.col("members").alias("left_block"))
         right = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("right_block"))
         pairs = left.join(right, "band").filter("x <= y").select("left_block", "right_block", F.expr("x = y").alias("same"))
-        rest = pairs.mapInArrow(_blocks(similarity, miss), PAIR).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "matches").distinct()
-        rest = materialize(rest, "rest")
-        if not rest.isEmpty():
-            links = links.union(verified(rest, "links-3"))
+        ordered = [F.when(F.col("u") < F.col("v"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("u", "v"), ("v", "u"), ("ru", "rv"), ("rv", "ru"))]
+        rest = materialize(pairs.mapInArrow(_blocks(similarity, miss), PAIR + ", ru binary, rv binary").select(*ordered, "matches").distinct(), "rest")
+        # Two components need one link: the likeliest pair of each two comes first, and the others only where it fails.
+        likeliest = rest.groupBy(F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b")).agg(F.max_by(F.struct("u", "v"), F.struct("matches", "u", "v")).alias("p"), F.max("matches").alias("matches"))
+        likeliest = materialize(likeliest.select("p.u", "p.v", "matches"), "likeliest")
+        if not likeliest.isEmpty():
+            links = links.union(verified(likeliest, "links-3"))
             roots = connected_components(links)
+            last = materialize(crossing(rest.select("u", "v", "matches").join(likeliest.select("u", "v"), ["u", "v"], "left_anti"), roots), "last")
+            if not last.isEmpty():
+                links = links.union(verified(last, "links-4"))
+                roots = connected_components(links)
 
     named = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -275,13 +293,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one for each group of near-duplicates, in the columns of ``docs``.
 
-    Texts without words are linked with nothing and stay.  Repeated rows of the id that stays stay once.
+    Texts without words are linked with nothing and stay.  Repeated rows of the id that stays stay once; where an id that
+    stays is repeated with other texts, each of its texts stays once.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id")).groupBy("__id").agg(F.count("*").alias("__n"))
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("id"), "node").groupBy("id").agg(F.count("*").alias("n"))
     kept = materialize(kept, "kept")
-    out = docs.join(kept, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")))
-    if not kept.filter("__n > 1").isEmpty():
-        single = out.filter("__n = 1").select(*docs.columns)
-        again = out.filter("__n > 1").withColumn("__key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates(["__id", "__key"])
-        return single.union(again.select(*docs.columns))
-    return out.select(*docs.columns)
+    rows, names = neutral(docs)
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    out = rows.join(kept, key.cast("bigint").eqNullSafe(F.col("id")))
+    if not kept.filter("n > 1").isEmpty():
+        again = out.filter("n > 1").withColumn("own", F.sha2(F.coalesce(text, F.lit("")), 256)).dropDuplicates(["id", "own"])
+        return out.filter("n = 1").select(*names).union(again.select(*names))
+    return out.select(*names)
