@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +31,6 @@ BLOCK = 256
 MISS = 1e-5
 
 
-@lru_cache(maxsize=8)
 def least_matches(similarity: float, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> tuple[tuple[int, int], ...]:
     """(n, m): after n signature values, fewer than m matches prune a pair.
 
@@ -149,38 +147,89 @@ def _prune(similarity: float, miss: float):
     return run
 
 
+def _candidates(row: dict, similarity: float, steps):
+    """Pairs (i, j) of a row's two blocks that could be linked and are this bucket's to test, likeliest first."""
+    import numpy as np
+
+    left, right = row["left_block"], row["right_block"]
+    sa, sb = (np.frombuffer(b"".join(x["sig"] for x in block), np.uint32).reshape(-1, HASHES) for block in (left, right))
+    roots = {r: i for i, r in enumerate({x["root"] for x in left} | {x["root"] for x in right})}
+    ra, rb = (np.array([roots[x["root"]] for x in block]) for block in (left, right))
+    differ = ra[:, None] != rb[None, :]
+    if row["same"]:
+        differ &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
+    # Jaccard distance is a metric: what stands at unlike distances from the leader can't be near each other.
+    da, db = (np.array([x["distance"] for x in block]) for block in (left, right))
+    differ &= np.abs(da[:, None] - db[None, :]) <= 1 - similarity + 1e-9
+    # Of the buckets that two classes share, the one of the first band tests them.
+    for p in range(row["place"]):
+        band = slice(p * BAND_ROWS, (p + 1) * BAND_ROWS)
+        keys = [np.ascontiguousarray(x[:, band]).view([("", np.uint32)] * BAND_ROWS).ravel() for x in (sa, sb)]
+        differ &= keys[0][:, None] != keys[1][None, :]
+    i, j = np.nonzero(differ)
+    matches, done = np.zeros(len(i), np.int64), 0
+    for upto, least in steps:
+        matches += (sa[i, done:upto] == sb[j, done:upto]).sum(1)
+        keep = matches >= least
+        i, j, matches, done = i[keep], j[keep], matches[keep], upto
+    order = np.argsort(-matches, kind="stable")
+    return i[order], j[order], matches[order]
+
+
 def _blocks(similarity: float, miss: float):
     """Pairs of different components between two blocks of one bucket that survive the pruning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        steps, apart = least_matches(similarity, miss), 1 - similarity + 1e-9
+        steps = least_matches(similarity, miss)
         for batch in batches:
             for row in batch.to_pylist():
-                left, right = row["left_block"], row["right_block"]
-                sa, sb = (np.frombuffer(b"".join(x["sig"] for x in block), np.uint32).reshape(-1, HASHES) for block in (left, right))
-                roots = {r: i for i, r in enumerate({x["root"] for x in left} | {x["root"] for x in right})}
-                ra, rb = (np.array([roots[x["root"]] for x in block]) for block in (left, right))
-                differ = ra[:, None] != rb[None, :]
-                if row["same"]:
-                    differ &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
-                # Jaccard distance is a metric: what stands at unlike distances from the leader can't be near each other.
-                da, db = (np.array([x["distance"] for x in block]) for block in (left, right))
-                differ &= np.abs(da[:, None] - db[None, :]) <= apart
-                i, j = np.nonzero(differ)
-                matches, done = np.zeros(len(i), np.int64), 0
-                for upto, least in steps:
-                    matches += (sa[i, done:upto] == sb[j, done:upto]).sum(1)
-                    keep = matches >= least
-                    i, j, matches, done = i[keep], j[keep], matches[keep], upto
+                i, j, matches = _candidates(row, similarity, steps)
                 if len(i):
+                    left, right = row["left_block"], row["right_block"]
                     ends = [([left[x][c] for x in i], [right[x][c] for x in j]) for c in ("node", "root")]
                     yield pa.record_batch({"u": pa.array(ends[0][0], pa.binary()), "v": pa.array(ends[0][1], pa.binary()), "matches": pa.array(matches), "ru": pa.array(ends[1][0], pa.binary()), "rv": pa.array(ends[1][1], pa.binary())})
 
     return run
 
 
+def _links(similarity: float, miss: float):
+    """Exact links between two blocks of a large bucket: pairs are compared in place, and none once its ends are connected."""
+    percent = round(similarity * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        steps = least_matches(similarity, miss)
+        for batch in batches:
+            for row in batch.to_pylist():
+                i, j, _ = _candidates(row, similarity, steps)
+                left, right = row["left_block"], row["right_block"]
+                sets = [[np.frombuffer(x["members"], np.uint64) for x in block] for block in (left, right)]
+                parent: dict[bytes, bytes] = {}
+
+                def find(x: bytes, parent: dict = parent) -> bytes:
+                    while (up := parent.get(x, x)) != x:
+                        x = up
+                    return x
+
+                found: tuple[list, list] = ([], [])
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = find(left[x]["root"]), find(right[y]["root"])
+                    if a == b:
+                        continue
+                    both = np.concatenate([sets[0][x], sets[1][y]])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        parent[max(a, b)] = min(a, b)
+                        found[0].append(left[x]["node"])
+                        found[1].append(right[y]["node"])
+                if found[0]:
+                    yield pa.record_batch({"u": pa.array(found[0], pa.binary()), "v": pa.array(found[1], pa.binary())})
+
+    return run
+
+
 def _compare(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     """Exact sizes of intersection and union for the pairs (u, v) of a block, given the full sets of its nodes."""
     import numpy as np
@@ -212,9 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(base.mapInArrow(_sign(k), "id bigint, n_shingles bigint, node binary, sig binary, bands array<bigint>"), "signatures")
     classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    members = classes.select(F.explode("bands").alias("band"), "node")
+    members = classes.select(F.posexplode("bands").alias("place", "band"), "node")
     leaders = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    sides = materialize(members.join(leaders, "band").select("band", "leader", "node", "n"), "buckets")
+    sides = materialize(members.join(leaders, "band").select("band", "place", "leader", "node", "n"), "buckets")
     sigs = classes.select("node", "sig")
 
     def pruned(pairs: DataFrame, name: str) -> DataFrame:
@@ -250,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(verified(more, "links-2"))
         roots = connected_components(links)
 
-    rooted = sides.filter("n > 2").join(roots, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root"))
+    rooted = sides.filter("n > 2").join(roots, "node", "left").select("band", "place", "leader", "node", F.coalesce("root", "node").alias("root"))
     open_bands = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("band", "n")
     rooted = materialize(rooted.join(open_bands, "band"), "open")
     if not rooted.isEmpty():
@@ -258,11 +307,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stand = stand.select(F.col("u").alias("leader"), F.col("v").alias("node"), (1 - F.col("common") / F.col("union")).alias("distance"))
         # A bucket's members are dealt to blocks by a hash, so block sizes stay near BLOCK; a heavy bucket only has more blocks.
         spread = rooted.join(stand, ["leader", "node"], "left").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-        member = F.struct("node", "root", "sig", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-        blocks = materialize(spread.groupBy("band", "block").agg(F.collect_list(member).alias("members")), "blocks")
-        left = blocks.select("band", F.col("block").alias("x"), F.col("members").alias("left_block"))
-        right = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("right_block"))
-        pairs = left.join(right, "band").filter("x <= y").select("left_block", "right_block", F.expr("x = y").alias("same"))
+
+        def paired(rows: DataFrame, name: str, *more: str) -> DataFrame:
+            member = F.struct("node", "root", "sig", F.coalesce("distance", F.lit(0.0)).alias("distance"), *more)
+            blocks = materialize(rows.groupBy("band", "place", "block").agg(F.collect_list(member).alias("members")), name)
+            left = blocks.select("band", "place", F.col("block").alias("x"), F.col("members").alias("left_block"))
+            right = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("right_block"))
+            return left.join(right, "band").filter("x <= y").select("place", "left_block", "right_block", F.expr("x = y").alias("same"))
+
+        # Buckets of several blocks are tested in place, on full sets that their blocks carry; no row is made for a pair.
+        large = spread.filter(F.col("n") > BLOCK)
+        wanted = large.select("node").distinct().join(classes.select("node", "rep"), "node")
+        texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+        sets = materialize(texts.mapInArrow(_sets(k), "node binary, members binary").dropDuplicates(["node"]), "large-sets")
+        direct = materialize(paired(large.join(sets, "node"), "large-blocks", "members").mapInArrow(_links(similarity, miss), "u binary, v binary").distinct(), "links-large")
+        if not direct.isEmpty():
+            links = links.union(direct)
+            roots = connected_components(links)
+
+        pairs = paired(spread.filter(F.col("n") <= BLOCK), "blocks")
         ordered = [F.when(F.col("u") < F.col("v"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("u", "v"), ("v", "u"), ("ru", "rv"), ("rv", "ru"))]
         rest = materialize(pairs.mapInArrow(_blocks(similarity, miss), PAIR + ", ru binary, rv binary").select(*ordered, "matches").distinct(), "rest")
         # Two components need one link: the likeliest pair of each two comes first, and the others only where it fails.
