@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import zlib
 
@@ -247,7 +248,7 @@ def test_toxicity_held_out_and_misspelt(spark):
     right = sum(got[i]["predicted"] == int(i % 7 == 0) for i, _, _ in rows)
     assert right >= 0.99 * len(rows)
     more = table(spark, [(1, "the grumblebugg in", "a"), (2, "the gr*mblebug in", "a"), (3, "than there", "a"), (4, None, "a"), (5, "", "a")])
-    model = spark.sparkContext.broadcast(toxicity.fit(docs, labels))
+    model = spark.sparkContext.broadcast(dataclasses.astuple(toxicity.fit(docs, labels)))
     scored = {r["id"]: r["score"] for r in more.selectExpr("doc_id as id", "coalesce(text, '') as text").mapInArrow(toxicity._score(model), "id bigint, score double, terms array<string>").collect()}
     assert scored[1] >= 0.5 and scored[2] >= 0.5 and scored[3] < 0.5 and scored[4] == scored[5] == scored[3]
 

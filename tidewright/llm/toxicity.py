@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -319,7 +319,7 @@ def _hits(automaton):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], int] = {}
         for batch in slices(batches, "text"):
-            for y, codes in zip(batch.column("y").to_pylist(), _features(automaton.value, batch.column("text").to_pylist()), strict=True):
+            for y, codes in zip(batch.column("y").to_pylist(), _features(Automaton(*automaton.value), batch.column("text").to_pylist()), strict=True):
                 for code in codes:
                     counts[code, y] = counts.get((code, y), 0) + 1
         yield pa.record_batch({"code": pa.array([c for c, _ in counts], pa.int32()), "y": pa.array([y for _, y in counts], pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -347,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     clean = {r["term"]: r["n"] for r in sample.filter("y = 0").mapInArrow(_count_terms(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     terms = choose_terms([(t, n, clean.get(t, 0)) for t, n in frequent.items()], n_toxic / (n_toxic + n_clean), tried)
     automaton = build(terms)
-    shared = spark.sparkContext.broadcast(automaton)
+    shared = spark.sparkContext.broadcast(astuple(automaton))
     counts: dict[int, list[int]] = {}
     for r in sample.mapInArrow(_hits(shared), "code int, y int, n bigint").groupBy("code", "y").agg(F.sum("n").alias("n")).collect():
         counts.setdefault(r["code"], [0, 0])[r["y"] == 0] += r["n"]
@@ -362,7 +362,8 @@ def held_out(key):
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        terms, automaton, weights, prior = model.value
+        m = Model(terms, Automaton(*automaton), weights, prior)
         for batch in slices(batches, "text"):
             scores, spotted = [], []
             for codes in _features(m.automaton, [t or "" for t in batch.column("text").to_pylist()]):
@@ -381,7 +382,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     an empty result; without both labels every text has the same score; a null id is never held out; repeated rows are scored
     row by row; other columns are ignored; long texts are read whole.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, labelled))
+    model = docs.sparkSession.sparkContext.broadcast(astuple(fit(docs, labels, id_col, text_col, labelled)))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = base.mapInArrow(_score(model), "id bigint, score double, terms array<string>")
     return out.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "terms")
