@@ -267,3 +267,14 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.toxicity(docs, labels).count() == docs.count()
     assert toxicity.toxicity(docs, labels.limit(0)).filter("score is null").count() == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_words_beside_weaker_stems():
+    terms = toxicity.choose_terms([("loser$", 95, 0), ("los", 116, 217), ("grumble", 60, 0), ("grumbler$", 30, 0)], 0.09, 1000)
+    assert sorted(terms) == [("grumble", True), ("los", True), ("loser", False)]
+    automaton = toxicity.build(terms)
+    n = {t: i for i, (t, _) in enumerate(terms)}
+    hits = {"loser": "loser", "l0ser": "loser", "lozer": "loser~", "lser": "loser~", "loserr": "loser~", "los": "los", "losange": "los", "grumblers": "grumble", "grunblers": "grumble~"}
+    for word, hit in hits.items():
+        assert toxicity._features(automaton, [word]) == [{8 * n[hit.rstrip("~")] + 2 * hit.endswith("~")}], word
+    assert toxicity._features(automaton, ["lo", "gramplers"]) == [set(), set()]

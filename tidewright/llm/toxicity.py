@@ -41,8 +41,8 @@ class Automaton:
 
 
 def reach(term: str, stem: bool) -> int:
-    """Edits allowed for a term: stems and short words must match as they are."""
-    return 0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits allowed for a term, by its own length: short words and stems must match as they are."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 def build(terms: list[tuple[str, bool]]) -> Automaton:
@@ -100,11 +100,10 @@ def build(terms: list[tuple[str, bool]]) -> Automaton:
         return closed(out)
 
     def accepted(states: frozenset) -> int:
-        best = None
-        for node, e in states:
-            for i in (-1 - node,) if node < 0 else [i for i in ends[node] if not terms[i][1]]:
-                if e <= reach(*terms[i]) and (best is None or (e, i) < best):
-                    best = (e, i)
+        hits = [(e, i) for node, e in states for i in ((-1 - node,) if node < 0 else [i for i in ends[node] if not terms[i][1]]) if e <= reach(*terms[i])]
+        # A stem yields to a word below it: the word was kept because it says more.
+        words = [terms[i][0] for _, i in hits if not terms[i][1]]
+        best = min(((e, i) for e, i in hits if not terms[i][1] or not any(w.startswith(terms[i][0]) for w in words)), default=None)
         return -1 if best is None else 2 * best[1] + (best[0] > 0)
 
     start = closed({0: 0})
@@ -256,21 +255,31 @@ def _tail(k: int, n: int, p: float) -> float:
 
 
 def choose_terms(rows: list[tuple[str, int, int]], base: float, tried: int) -> list[tuple[str, bool]]:
-    """Terms of (candidate, toxic, clean) that can't be chance; of a family the longest with the same support."""
-    good = []
+    """Terms of (candidate, toxic, clean) that can't be chance; of a family the longest with the same support.
+
+    A whole word below a stem is left to it only where the stem's clean rate is no worse, or worse only by what may be chance.
+    """
+    good, bar = [], -math.log10(max(1, tried)) - 1.3
     for term, toxic, clean in rows:
         chance = _tail(toxic, toxic + clean, base)
-        if toxic >= 0.3 * (toxic + clean) and chance < -math.log10(max(1, tried)) - 1.3:
-            good.append((round(chance, 6), term, toxic))
+        if toxic >= 0.3 * (toxic + clean) and chance < bar:
+            good.append((round(chance, 6), term, toxic, clean))
     good.sort(key=lambda r: (r[0], -len(r[1]), r[1]))
-    kept: list[tuple[str, int]] = []
-    for _, term, n in good:
-        plain = term.rstrip("$")
-        covered = any((not k.endswith("$") and plain.startswith(k)) or k == term for k, _ in kept)
-        same = any(k.startswith(plain) and m >= 0.9 * n for k, m in kept)
+    kept: list[tuple[str, int, int]] = []
+
+    def left_to(stem: tuple[str, int, int], other: tuple[str, int, int]) -> bool:
+        if stem[0].endswith("$") or not other[0].startswith(stem[0]):
+            return False
+        return not other[0].endswith("$") or not stem[2] or _tail(other[1], other[1] + other[2], stem[1] / (stem[1] + stem[2])) >= bar
+
+    for _, *row in good:
+        new = tuple(row)
+        stem = not new[0].endswith("$")
+        covered = any(left_to(k, new) for k in kept)
+        same = stem and any(k.startswith(new[0]) and m >= 0.9 * new[1] for k, m, _ in kept)
         if not covered and not same:
-            kept = [(k, m) for k, m in kept if term.endswith("$") or not k.startswith(term)] + [(term, n)]
-    return [(t.rstrip("$"), not t.endswith("$")) for t, _ in kept[:2000]]
+            kept = [k for k in kept if not left_to(new, k)] + [new]
+    return [(t.rstrip("$"), not t.endswith("$")) for t, _, _ in kept[:2000]]
 
 
 def _log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> float:
