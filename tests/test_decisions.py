@@ -4,6 +4,7 @@ import pytest
 
 from tidewright.operators import folds, graphs
 from tidewright.operators.decision import REGISTRY
+from tidewright.plans import catalog
 
 
 def rows(spark, sql):
@@ -189,3 +190,13 @@ def test_preflight(spark):
 def test_missing_tables_are_named(spark):
     with pytest.raises(TypeError, match="replicas"):
         REGISTRY["node_loss_partition"].apply(spark, objects=spark.range(1))
+
+
+def test_seeded_topk_draws_from_a_share_of_all_nodes(spark, tmp_path):
+    import random
+
+    spark.range(1, 1001).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 2001).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    live = [n for n in range(1, 1001) if n % 11][:20]
+    got = {r["task"]: r["chosen"] for r in catalog.QUERIES["seeded_topk"](spark, str(tmp_path)).collect()}
+    assert got == {t: random.Random(f"42:{t}").choice(live) for t in range(1, 2001)}

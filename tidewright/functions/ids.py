@@ -71,3 +71,13 @@ def seeded_choice(rows: DataFrame, key: str, candidates: str, top_k: int, fracti
         return pd.Series([pick(*x) for x in zip(keys, ranked, sizes, strict=True)], dtype="Int64")
 
     return rows.withColumn("chosen", run(F.col(key), F.col(candidates), F.col(cluster) if cluster else F.lit(0)))
+
+
+def seeded_rank(key: Column, eligible: int, seed: int = 42) -> Column:
+    """The place, from 0, that ``seeded_choice`` draws among ``eligible`` candidates; null without any."""
+
+    @F.pandas_udf("bigint")
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series([random.Random(f"{seed}:{k}").choice(range(eligible)) if eligible else None for k in keys], dtype="Int64")
+
+    return run(key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import ids
@@ -155,8 +155,13 @@ def derived_ids(tasks: DataFrame) -> DataFrame:
 
 @_tables("tasks nodes")
 def seeded_topk(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
-    ranked = nodes.filter("alive").agg(F.slice(F.sort_array(F.collect_list("node")), 1, 8).alias("candidates"), F.count("*").alias("cluster"))
-    return ids.seeded_choice(tasks.select("task").crossJoin(F.broadcast(ranked)), "task", "candidates", 2, 0.02, "cluster").select("task", "chosen")
+    """One of the first max(2, 2 % of all nodes, dead ones counted) live nodes for each task."""
+    sizes = nodes.agg(F.count("*").alias("cluster"), F.count_if("alive").alias("alive")).first()
+    eligible = min(sizes["alive"], max(2, int(sizes["cluster"] * 0.02)))
+    first = nodes.filter("alive").orderBy("node").limit(eligible)
+    ranked = first.select(F.col("node").alias("chosen"), (F.row_number().over(Window.orderBy("node")) - 1).alias("rank"))
+    drawn = tasks.select("task", ids.seeded_rank(F.col("task"), eligible).alias("rank"))
+    return drawn.join(F.broadcast(ranked), "rank", "left").select("task", "chosen")
 
 
 @_tables("tasks")
