@@ -200,3 +200,9 @@ def test_seeded_topk_draws_from_a_share_of_all_nodes(spark, tmp_path):
     live = [n for n in range(1, 1001) if n % 11][:20]
     got = {r["task"]: r["chosen"] for r in catalog.QUERIES["seeded_topk"](spark, str(tmp_path)).collect()}
     assert got == {t: random.Random(f"42:{t}").choice(live) for t in range(1, 2001)}
+
+
+def test_location_removal_whole_decides_every_node(spark):
+    results = rows(spark, "(1, 1, 11, 5), (1, 2, 11, 5), (1, 1, 12, 5), (2, 3, 20, 5), (2, 3, 20, 5), (2, 1, 21, 5) t(object, attempt, node, payload)")
+    objects = rows(spark, "(1, 9, 2), (2, 9, 3) t(object, size, attempt)")
+    assert decide(spark, "location_removal_whole", results=results, objects=objects) == {(1, 11, True, 2), (1, 12, False, 1), (2, 20, True, 2), (2, 21, False, 1)}

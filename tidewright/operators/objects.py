@@ -154,6 +154,16 @@ FROM {results} r JOIN {objects} o ON o.object = r.object WHERE r.node % 10 = 1 G
     "A location is removed only by a request of the current attempt.",
 )
 
+REMOVE_LOCATION_WHOLE = decision(
+    "location_removal_whole",
+    "results objects",
+    """
+SELECT r.object, r.node, bool_or(r.attempt = o.attempt) AS removed, count(*) AS requests
+FROM {results} r JOIN {objects} o ON o.object = r.object GROUP BY r.object, r.node
+""",
+    "As location_removal, whose SQL decides a tenth of the nodes only, for the requests of every node.",
+)
+
 DEAD_WORKER = decision(
     "dead_worker_cleanup",
     "object_refs nodes",
