@@ -118,6 +118,19 @@ FROM {orders}""",
 SELECT o_custkey % n.k AS ledger, o_orderkey AS seq, CAST((o_orderkey - o_orderkey % 4) / 4 AS BIGINT) AS token, o_orderkey % 10 AS pick,
        1000 * (1 + o_orderkey % 2) AS milli
 FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
+    # What normal tasks hold on their preferred node, and what the last reply to each bundle reservation left there.
+    "allocations": """
+SELECT o_orderkey % n.k AS node, 'CPU' AS resource, 'ACTIVE' AS state, 1000 * (1 + o_orderkey % 4) AS milli FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n
+UNION ALL SELECT o_orderkey % n.k, 'GPU', 'ACTIVE', 1000 FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n WHERE o_orderkey % 7 = 0
+UNION ALL
+SELECT node, resource, CASE WHEN reply = 'REJECTED' THEN 'RELEASED' ELSE reply END,
+       CASE WHEN resource = 'GPU' THEN 1000 WHEN bundle = 0 THEN 1000 * (1 + pg % 4) ELSE 1000 * (1 + pg % 3) END
+FROM (SELECT o_custkey AS pg, o_orderkey % 2 AS bundle, o_orderkey % n.k AS node,
+             CASE WHEN o_orderkey % 19 = 0 THEN 'REJECTED' WHEN o_orderkey % 3 = 0 THEN 'PREPARED' ELSE 'COMMITTED' END AS reply,
+             row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2, o_orderkey % n.k ORDER BY o_orderkey DESC) AS latest
+      FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n) b
+  CROSS JOIN (SELECT 'CPU' AS resource UNION ALL SELECT 'GPU') r
+WHERE latest = 1 AND (resource = 'CPU' OR bundle = 0 AND pg % 7 = 0 OR bundle = 1 AND pg % 9 = 0)""",
     # Trace records: sequences by process, every third caused by the record before it in time.
     "trace_events": """
 SELECT CAST(e.event_id AS STRING) AS event_id, CAST(e.user_id AS STRING) AS process_id, e.event_id AS arrival,
