@@ -74,16 +74,19 @@ def test_pack(spark):
 
 
 def test_encoder_with_tiny_caches():
-    old = packing.CACHE_UNITS, packing.CACHE_WORDS, packing.CACHE_LONGEST
-    packing.CACHE_UNITS, packing.CACHE_WORDS, packing.CACHE_LONGEST = 3, 5, 4
+    import pyarrow as pa
+
+    old = packing.CACHE_ENTRIES, packing.CACHE_LONGEST
+    packing.CACHE_ENTRIES, packing.CACHE_LONGEST = 6, 4
     try:
         encoder = packing.Encoder(WORDS)
-        import numpy as np
-
-        for t in [t or "" for t in ODD] * 2:
-            assert list(np.frombuffer(encoder.encode(t), np.uint32)) == _ids(t)[:-1]
+        texts = [*ODD, "Plain words, words again.", "it's 12 o'clock; IT'S", "a" * 300, "été ÉTÉ naïve Ω ς"]
+        for some in (texts, texts[3:], texts[:2], [], texts):
+            ids, bounds = encoder.encode(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [_ids(t)[:-1] for t in some]
+            assert len(encoder.units.keys) <= 6 and len(encoder.words.keys) <= 6
     finally:
-        packing.CACHE_UNITS, packing.CACHE_WORDS, packing.CACHE_LONGEST = old
+        packing.CACHE_ENTRIES, packing.CACHE_LONGEST = old
 
 
 def _fewest(items, capacity):
@@ -120,6 +123,8 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
         for x in p:
             packed[x] = packed.get(x, 0) + n
     assert packed == counts
+    exact = bin_completion(counts, 20, effort=None)
+    assert sum(n for _, n in exact) == _fewest(items, 20)
     assert sum(n for _, n in patterns) == _fewest(items, 20)
 
 

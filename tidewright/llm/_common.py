@@ -52,10 +52,31 @@ def neutral(df: DataFrame) -> tuple[DataFrame, list]:
     return df.select(*from_), [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that outlives a task: reused Python workers keep it between tasks."""
-    holder = sys.modules.setdefault("_tidewright_worker_cache", types.ModuleType("_tidewright_worker_cache"))
-    return holder.__dict__.setdefault(name, {})
+def worker_cache(name: str, owner: str | None = None) -> dict:
+    """A dict that outlives a task: reused Python workers keep it between tasks.
+
+    Caches with an owner are dropped as soon as another operator's task runs in the worker (it names itself as the owner), so
+    a pipeline's stages don't pile up their caches.
+    """
+    holder = sys.modules.setdefault("_tidewright_worker_cache", types.ModuleType("_tidewright_worker_cache")).__dict__
+    if owner is not None and holder.get("owner") != owner:
+        if holder.pop("owned", None):
+            give_back()
+        holder["owner"], holder["owned"] = owner, {}
+    return (holder if owner is None else holder["owned"]).setdefault(name, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it otherwise, and an executor's limit counts it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20, max_rows: int = 1024) -> Iterator[pa.RecordBatch]:

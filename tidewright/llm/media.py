@@ -69,7 +69,7 @@ def melody(values) -> bytes:
 
     values = np.nan_to_num(np.asarray(values, np.float64))
     pitch = np.floor(values * 40).astype(np.int64) % 24
-    cache = worker_cache("notes")
+    cache = worker_cache("notes", "media")
     if "table" not in cache:
         t = np.arange(NOTE) / RATE
         cache["table"] = np.stack([0.6 * np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) for p in range(24)])
@@ -82,7 +82,7 @@ def chroma(samples):
 
     if len(samples) < FRAME:
         return np.zeros((0, 12))
-    cache = worker_cache("chroma")
+    cache = worker_cache("chroma", "media")
     if "map" not in cache:
         freq = np.fft.rfftfreq(FRAME, 1 / RATE)
         used = np.flatnonzero((freq >= 80) & (freq <= 1760))

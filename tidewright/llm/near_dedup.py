@@ -52,7 +52,7 @@ def least_matches(similarity: float, miss: float = MISS, hashes: int = HASHES, b
 def _permutations():
     import numpy as np
 
-    cache = worker_cache("permutations")
+    cache = worker_cache("permutations", "near_dedup")
     if "ab" not in cache:
         seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
         cache["ab"] = (seeds[:HASHES] >> np.uint64(32)).astype(np.uint32), (seeds[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)

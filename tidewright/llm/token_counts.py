@@ -27,7 +27,7 @@ MAX_FREQUENT = 65_536
 def _model(path: str):
     import sentencepiece
 
-    cache = worker_cache("sentencepiece")
+    cache = worker_cache("sentencepiece", "token_counts")
     if path not in cache:
         cache[path] = sentencepiece.SentencePieceProcessor(model_file=path)
     return cache[path]
@@ -52,7 +52,7 @@ def frequent_table(path: str, limit: int = MAX_FREQUENT) -> tuple[str, bytes]:
 
 def _counter(path: str, table) -> Iterator:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = _model(path), worker_cache("piece-counts")
+        model, cache = _model(path), worker_cache("piece-counts", "token_counts")
         if path not in cache:
             words, counts = table.value
             cache[path] = dict(zip(words.split("\n"), counts, strict=True)), {}, separable(model)

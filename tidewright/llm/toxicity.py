@@ -129,7 +129,7 @@ def _kinds():
     """For each code point: 0 a mark, 1 a letter or digit, 2 white space."""
     import numpy as np
 
-    cache = worker_cache("kinds")
+    cache = worker_cache("kinds", "toxicity")
     if "kinds" not in cache:
         text = [chr(i) for i in range(0x110000)]
         cache["kinds"] = np.fromiter((1 if c.isalnum() else 2 if c.isspace() else 0 for c in text), np.uint8, 0x110000)
