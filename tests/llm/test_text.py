@@ -194,6 +194,61 @@ def test_importance_resampling(spark):
     assert out.columns == docs.columns and out.count() == sum(r["selected"] for r in got.values())
 
 
+def _plain_weights(rows, good):
+    """Log weights by plain counting of hashed n-grams, text by text."""
+    import re
+
+    import numpy as np
+
+    def bucket(values):
+        h = len(values)
+        for v in values:
+            h = ((h ^ v) * 0x9E3779B1) & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> 16
+
+    def grams(text):
+        data = (text or "").encode()
+        lengths = [min(63, len(w)) for w in re.findall(rb"[^\x20\x09-\x0d]+", data)]
+        return [[bucket(v[i : i + n]) for i in range(len(v) - n + 1)] for v, n in [*((data, n) for n in quality.SIZES), *((lengths, n) for n in quality.LENGTHS)]]
+
+    raw, target = (np.zeros((quality.KINDS, quality.BUCKETS)) for _ in range(2))
+    for i, t, _ in rows:
+        for kind, got in enumerate(grams(t)):
+            for b in got:
+                raw[kind, b] += 1
+                target[kind, b] += i in good
+    ratio = np.zeros_like(raw)
+    for kind in range(quality.KINDS):
+        p = (raw[kind] + 0.5) / (raw[kind] + 0.5).sum()
+        q = p * (target[kind] + quality.PRIOR) / (target[kind].sum() * p + quality.PRIOR)
+        ratio[kind] = np.log(q / q.sum()) - np.log(p)
+    return [sum(ratio[kind, b] for kind, got in enumerate(grams(t)) for b in got) for _, t, _ in rows]
+
+
+def test_importance_resampling_against_plain_counts(spark):
+    rows = _labelled(spark)[0][:150] + awkward()[:-1]
+    labels = [(i, int(i % 6 != 0)) for i, _, _ in rows if i is not None and i % 3] + [(7, 0), (None, 1)]
+    good = {i for i, q in labels if q and i is not None} - {7}
+    docs = table(spark, rows)
+    got = quality.importance_resample(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    plain = sorted((str(i), round(w, 3)) for (i, _, _), w in zip(rows, _plain_weights(rows, good), strict=True))
+    assert [x[0] for x in plain] == sorted(str(r["doc_id"]) for r in got)
+    for (_, a), (_, b) in zip(plain, sorted((str(r["doc_id"]), round(r["log_weight"], 3)) for r in got), strict=True):
+        assert abs(a - b) < 0.002
+    k = sum(r["log_weight"] >= 0 for r in got)
+    cut = sorted((r["gumbel_key"] for r in got), reverse=True)[k - 1]
+    assert all(r["selected"] == (r["gumbel_key"] >= cut) for r in got if abs(r["gumbel_key"] - cut) > 1e-6 or r["gumbel_key"] == cut)
+
+
+def test_gumbel_top_k_samples_by_weight(spark):
+    """Of two rows whose weights differ by log 3, the heavier one is drawn first three times out of four."""
+    unit = "(pmod(xxhash64(id, seed), 4503599627370496L) + 0.5) / 4503599627370496D"
+    seen = spark.range(2).crossJoin(spark.range(4000).withColumnRenamed("id", "seed")).selectExpr("seed", "id", f"id * ln(3) - ln(-ln({unit})) as k")
+    first = seen.groupBy("seed").agg({"k": "max"}).withColumnRenamed("max(k)", "k").join(seen, ["seed", "k"])
+    assert 0.72 < first.filter("id = 1").count() / 4000 < 0.78
+
+
 def test_importance_resampling_awkward_rows(spark):
     docs = table(spark, awkward())
     labels = spark.createDataFrame([(10, 1, 0), (None, 1, None), (40, 0, 1), (10, 1, 0)], "doc_id bigint, quality int, toxic int")

@@ -1,9 +1,10 @@
 """Quality selection by importance resampling.
 
-Two generative models of hashed n-grams (byte n-grams, and words by their shape and repetition), counted by the documents
-that hold them, one of target text (rows labelled good) and one of the raw corpus, give each document a log importance
-weight: the sum over its n-grams of log p_target - log p_raw.  Documents are then sampled without replacement in proportion
-to their weights by the Gumbel top-k trick: each weight gets Gumbel noise, and the k largest stay.
+A text is modelled as bags of hashed n-grams: of bytes, and of the lengths of consecutive words.  For each kind there are
+two generative models, one of target text (rows labelled good) and one of the raw corpus, counted n-gram by n-gram.  A
+document's log importance weight is the sum over its n-grams of log p_target - log p_raw.  Documents are sampled without
+replacement in proportion to their weights by the Gumbel top-k trick: each log weight gets Gumbel noise, and the k largest
+stay.
 """
 
 from __future__ import annotations
@@ -14,76 +15,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._bytehash import prefix, spans, words
-from tidewright.llm._common import materialize, neutral, slices, text_buffer
+from tidewright.llm._bytehash import words
+from tidewright.llm._common import materialize, neutral, slices, text_buffer, worker_cache
 
+#: Hash buckets of each kind of n-gram.
 BUCKETS = 1 << 16
-#: Bytes of an n-gram.
-SIZES = (2, 4)
+#: Bytes of a byte n-gram, and words of an n-gram of word lengths (in bytes, 63 at most).
+SIZES, LENGTHS = (2, 4), (3, 5)
+KINDS = len(SIZES) + len(LENGTHS)
 #: Labelled rows that the target model is fitted on at most.
 LABELLED = 20_000
-#: Documents that the raw model counts for as the prior of the target model.
+#: Expected target n-grams that the raw model stands for in each bucket (the shape of a gamma prior around the raw rate).
 PRIOR = 10.0
-#: Neutral n-grams that are added to a text's byte and word n-grams, so that short texts aren't judged by a few.
-DRAWN = (20, 4)
-#: A good document that is rejected counts as much as this many bad ones that are kept.
-COST = 5
 
 
-def _grams(data, offsets):
-    """Buckets of the n-grams of texts, arrays over positions; BUCKETS stands where none begins.
+def _hashed(values, size: int, left):
+    """Buckets of the n-grams of ``size`` values from each place on; BUCKETS where fewer are ``left``."""
+    import numpy as np
 
-    Besides byte n-grams there is one array over words: whether a word is that of one or two before it again, with its first
-    and last kind of character, so that chains of one word, shouting and strewn marks have n-grams of their own whatever the words are.
-    """
+    n = len(values)
+    h = np.full(n, size, np.uint32)
+    for i in range(min(size, n)):
+        h[: n - i] = (h[: n - i] ^ values[i:]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    bucket = (h >> np.uint32(16)).astype(np.int32)
+    bucket[left < size] = BUCKETS
+    return bucket
+
+
+def _grams(data, offsets):
+    """For each kind of n-gram: buckets by place, and the bounds of texts in them."""
     import numpy as np
 
-    n = len(data)
-    out = []
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes up to the end of the text
+    def left(bounds):
+        return np.repeat(bounds[1:], np.diff(bounds)) - np.arange(bounds[-1])
+
     wide = data.astype(np.uint32)
-    for size in SIZES:
-        h = np.full(n, size, np.uint32)
-        for i in range(size):
-            h[: n - i] = (h[: n - i] ^ wide[i:]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-        bucket = (h >> np.uint32(16)).astype(np.int32)
-        bucket[left < size] = BUCKETS
-        out.append(bucket)
+    out = [(_hashed(wide, size, left(offsets)), offsets) for size in SIZES]
     starts, ends, first = words(data, offsets)
-    bucket = np.full(n, BUCKETS, np.int32)
-    if len(starts):
-        h = spans(prefix(data), starts, ends)
-        same = np.zeros(len(h), np.int64)
-        same[1:] = h[1:] == h[:-1]
-        same[first[:-1][first[:-1] < len(h)]] = 0
-        again = same.copy()
-        again[1:] += same[1:] * same[:-1]  # 0 another word, 1 the word before, 2 the word of the two before
-        kind = np.full(256, 3, np.int64)  # 0 lower case, 1 upper case, 2 digit, 3 mark
-        kind[97:123], kind[128:], kind[65:91], kind[48:58] = 0, 0, 1, 2
-        shape = ((again * 4 + kind[data[starts]]) * 4 + kind[data[ends - 1]]).astype(np.uint32)
-        bucket[starts] = ((shape + np.uint32(77)) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int32)
-    out.append(bucket)
-    return out
+    lengths = np.minimum(ends - starts, 63).astype(np.uint32)
+    return out + [(_hashed(lengths, size, left(first)), first) for size in LENGTHS]
 
 
 def _count():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        raw, target, n_raw, n_target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64), 0, 0
-        for batch in slices(batches, "text", max_rows=400):
-            marked = np.array(batch.column("target").to_pylist(), bool)
-            data, offsets = text_buffer(batch.column("text"))
-            present = np.zeros((len(marked), BUCKETS + 1), bool)
-            flat, base = present.reshape(-1), np.repeat(np.arange(len(marked)) * (BUCKETS + 1), np.diff(offsets))
-            for grams in _grams(data, offsets):
-                flat[base + grams] = True
-            raw += present.sum(0)
-            target += present[marked].sum(0)
-            n_raw, n_target = n_raw + len(marked), n_target + int(marked.sum())
-        raw[BUCKETS], target[BUCKETS] = n_raw, n_target
+        worker_cache("none", "quality")  # drops what other operators left in this worker
+        raw, target = np.zeros((KINDS, BUCKETS + 1), np.int64), np.zeros((KINDS, BUCKETS + 1), np.int64)
+        for batch in slices(batches, "text", 1 << 20):
+            marked = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            for kind, (grams, bounds) in enumerate(_grams(*text_buffer(batch.column("text")))):
+                raw[kind] += np.bincount(grams, minlength=BUCKETS + 1)
+                target[kind] += np.bincount(grams[np.repeat(marked, np.diff(bounds))], minlength=BUCKETS + 1)
+        raw, target = raw[:, :BUCKETS].ravel(), target[:, :BUCKETS].ravel()
         used = np.flatnonzero(raw)
         yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
 
@@ -94,54 +80,56 @@ def _weigh(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        ratio = np.append(np.frombuffer(table.value, np.float64), 0.0)
-        for batch in slices(batches, "text"):
-            data, offsets = text_buffer(batch.column("text"))
-            weight, count, score = 0.0, 0, 0.0
-            # Byte n-grams and word n-grams are two models: each gives its mean, and the score is their sum.
-            *small, shapes = _grams(data, offsets)
-            for group, drawn in ((small, DRAWN[0]), ([shapes], DRAWN[1])):
-                sums, seen = np.zeros(len(data) + 1), np.zeros(len(data) + 1, np.int64)
-                for grams in group:
-                    sums[1:] += ratio[grams]
-                    seen[1:] += grams < BUCKETS
-                np.cumsum(sums, out=sums)
-                np.cumsum(seen, out=seen)
-                total, n = np.round(sums[offsets[1:]] - sums[offsets[:-1]], 6), np.diff(seen[offsets])
-                weight, count, score = weight + total, count + n, score + np.round(total / (n + drawn), 6)
-            yield pa.record_batch({"id": batch.column("id"), "text_key": batch.column("text_key"), "n_grams": pa.array(count), "log_weight": pa.array(weight), "score": pa.array(score)})
+        worker_cache("none", "quality")
+        ratio = np.hstack([np.frombuffer(table.value, np.float64).reshape(KINDS, BUCKETS), np.zeros((KINDS, 1))])
+        for batch in slices(batches, "text", 1 << 20):
+            weight, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for kind, (grams, bounds) in enumerate(_grams(*text_buffer(batch.column("text")))):
+                full = np.flatnonzero(np.diff(bounds))
+                if len(full):
+                    # Each text is summed on its own, so its weight doesn't depend on its batch.
+                    weight[full] += np.add.reduceat(ratio[kind][grams], bounds[full])
+                    count[full] += np.add.reduceat((grams < BUCKETS).astype(np.int64), bounds[full])
+            yield pa.record_batch({"id": batch.column("id"), "text_key": batch.column("text_key"), "n_grams": pa.array(count), "log_weight": pa.array(np.round(weight, 6))})
 
     return run
 
 
-def _half():
-    """Labels are dealt by their id to the model (0) and to its boundary (1)."""
-    return F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))
+def log_ratios(raw, target):
+    """log p_target - log p_raw of each bucket (rows are kinds), from counts of n-grams.
+
+    A bucket's rate in target text has a gamma prior around its raw rate, worth PRIOR expected n-grams, so buckets without
+    evidence weigh nothing; the target model is then normalised to 1 over the buckets.
+    """
+    import numpy as np
+
+    p_raw = (raw + 0.5) / (raw.sum(1, keepdims=True) + 0.5 * BUCKETS)
+    expected = target.sum(1, keepdims=True) * p_raw
+    p_target = p_raw * (target + PRIOR) / (expected + PRIOR)
+    return np.log(p_target / p_target.sum(1, keepdims=True) / p_raw)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED):
-    """log p_target - log p_raw for each bucket, as bytes of float64.
+    """The log ratios of all buckets, as bytes of float64.
 
-    The raw model counts every document.  The target model is fitted on at most about ``labelled`` rows labelled good, taken
-    by a hash of their id, so what is broadcast for it is bounded; another half of the labels is left for the boundary.
+    The raw model counts every n-gram of every document.  The target model is fitted on at most about ``labelled`` rows
+    labelled good, taken by a hash of their id, so what is broadcast for it is bounded.  Ids labelled both ways aren't good.
     """
     import numpy as np
 
-    good = labels.filter("quality = 1").select(F.col(id_col).cast("bigint").alias("id")).distinct().filter(_half() == 0)
+    known = labels.filter("quality is not null").groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min("quality").alias("least"))
+    good = known.filter("id is not null and least = 1").select("id")
     share = min(1.0, labelled / max(1, good.count()))
     good = good.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("hit", F.lit(True))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = base.join(F.broadcast(good), "id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("target"))
-    # Each task sends one count for a bucket at most; BUCKETS rows come to the driver.
+    # Each task sends one count for a bucket at most; KINDS x BUCKETS rows come to the driver.
     rows = marked.mapInArrow(_count(), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    raw, target = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
-    if not target[BUCKETS]:
-        return np.zeros(BUCKETS).tobytes()
-    # The prior of the target model is the raw model itself, so buckets without evidence weigh nothing.
-    p_raw = (raw + 0.5) / (raw[BUCKETS] + 1)
-    p_target = (target + PRIOR * p_raw) / (target[BUCKETS] + PRIOR)
-    return np.log(p_target / p_raw)[:BUCKETS].tobytes()
+    if not target.any():
+        return np.zeros(KINDS * BUCKETS).tobytes()
+    return log_ratios(raw.reshape(KINDS, BUCKETS), target.reshape(KINDS, BUCKETS)).tobytes()
 
 
 #: Added to whole-number keys, so that they aren't negative.
@@ -166,58 +154,33 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int:
     return lowest
 
 
-#: Importance weights are compared as those of texts of this many n-grams, so that long texts don't drown the noise.
-REFERENCE = 100
-
-
-def boundary(weights: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id") -> float:
-    """The mean log weight that best parts good from bad labels, on about ``labelled`` labelled rows at most; 0 without both."""
-    import numpy as np
-
-    known = labels.filter("quality is not null").select(F.col(id_col).cast("bigint").alias("id"), F.col("quality").alias("good")).dropDuplicates(["id"]).filter(_half() == 1)
-    share = min(1.0, labelled / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = weights.select("id", "score").join(F.broadcast(known), "id").select("score", "good").toPandas().sort_values("score")
-    good, score = rows["good"].to_numpy() == 1, rows["score"].to_numpy()
-    if good.all() or not good.any():
-        return 0.0
-    # Errors of the cut before each row, as shares of the two kinds; of the best cuts the middle one is taken.
-    lost = COST * np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    kept = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    errors = np.round(lost + kept, 9)
-    best = np.flatnonzero(errors == errors.min())
-    edges = np.concatenate([[score[0] - 1], score, [score[-1] + 1]])
-    return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
-
-
 def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_grams, log_weight, score, gumbel_key, selected, text_key.
+    """One row per row of ``docs``: id, n_grams, log_weight, gumbel_key, selected, text_key.
 
-    ``score`` is the mean log weight of a byte n-gram plus that of a word n-gram, and the key is the log weight at REFERENCE n-grams plus Gumbel noise.
-    ``k`` documents are sampled; by default as many as score above the boundary between good and bad labels.  Defined cases:
-    a null or empty text has weight 0; an empty table gives an empty result; without good labels every weight is 0; rows of
-    equal id and text get equal keys, and all rows that tie with the k-th key are selected; null ids take part; other
-    columns are ignored.
+    The key is the log weight plus standard Gumbel noise, and the ``k`` rows with the largest keys are selected; by default
+    ``k`` is the number of rows that the target model finds at least as likely as the raw model does (log weight 0 or more).
+    Defined cases: a null or empty text has weight 0; an empty table gives an empty result; without good labels every weight
+    is 0; rows of equal id and text get equal keys, and all rows that tie with the k-th key are selected; null ids take
+    part, but labels of null ids count for nothing; other columns are ignored.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    weights = base.mapInArrow(_weigh(table), "id bigint, text_key bigint, n_grams bigint, log_weight double, score double")
+    weights = base.mapInArrow(_weigh(table), "id bigint, text_key bigint, n_grams bigint, log_weight double")
     unit = (F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), "text_key", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = weights.withColumn("gumbel_key", F.col("score") * REFERENCE - F.log(-F.log(unit)))
+    keyed = weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit)))
     # Keys as whole numbers, so that the cut is exact.
     keyed = materialize(keyed.withColumn("ordinal", F.round(F.col("gumbel_key") * 1e6).cast("bigint") + F.lit(SHIFT)), "weights")
-    if k is None:
-        k = keyed.filter(F.col("score") >= boundary(keyed, labels, id_col=id_col)).count()
-    total = keyed.count()
+    sizes = keyed.agg(F.count("*").alias("rows"), F.count_if(F.col("log_weight") >= 0).alias("likely")).first()
+    k = sizes["likely"] if k is None else k
     if k <= 0:
         chosen = F.lit(False)
-    elif k >= total:
+    elif k >= sizes["rows"]:
         chosen = F.lit(True)
     else:
         chosen = F.col("ordinal") >= kth_largest(keyed, "ordinal", k)
-    return keyed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "score", "gumbel_key", chosen.alias("selected"), "text_key")
+    return keyed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "gumbel_key", chosen.alias("selected"), "text_key")
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

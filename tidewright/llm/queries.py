@@ -49,7 +49,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "n_grams", F.round("log_weight", 4).alias("log_weight"), F.round("score", 4).alias("score"), "selected")
+    return found.select("doc_id", "n_grams", F.round("log_weight", 4).alias("log_weight"), F.round("gumbel_key", 4).alias("gumbel_key"), "selected")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
