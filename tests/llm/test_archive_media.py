@@ -5,7 +5,7 @@ import pytest
 
 from helpers import key
 from tidewright.llm import media
-from tidewright.llm.warc import archive_round_trip, export_warc, import_warc, parse_warc, read_archive, write_archive
+from tidewright.llm.warc import archive_round_trip, export_warc, import_warc, parse_records, parse_warc, read_archive, write_archive
 
 PAGES = [(3, "http://x/3", "p" * 200), (1, "http://x/1", "p" * 200), (2, None, "small"), (5, "u", "small"), (6, "http://x/6", None), (7, "http://x/7", ""), (9, "http://é/9", "é\r\n\r\nWARC/1.1" * 20),
          (10, "http://x/10", "é\r\n\r\nWARC/1.1" * 20), (None, "n", "p" * 200), (1, "http://x/1", "p" * 200), (12, "http://x/12", "q" * 5000)]
@@ -53,7 +53,34 @@ def test_plain_warc_files(spark, tmp_path):
     got = import_warc(spark, f"{target}/part-*").collect()
     again = read_archive(spark, path).collect()
     assert sorted((r["header"], bytes(r["payload"])) for r in got) == sorted((r["header"], bytes(r["payload"])) for r in again)
-    assert list(parse_warc(b"")) == []
+    assert all("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in r["header"] for r in got)
+    assert list(parse_warc(b"")) == [] and list(parse_warc(b"\r\n\r\n")) == []
+
+
+def test_empty_archive_as_plain_files(spark, tmp_path):
+    write_archive(pages(spark).limit(0), str(tmp_path / "archive"))
+    export_warc(spark, str(tmp_path / "archive"), str(tmp_path / "warc"))
+    assert import_warc(spark, str(tmp_path / "warc")).count() == 0
+
+
+def test_records_in_chunks_of_any_size_and_broken_files():
+    one = b"WARC/1.1\r\nContent-Length: 5\r\n\r\na\r\n\r\n\r\n\r\n"
+    data = one * 3
+    for size in (1, 2, 7, 1000):
+        got = list(parse_records(data[i : i + size] for i in range(0, len(data), size)))
+        assert got == [("WARC/1.1\r\nContent-Length: 5\r\n\r\n", b"a\r\n\r\n")] * 3
+    for bad in (one[:20], one[:34], b"WARC/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(parse_warc(bad))
+
+
+def test_hot_payloads_are_read_in_parts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    many = spark.range(6000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("h" * 150)).otherwise(F.concat(F.lit("p"), "id")).alias("html"))
+    write_archive(many, str(tmp_path / "archive"))
+    got = read_archive(spark, str(tmp_path / "archive"))
+    assert got.count() == 6000 and got.filter("not verified").count() == 0 and got.filter("record_type = 'revisit' and refers_to = 0").count() == 1999
 
 
 def tune(seed, n=64):

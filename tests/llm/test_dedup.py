@@ -1,13 +1,15 @@
 import hashlib
 import random
 
+import pytest
+
 from helpers import SCHEMA, awkward, components, key, normal, repeats, table
-from tidewright.llm import near_dedup, suffix_dedup
+from tidewright.llm import near_dedup, suffix_dedup, suffix_sort
 from tidewright.llm.components import connected_components
 from tidewright.llm.exact_dedup import exact_dedup, exact_dedup_rows, merge_runs
 from tidewright.llm.near_dedup import least_matches, near_duplicate_rows, near_duplicates
 from tidewright.llm.suffix_dedup import remove_repeats
-from tidewright.llm.suffix_sort import Sorter, repeated
+from tidewright.llm.suffix_sort import Sorter, Store, repeated
 
 
 def test_exact_dedup(spark):
@@ -113,32 +115,74 @@ def test_connected_components(spark):
     assert all((got[a] == got[b]) == (find(a) == find(b)) for a, b in pairs)
 
 
-def test_suffix_sorter_with_queues_on_disk():
+def _check_sorted(text, depth, positions, common):
+    assert sorted(positions) == list(range(len(text)))
+    for i in range(1, len(positions)):
+        a, b = text[positions[i - 1] :][:depth], text[positions[i] :][:depth]
+        assert b <= a
+        shared = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common[i] == shared, (i, common[i], shared)
+
+
+@pytest.mark.parametrize("narrow", [suffix_sort.NARROW, 0])
+def test_suffix_sorter_with_queues_on_disk(narrow, monkeypatch):
+    """Also with every level above the memory for names, and with the queues of large alphabets on every level."""
     import numpy as np
 
+    monkeypatch.setattr(suffix_sort, "NARROW", narrow)
     r = random.Random(3)
-    for _ in range(60):
+    for _ in range(120):
         n, k, depth = r.randint(1, 90), r.choice([1, 2, 3, 20]), r.choice([2, 5, 11])
+        monkeypatch.setattr(suffix_sort, "BATCH", r.choice([3, 16, 1 << 18]))
         text = [r.randint(1, k) for _ in range(n)] + [0]
-        sorter = Sorter(np.array(text, np.uint16), depth, budget=r.choice([0, 300]))
+        if r.random() < 0.3:
+            text = (text[:-1] * 4)[: 4 * n] + [0]
+        store = Store(r.choice([0, 300, 1 << 20]))
+        sorter = Sorter(np.array(text, np.uint16), depth, store, names=r.choice([1, 4, 1 << 20]))
         positions, common = [], []
         for p, c in sorter.runs():
             positions += p.tolist()
             common += c.tolist()
-        sorter.close()
-        assert sorted(positions) == list(range(len(text)))
-        for i in range(1, len(positions)):
-            a, b = text[positions[i - 1] :][:depth], text[positions[i] :][:depth]
-            assert b <= a
-            shared = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            assert common[i] == shared
+        store.close()
+        _check_sorted(text, depth, positions, common)
+
+
+def test_suffix_sorter_far_beyond_its_memory(monkeypatch):
+    """Four levels of names, 50 times the budget in arrays and queues: what is in memory stays below the budget."""
+    import numpy as np
+
+    monkeypatch.setattr(suffix_sort, "BATCH", 1 << 10)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(200)]
+    data = " ".join(r.choice(words) for _ in range(6000)).encode()
+    data += data[5000:9000]
+    text = np.append(np.frombuffer(data, np.uint8).astype(np.uint16), np.uint16(0))
+    budget = 20_000
+    store, most = Store(budget), 0
+    fits = store.fits
+    monkeypatch.setattr(store, "fits", lambda size: (fits(size), most_used())[0])
+
+    def most_used():
+        nonlocal most
+        most = max(most, store.used)
+
+    got = repeated(text, 60, store, names=500)
+    assert most <= budget and store.spilled > 50 * budget and len(text) * 2 > 3 * budget
+    seen = {}
+    for i in range(len(data)):
+        seen.setdefault(data[i : i + 60], []).append(i)
+    expected = sorted(i for k, v in seen.items() if len(k) == 60 and len(v) > 1 for i in v)
+    assert np.flatnonzero(got).tolist() == expected
+    store.close()
 
 
 def test_repeated_marks_both_ends():
     import numpy as np
 
     text = np.frombuffer(b"abcdeXabcdeY", np.uint8).astype(np.uint16)
-    assert np.flatnonzero(repeated(np.append(text, np.uint16(0)), 4)).tolist() == [0, 1, 6, 7]
+    store = Store(1 << 20)
+    assert np.flatnonzero(repeated(np.append(text, np.uint16(0)), 4, store)).tolist() == [0, 1, 6, 7]
+    store.close()
 
 
 def _repeats(spark, rows, length, gram):
@@ -159,10 +203,9 @@ def test_remove_repeats_within_and_across_texts(spark):
     _repeats(spark, rows, 40, 15)
 
 
-def test_remove_repeats_with_heavy_anchors(spark):
-    old = suffix_dedup.HEAVY_SEGMENTS
-    suffix_dedup.HEAVY_SEGMENTS = 1
-    try:
-        _repeats(spark, awkward(2), 60, 20)
-    finally:
-        suffix_dedup.HEAVY_SEGMENTS = old
+def test_remove_repeats_with_anchors_cut_again(spark, monkeypatch):
+    """Also with shards of one row's size, so that many go to a task, and next to no memory for a sorter."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 1)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 1000)
+    _repeats(spark, awkward(2), 60, 20)

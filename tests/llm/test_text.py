@@ -9,7 +9,7 @@ from helpers import SCHEMA, awkward, key, normal, table
 from tidewright.llm import packing, quality, toxicity
 from tidewright.llm.mixing import mix, mixed_rows, source_shares, temperature, token_count
 from tidewright.llm.packing import bin_completion, dominates, fillings, lower_bound, pack
-from tidewright.llm.token_counts import frequent_table, separable, token_counts
+from tidewright.llm.token_counts import frequent_table, frequent_units, separable, token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -27,12 +27,30 @@ def test_token_counts_equal_the_library(spark):
     assert sorted(map(tuple, got), key=key) == sorted(expected, key=key)
 
 
-def test_frequent_table_is_bounded_by_the_vocabulary():
+def test_table_of_frequent_pre_tokens(spark):
     import sentencepiece
+    from array import array
 
-    words, counts = frequent_table(PIECES)
-    assert len(words.split("\n")) == len(counts) <= 32_000
-    assert separable(sentencepiece.SentencePieceProcessor(model_file=PIECES))
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert separable(model)
+    docs = spark.createDataFrame([("b a a\na",), ("a b▁c",), ("",), ("x" * 300,)], "text string")
+    assert frequent_units(docs) == ["a", "b", "\na", "c"] and frequent_units(docs, limit=2) == ["a", "b"]
+    assert frequent_units(docs.limit(0)) == [] and frequent_table(PIECES, []) == ("", b"")
+    words, counts = frequent_table(PIECES, ["a", "\na"])
+    assert words == "a \na" and list(array("I", counts)) == [len(model.encode("a")), len(model.encode("x\na")) - len(model.encode("x"))]
+
+
+def test_token_counts_of_empty_tables_and_without_a_cache(spark, monkeypatch):
+    from tidewright.llm import token_counts as module
+
+    assert token_counts(table(spark, []), PIECES).count() == 0
+    monkeypatch.setattr(module, "MAX_FREQUENT", 1)
+    monkeypatch.setattr(module, "CACHE_ENTRIES", 2)
+    test_token_counts_equal_the_library(spark)
+
+
+def test_packing_of_empty_tables(spark):
+    assert pack(table(spark, []), WORDS).count() == 0
 
 
 def _ids(text):
@@ -150,6 +168,72 @@ def test_mixing_meets_its_targets(spark):
     assert 0 < a < 1
 
 
+def test_mixing_targets_on_both_sides_of_the_natural_shares(spark):
+    def entropy(p):
+        return -sum(x * math.log(x) for x in p if x)
+
+    for sizes in ([90, 10], [50, 30, 15, 5], [40, 40, 20], [7, 7, 7]):
+        p = [x / sum(sizes) for x in sizes]
+        shares = spark.createDataFrame([(str(i), 1, n, x) for i, (n, x) in enumerate(zip(sizes, p))], "source_key string, n_docs bigint, n_tokens bigint, share double")
+        top = math.log(len(p))
+        for target in (0.2, 0.5, 0.8, 0.95, 1.0):
+            floor = math.log(sizes.count(max(sizes)))  # what is left as the exponent grows
+            if target * top < floor - 1e-6:
+                with pytest.raises(ValueError):
+                    temperature(shares, target_entropy=target)
+                continue
+            if abs(target * top - floor) < 1e-6 and len(set(sizes)) > 1:
+                continue
+            a = temperature(shares, target_entropy=target)
+            q = [x**a for x in p]
+            got = entropy([x / sum(q) for x in q])
+            assert got <= target * top + 1e-6 and (a == 0 or got > target * top - 1e-4), (sizes, target, a)
+        with pytest.raises(ValueError):
+            temperature(shares, max_repeats=0.5)
+        assert temperature(shares.limit(1), target_entropy=0.1) == 1.0
+
+
+def test_mixing_against_plain_dealing(spark):
+    """Weights, passes, blocks, places and copies of every row, dealt in plain Python from the hashes that SQL gives."""
+    from pyspark.sql import functions as F
+    from tidewright.llm import mixing
+
+    rows = [(i, " ".join(["w"] * (i % 17)), ["big", "b", "c", None][min(3, i % 9)] if i % 9 < 4 else "big") for i in range(2500)] + [(3, "w w", "b"), (None, "x", "c")]
+    docs = table(spark, rows)
+    got = mix(docs, max_repeats=2.0)
+    tag = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
+    hashed = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(11), tag).alias("h"), F.xxhash64(F.lit(12), tag).alias("k")).collect()
+    tokens = [len((r["text"] or "").split()) for r in hashed]
+    total, by, members = sum(tokens), {}, {}
+    for r, n in zip(hashed, tokens):
+        by[r["source"]] = by.get(r["source"], 0) + n
+        members[r["source"]] = members.get(r["source"], 0) + 1
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        z = sum((x / total) ** a for x in by.values())
+        if max((x / total) ** (a - 1) for x in by.values()) / z > 2.0:
+            low = a
+        else:
+            high = a
+    z = sum((x / total) ** high for x in by.values())
+    weight = {s: (x / total) ** high / z for s, x in by.items()}
+    passes = {s: weight[s] / (by[s] / total) for s in by}
+    blocks = {}
+    for r, n in zip(hashed, tokens):
+        blocks.setdefault((r["source"], r["h"] % -(-members[r["source"]] // mixing.BLOCK_ROWS)), []).append((r["k"], r["doc_id"] is not None, r["doc_id"], n))
+    expected = []
+    for (s, b), inside in blocks.items():
+        inside.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        part, before = (passes[s] - int(passes[s])) * sum(x[3] for x in inside), 0
+        for place, (_, _, i, n) in enumerate(inside):
+            expected.append((i, s, n, round(weight[s], 6), round(passes[s], 6), b, place, int(passes[s]) + (before + n / 2 <= part and part > 0)))
+            before += n
+    columns = ["doc_id", "source", "mix_tokens", "mix_weight", "mix_passes", "mix_block", "mix_position", "mix_copies"]
+    rows = [tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in columns)) for r in got.collect()]
+    assert sorted(rows, key=key) == sorted(expected, key=key)
+
+
 def test_mixing_awkward_rows(spark):
     docs = table(spark, awkward())
     drawn = mix(docs, max_repeats=3.0)
@@ -329,6 +413,14 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_contradictory_labels_count_as_toxic_in_any_order(spark):
+    rows, docs, labels = _labelled(spark)
+    more = spark.createDataFrame([(i, 1, 0) for i in range(0, 600, 7)], "doc_id bigint, quality int, toxic int")
+    a = toxicity.fit(docs, labels.union(more))
+    b = toxicity.fit(docs, more.union(labels))
+    assert a.terms and a.terms == b.terms and a.weights == b.weights
+
+
 def test_toxicity_words_beside_weaker_stems():
     terms = toxicity.choose_terms([("loser$", 95, 0), ("los", 116, 217), ("grumble", 60, 0), ("grumbler$", 30, 0)], 0.09, 1000)
     assert sorted(terms) == [("grumble", True), ("los", True), ("loser", False)]

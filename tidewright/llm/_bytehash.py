@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from tidewright.llm._common import worker_cache
@@ -58,6 +60,8 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
 
 
+#: Bytes of a word from which its hash is a digest.
+LONG_WORD = 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -92,6 +96,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndar
     out = np.zeros(bounds[-1], U64)
     if len(starts):
         h = spans(prefix(data), starts, ends)
+        view = memoryview(data)
+        # Polynomials modulo 2**64 are weak on long structured strings only: long words are hashed by BLAKE2b instead.
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8).digest(), "little")
         factors = [U64(pow(BASE2, i + 1, 1 << 64)) for i in range(k)]
         n = len(h)
         rolled = np.zeros(max(0, n - k + 1), U64)

@@ -1,7 +1,7 @@
 """Temperature mixing of sources, in DataFrame and SQL functions only.
 
-A source's natural share of the tokens is p; its weight is p**a, normalised.  The exponent a is bisected until the weights
-reach a target entropy or the most repeated source reaches a repetition limit.  Weights then become rows by budgeted block
+A source's natural share of the tokens is p; its weight is p**a, normalised.  The exponent a is bisected, many parts a step,
+until the weights reach a target entropy or the most repeated source reaches a repetition limit.  Weights then become rows by budgeted block
 permutations: each source's documents are dealt to blocks of bounded size, every block is permuted by a keyed hash, whole
 passes repeat the block, and the rest of the budget takes documents from the start of its permutation.
 """
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidewright.llm._common import materialize, neutral
 
 BLOCK_ROWS = 1024
-STEPS = 30
+#: Exponents that one step of the bisection tries at once.
+STEPS = 32
 
 
 def token_count(text: Column) -> Column:
@@ -31,42 +32,59 @@ def source_shares(rows: DataFrame) -> DataFrame:
     return sizes.withColumn("share", F.col("n_tokens") / F.lit(float(max(1, total))))
 
 
-def _moments(shares: DataFrame, exponent: float) -> tuple[float, float, float, float]:
-    """Sum of p**a, entropy, and largest and smallest weight per natural share, in one aggregation over the sources."""
-    p = F.col("share")
-    powered = F.pow(p, F.lit(exponent))
-    z, zl, most, least = shares.filter("share > 0").agg(F.sum(powered), F.sum(powered * F.log(p)), F.max(powered / p), F.min(powered / p)).first()
-    if not z:
-        return 0.0, 0.0, 0.0, 0.0
-    return z, math.log(z) - exponent * zl / z, most / z, least / z
+def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float, float]]:
+    """Sum of p**a, entropy, and largest and smallest weight per natural share for each exponent, in one job over the sources."""
+    p, a = F.col("share"), F.col("exponent")
+    powered = F.pow(p, a)
+    each = shares.filter("share > 0").select("share", F.posexplode(F.array(*(F.lit(float(x)) for x in exponents))).alias("number", "exponent"))
+    sums = each.groupBy("number").agg(F.sum(powered).alias("z"), F.sum(powered * F.log(p)).alias("zl"), F.max(powered / p).alias("most"), F.min(powered / p).alias("least"))
+    out = [(0.0, 0.0, 0.0, 0.0)] * len(exponents)
+    for r in sums.collect():  # a row for each exponent
+        z = r["z"]
+        out[r["number"]] = z, math.log(z) - exponents[r["number"]] * r["zl"] / z, r["most"] / z, r["least"] / z
+    return out
 
 
 def temperature(shares: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_passes: float | None = 1.0) -> float:
-    """The exponent in [0, 1], bisected: as flat as the repetition limit allows, and no flatter than the entropy asks.
+    """The smallest exponent, bisected, at which weights are as flat as the repetition limit and the target entropy allow.
 
-    ``target_entropy`` is a share of the greatest possible entropy.  ``budget_passes`` is the budget in passes over the whole
-    corpus; None stands for the smallest budget that uses each document at least once.
+    ``target_entropy`` is a share of the greatest possible entropy, ``max_repeats`` bounds the passes over the source that is
+    repeated most.  ``budget_passes`` is the budget in passes over the whole corpus; None stands for the smallest budget that
+    uses each document at least once, and limits the most repeated source against the least.  Below 1 an exponent flattens
+    the natural shares; above 1 it sharpens them, which an entropy below the natural one needs.  Targets that no exponent
+    meets, or that only contradict each other, are a ValueError.  With fewer than two sources there is nothing to mix: 1.
     """
     sources = shares.filter("share > 0").count()
     if sources < 2:
         return 1.0
 
-    def too_flat(a: float) -> bool:
-        z, entropy, most, least = _moments(shares, a)
+    def too_repeated(most: float, least: float) -> bool:
         repeats = most / least if budget_passes is None else most * budget_passes
-        if max_repeats is not None and repeats > max_repeats:
+        return max_repeats is not None and repeats > max_repeats * (1 + 1e-9)
+
+    def too_flat(exponent: float, moments: tuple) -> bool:
+        _, entropy, most, least = moments
+        # Beyond 1 sharper weights repeat more, so only the entropy can ask for them.
+        if exponent <= 1 and too_repeated(most, least):
             return True
-        return target_entropy is not None and entropy > target_entropy * math.log(sources)
-
-    low, high = 0.0, 1.0
-    if not too_flat(low):
-        return low
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        if too_flat(middle):
-            low = middle
-        else:
-            high = middle
+        return target_entropy is not None and entropy > target_entropy * math.log(sources) + 1e-9
+
+    def first_sharp(exponents: list[float]) -> int | None:
+        return next((i for i, m in enumerate(_moments(shares, exponents)) if not too_flat(exponents[i], m)), None)
+
+    ladder = [0.0, 1.0, *(2.0**k for k in range(1, 11))]
+    place = first_sharp(ladder)
+    if place is None:
+        raise ValueError(f"no exponent brings the entropy down to {target_entropy} of the greatest")
+    low, high = ladder[max(0, place - 1)], ladder[place]
+    while place and high - low > 1e-9 * max(1.0, high):
+        grid = [low + (high - low) * k / STEPS for k in range(1, STEPS + 1)]
+        at = first_sharp(grid)
+        low, high = low if at == 0 else grid[at - 1], grid[at]
+    _, _, most, least = _moments(shares, [high])[0]
+    # At 1 every source has the same passes: a limit below that can't be met, nor can one that the entropy's sharpening breaks.
+    if too_repeated(most, least):
+        raise ValueError(f"no exponent meets max_repeats {max_repeats} with these targets")
     return high
 
 
@@ -88,7 +106,7 @@ def mix(
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key")
     shares = source_shares(docs.select(key, token_count(F.col(text_col)).alias("tokens")))
     exponent = temperature(shares, target_entropy, max_repeats, budget_passes)
-    z, _, _, least = _moments(shares, exponent)
+    z, _, _, least = _moments(shares, [exponent])[0]
     passes = 1 / least if budget_passes is None and least else budget_passes or 1.0
     weight = F.when(F.col("share") > 0, F.pow("share", F.lit(exponent)) / F.lit(z or 1.0)).otherwise(0.0)
     plan = shares.select(

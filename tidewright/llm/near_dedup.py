@@ -5,7 +5,7 @@
 2. In each band bucket every class is compared with the bucket's first class (a star, not all pairs).
 3. Candidates are compared batch of signature values by batch: as soon as the posterior probability that their similarity
    reaches the threshold falls to the miss probability, they are pruned.  Survivors are checked on their full shingle sets.
-4. Buckets whose classes are then still in several components get the pairs between different components, in blocks of
+4. Buckets whose classes are then still in several components get the pairs between different components, in cells of
    bounded size.  Exact distances from the bucket's first class rule out most of them (Jaccard distance is a metric), and
    the same pruning most of the others.  So no link is lost to the star, and a bucket of one component costs nothing.
 """
@@ -26,18 +26,22 @@ from tidewright.llm.components import connected_components
 BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 BATCH = 16
+#: Members of a bucket that are compared in one row; larger buckets are compared in cells of two groups of members.
 BLOCK = 256
-#: Posterior probability of reaching the threshold at which a candidate is given up.
-MISS = 1e-5
+#: Members and bytes of shingle sets that a group holds on average.
+GROUP_ROWS, GROUP_BYTES = 2048, 16 << 20
+#: Probability at which a pair that reaches the threshold is given up, over all looks at it.
+MISS = 1e-6
 
 
 def least_matches(similarity: float, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> tuple[tuple[int, int], ...]:
     """(n, m): after n signature values, fewer than m matches prune a pair.
 
     With a uniform prior the similarity given m matches of n is Beta(m + 1, n - m + 1), and the probability that it reaches
-    ``similarity`` is the lower tail of Binomial(n + 1, similarity) up to m.
+    ``similarity`` is the lower tail of Binomial(n + 1, similarity) up to m.  Each look has an equal part of ``miss``.
     """
     out = []
+    miss /= hashes // batch
     for n in range(batch, hashes + 1, batch):
         tail, m = 0.0, 0
         while m <= n:
@@ -147,85 +151,111 @@ def _prune(similarity: float, miss: float):
     return run
 
 
-def _candidates(row: dict, similarity: float, steps):
-    """Pairs (i, j) of a row's two blocks that could be linked and are this bucket's to test, likeliest first."""
+def _fields(rows: list[dict]) -> dict:
+    """A group's columns as arrays: sig, distance, root."""
     import numpy as np
 
-    left, right = row["left_block"], row["right_block"]
-    sa, sb = (np.frombuffer(b"".join(x["sig"] for x in block), np.uint32).reshape(-1, HASHES) for block in (left, right))
-    roots = {r: i for i, r in enumerate({x["root"] for x in left} | {x["root"] for x in right})}
-    ra, rb = (np.array([roots[x["root"]] for x in block]) for block in (left, right))
-    differ = ra[:, None] != rb[None, :]
-    if row["same"]:
-        differ &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
-    # Jaccard distance is a metric: what stands at unlike distances from the leader can't be near each other.
-    da, db = (np.array([x["distance"] for x in block]) for block in (left, right))
-    differ &= np.abs(da[:, None] - db[None, :]) <= 1 - similarity + 1e-9
-    # Of the buckets that two classes share, the one of the first band tests them.
-    for p in range(row["place"]):
-        band = slice(p * BAND_ROWS, (p + 1) * BAND_ROWS)
-        keys = [np.ascontiguousarray(x[:, band]).view([("", np.uint32)] * BAND_ROWS).ravel() for x in (sa, sb)]
-        differ &= keys[0][:, None] != keys[1][None, :]
-    i, j = np.nonzero(differ)
-    matches, done = np.zeros(len(i), np.int64), 0
-    for upto, least in steps:
-        matches += (sa[i, done:upto] == sb[j, done:upto]).sum(1)
-        keep = matches >= least
-        i, j, matches, done = i[keep], j[keep], matches[keep], upto
-    order = np.argsort(-matches, kind="stable")
-    return i[order], j[order], matches[order]
+    return {
+        "sig": np.frombuffer(b"".join(x["sig"] for x in rows), np.uint32).reshape(-1, HASHES),
+        "distance": np.array([x["distance"] for x in rows]),
+        "root": [x["root"] for x in rows],
+    }
+
+
+def _candidates(a: dict, b: dict, same: bool, place: int, similarity: float, steps):
+    """Pairs (i, j) of two groups of a bucket that could be linked and are this bucket's to test, strip by strip, likeliest first."""
+    import numpy as np
+
+    number = {r: i for i, r in enumerate({*a["root"], *b["root"]})}
+    ra, rb = (np.array([number[r] for r in side["root"]]) for side in (a, b))
+    for first in range(0, len(ra), 256):
+        strip = slice(first, first + 256)
+        sa, sb = a["sig"][strip], b["sig"]
+        differ = ra[strip, None] != rb[None, :]
+        if same:
+            differ &= np.arange(first, first + len(sa))[:, None] < np.arange(len(rb))[None, :]
+        # Jaccard distance is a metric: what stands at unlike distances from the leader can't be near each other.
+        differ &= np.abs(a["distance"][strip, None] - b["distance"][None, :]) <= 1 - similarity + 1e-9
+        # Of the buckets that two classes share, the one of the first band tests them.
+        for p in range(place):
+            band = slice(p * BAND_ROWS, (p + 1) * BAND_ROWS)
+            keys = [np.ascontiguousarray(x[:, band]).view([("", np.uint32)] * BAND_ROWS).ravel() for x in (sa, sb)]
+            differ &= keys[0][:, None] != keys[1][None, :]
+        i, j = np.nonzero(differ)
+        matches, done = np.zeros(len(i), np.int64), 0
+        for upto, least in steps:
+            matches += (sa[i, done:upto] == sb[j, done:upto]).sum(1)
+            keep = matches >= least
+            i, j, matches, done = i[keep], j[keep], matches[keep], upto
+        order = np.argsort(-matches, kind="stable")
+        yield i[order] + first, j[order], matches[order]
 
 
 def _blocks(similarity: float, miss: float):
-    """Pairs of different components between two blocks of one bucket that survive the pruning."""
+    """Pairs of different components within a small bucket that survive the pruning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = least_matches(similarity, miss)
         for batch in batches:
             for row in batch.to_pylist():
-                i, j, matches = _candidates(row, similarity, steps)
-                if len(i):
-                    left, right = row["left_block"], row["right_block"]
-                    ends = [([left[x][c] for x in i], [right[x][c] for x in j]) for c in ("node", "root")]
-                    yield pa.record_batch({"u": pa.array(ends[0][0], pa.binary()), "v": pa.array(ends[0][1], pa.binary()), "matches": pa.array(matches), "ru": pa.array(ends[1][0], pa.binary()), "rv": pa.array(ends[1][1], pa.binary())})
+                rows = row["block"]
+                fields = _fields(rows)
+                for i, j, matches in _candidates(fields, fields, True, row["place"], similarity, steps):
+                    if len(i):
+                        ends = [([rows[x][c] for x in i], [rows[x][c] for x in j]) for c in ("node", "root")]
+                        yield pa.record_batch({"u": pa.array(ends[0][0], pa.binary()), "v": pa.array(ends[0][1], pa.binary()), "matches": pa.array(matches), "ru": pa.array(ends[1][0], pa.binary()), "rv": pa.array(ends[1][1], pa.binary())})
 
     return run
 
 
-def _links(similarity: float, miss: float):
-    """Exact links between two blocks of a large bucket: pairs are compared in place, and none once its ends are connected."""
+def _cells(similarity: float, miss: float):
+    """Exact links within the cells of large buckets, rows sorted by cell: pairs are compared in place, and none once its ends
+    are connected.  A task holds one cell, which is two groups of members."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         steps = least_matches(similarity, miss)
-        for batch in batches:
-            for row in batch.to_pylist():
-                i, j, _ = _candidates(row, similarity, steps)
-                left, right = row["left_block"], row["right_block"]
-                sets = [[np.frombuffer(x["members"], np.uint64) for x in block] for block in (left, right)]
-                parent: dict[bytes, bytes] = {}
-
-                def find(x: bytes, parent: dict = parent) -> bytes:
-                    while (up := parent.get(x, x)) != x:
-                        x = up
-                    return x
-
-                found: tuple[list, list] = ([], [])
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    a, b = find(left[x]["root"]), find(right[y]["root"])
-                    if a == b:
+
+        def links(cell: tuple, rows: list[dict]) -> pa.RecordBatch | None:
+            _, x, y = cell
+            left, right = ([r for r in rows if r["member_group"] == g] for g in (x, y))
+            a, b = _fields(left), _fields(right)
+            sets = [[np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right)]
+            parent: dict[bytes, bytes] = {}
+
+            def find(root: bytes) -> bytes:
+                while (up := parent.get(root, root)) != root:
+                    root = up
+                return root
+
+            found: tuple[list, list] = ([], [])
+            for i, j, _ in _candidates(a, b, x == y, rows[0]["place"], similarity, steps) if left and right else ():
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    u, v = find(a["root"][p]), find(b["root"][q])
+                    if u == v:
                         continue
-                    both = np.concatenate([sets[0][x], sets[1][y]])
+                    both = np.concatenate([sets[0][p], sets[1][q]])
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
                     if 100 * common >= percent * (len(both) - common):
-                        parent[max(a, b)] = min(a, b)
-                        found[0].append(left[x]["node"])
-                        found[1].append(right[y]["node"])
-                if found[0]:
-                    yield pa.record_batch({"u": pa.array(found[0], pa.binary()), "v": pa.array(found[1], pa.binary())})
+                        parent[max(u, v)] = min(u, v)
+                        found[0].append(left[p]["node"])
+                        found[1].append(right[q]["node"])
+            return pa.record_batch({"u": pa.array(found[0], pa.binary()), "v": pa.array(found[1], pa.binary())}) if found[0] else None
+
+        cell, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["band"], row["x"], row["y"])
+                if key != cell:
+                    if rows and (got := links(cell, rows)) is not None:
+                        yield got
+                    cell, rows = key, []
+                rows.append(row)
+        if rows and (got := links(cell, rows)) is not None:
+            yield got
 
     return run
 
@@ -254,8 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: a null or blank text has no shingles and is linked with nothing (its component is its own id); an empty
     table gives an empty result; repeated rows share a class; a null id takes part but never names a component that has
-    another id; other columns are ignored.  Candidates are lost with a probability of at most about 1e-5 a pair of the
-    threshold's similarity (32 bands of 4) plus ``miss``; no link is reported that the full sets don't confirm.
+    another id; other columns are ignored.  A pair of the threshold's similarity is lost with a probability of about 5e-6 (32
+    bands of 4) plus ``miss``; no link is reported that the full sets of 64-bit shingle hashes don't confirm.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(base.mapInArrow(_sign(k), "id bigint, n_shingles bigint, node binary, sig binary, bands array<bigint>"), "signatures")
@@ -305,27 +335,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rooted.isEmpty():
         stand = compared(rooted.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "stand")
         stand = stand.select(F.col("u").alias("leader"), F.col("v").alias("node"), (1 - F.col("common") / F.col("union")).alias("distance"))
-        # A bucket's members are dealt to blocks by a hash, so block sizes stay near BLOCK; a heavy bucket only has more blocks.
-        spread = rooted.join(stand, ["leader", "node"], "left").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-
-        def paired(rows: DataFrame, name: str, *more: str) -> DataFrame:
-            member = F.struct("node", "root", "sig", F.coalesce("distance", F.lit(0.0)).alias("distance"), *more)
-            blocks = materialize(rows.groupBy("band", "place", "block").agg(F.collect_list(member).alias("members")), name)
-            left = blocks.select("band", "place", F.col("block").alias("x"), F.col("members").alias("left_block"))
-            right = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("right_block"))
-            return left.join(right, "band").filter("x <= y").select("place", "left_block", "right_block", F.expr("x = y").alias("same"))
+        spread = rooted.join(stand, ["leader", "node"], "left").join(sigs, "node").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
 
-        # Buckets of several blocks are tested in place, on full sets that their blocks carry; no row is made for a pair.
+        # Large buckets are tested in place on full sets, and no row is made for a pair.  Members are dealt to groups by a
+        # hash, as many as their number and the bytes of their sets ask for, and a cell is two groups: so a bucket's work is
+        # dealt by cell, whatever its size, and each member is sent once for each group and not for each partner.
         large = spread.filter(F.col("n") > BLOCK)
         wanted = large.select("node").distinct().join(classes.select("node", "rep"), "node")
         texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
         sets = materialize(texts.mapInArrow(_sets(k), "node binary, members binary").dropDuplicates(["node"]), "large-sets")
-        direct = materialize(paired(large.join(sets, "node"), "large-blocks", "members").mapInArrow(_links(similarity, miss), "u binary, v binary").distinct(), "links-large")
+        load = large.join(sets.select("node", F.length("members").alias("size")), "node").groupBy("band").agg(F.sum("size").alias("bytes"))
+        groups = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
+        dealt = large.join(load, "band").withColumn("groups", groups).withColumn("member_group", F.pmod(F.xxhash64("node", "band"), F.col("groups")).cast("int"))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other")).join(sets, "node")
+        dealt = dealt.select("band", F.least("member_group", "other").alias("x"), F.greatest("member_group", "other").alias("y"), "place", "member_group", "node", "root", "sig", "distance", "members")
+        dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+        direct = materialize(dealt.mapInArrow(_cells(similarity, miss), "u binary, v binary").distinct(), "links-large")
         if not direct.isEmpty():
             links = links.union(direct)
             roots = connected_components(links)
 
-        pairs = paired(spread.filter(F.col("n") <= BLOCK), "blocks")
+        # Small buckets fit one row, and what their pairs leave is compared by the grid.
+        member = F.struct("node", "root", "sig", "distance")
+        pairs = spread.filter(F.col("n") <= BLOCK).groupBy("band", "place").agg(F.collect_list(member).alias("block")).select("place", "block")
         ordered = [F.when(F.col("u") < F.col("v"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("u", "v"), ("v", "u"), ("ru", "rv"), ("rv", "ru"))]
         rest = materialize(pairs.mapInArrow(_blocks(similarity, miss), PAIR + ", ru binary, rv binary").select(*ordered, "matches").distinct(), "rest")
         # Two components need one link: the likeliest pair of each two comes first, and the others only where it fails.

@@ -2,10 +2,12 @@
 
 Which strings could repeat is found first, so that only those are sorted.  Each window of ``length`` bytes chooses its
 anchor, the n-gram in it with the smallest hash; equal windows choose equal anchors at equal places.  A run of windows with
-one anchor is a segment.  Segments whose anchor stands nowhere else can't repeat.  Segments that are equal as a whole repeat
-as a whole.  The texts of the other segments, one for each distinct content, go to shards by their anchors, and each
-shard's suffixes are sorted by external induction with common-prefix values: a window repeats when its suffix shares
-``length`` bytes with a neighbour.  Every window belongs to one segment, so no place is counted twice.
+one anchor is a segment.  Segments whose anchor stands nowhere else can't repeat.  Segments that are equal as a whole (by
+their BLAKE2b digests of 128 bits) repeat as a whole.  The texts of the other segments, one for each distinct content, go to
+shards by their anchors, and each shard's suffixes are sorted by external induction with common-prefix values: a window
+repeats when its suffix shares ``length`` bytes with a neighbour.  Every window belongs to one segment, so no place is
+counted twice.  Anchors with many distinct segments are cut again by a second anchor, which equal windows share as well, and
+so spread over shards; a shard of any size is sorted in bounded memory.
 """
 
 from __future__ import annotations
@@ -16,30 +18,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._bytehash import BASE2, mix, prefix, spans
-from tidewright.llm._common import materialize, slices, text_buffer
-from tidewright.llm.suffix_sort import repeated
+from tidewright.llm._bytehash import mix, prefix, spans
+from tidewright.llm._common import give_back, materialize, slices, text_buffer, worker_cache
+from tidewright.llm.suffix_sort import Store, repeated
 
 LENGTH, GRAM = 400, 100
-#: Bytes of segment text that a shard holds on average, and the memory its queues may use before they go to disk.
-SHARD_BYTES, QUEUE_BYTES = 2 << 20, 16 << 20
-#: Anchors with more distinct segments than this are too large for one shard.
-HEAVY_SEGMENTS = 4096
+#: Bytes of segment text that a shard holds on average and that a task sorts on average, and a sorter's memory for arrays and queues.
+SHARD_BYTES, TASK_BYTES, SORT_BYTES = 2 << 20, 32 << 20, 64 << 20
+#: Anchors with more distinct segments than this are cut again, this many times at most.
+MANY, RECUTS = 1024, 3
 _LOW = 30
-SEGMENT = "id bigint, key bigint, at bigint, windows int, anchor bigint, content bigint"
+KEY = ["anchor", "content", "check", "windows"]
+SEGMENT = "id bigint, key bigint, at bigint, windows int, anchor bigint, content bigint, check bigint"
 
 
-def segments(data, offsets, length: int, gram: int):
-    """Arrays (document, first window, number of windows, anchor hash, content hash) of the segments of texts."""
+def segments(data, offsets, length: int, gram: int, salt: int = 0):
+    """Arrays (document, first window, number of windows, anchor hash, content digests) of the segments of texts."""
+    import hashlib
+
     import numpy as np
 
     n, width = len(data), length - gram + 1
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, np.zeros((0, 2), np.int64)
     sums = prefix(data)
     at = np.arange(n - gram + 1)
     grams = spans(sums, at, at + gram)
+    if salt:
+        grams = mix(grams ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     # Hash above, place below (later places smaller), so that the least value tells both; ties go to the last place.
     low = np.uint64((1 << _LOW) - 1)
     keys = (grams & ~low) | (low - at.astype(np.uint64))
@@ -56,18 +63,20 @@ def segments(data, offsets, length: int, gram: int):
     inside = np.arange(windows) + length <= offsets[1:][owner]
     valid = np.flatnonzero(inside)
     if not len(valid):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, np.zeros((0, 2), np.int64)
     new = np.ones(len(valid), bool)
     new[1:] = (chosen[valid][1:] != chosen[valid][:-1]) | (owner[valid][1:] != owner[valid][:-1])
     first = valid[new]
     count = np.diff(np.append(np.flatnonzero(new), len(valid)))
-    content = spans(prefix(data, BASE2), first, first + count + length - 1, BASE2)
+    view = memoryview(data)
+    digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)])
     document = owner[first]
-    return document, first - offsets[document], count, grams[chosen[first]].view(np.int64), content.view(np.int64)
+    return document, first - offsets[document], count, grams[chosen[first]].view(np.int64), np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", "suffixes")  # drops what other operators left in this worker
         for batch in slices(batches, "text", 1 << 20):
             document, at, count, anchor, content = segments(*text_buffer(batch.column("text")), length, gram)
             rows = pa.array(document)
@@ -78,32 +87,63 @@ def _segments(length: int, gram: int):
                     "at": pa.array(at),
                     "windows": pa.array(count.astype("int32")),
                     "anchor": pa.array(anchor),
-                    "content": pa.array(content),
+                    "content": pa.array(content[:, 0]),
+                    "check": pa.array(content[:, 1]),
                 }
             )
 
     return run
 
 
+_KINDS = {"anchor": pa.int64(), "content": pa.int64(), "check": pa.int64(), "windows": pa.int32()}
+TEXTS = "anchor bigint, content bigint, check bigint, windows int, segment binary"
+
+
 def _cut(length: int):
     """The texts of wanted segments: one row for each of a document's requests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out = {k: [] for k in ("anchor", "content", "windows", "heavy", "segment")}
+            out = {k: [] for k in (*KEY, "segment")}
             for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 data = text.as_buffer()
                 for w in wanted:
-                    for k in ("anchor", "content", "windows", "heavy"):
+                    for k in KEY:
                         out[k].append(w[k])
                     out["segment"].append(data[w["at"] : w["at"] + w["windows"] + length - 1].to_pybytes())
-            kinds = {"anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "heavy": pa.bool_(), "segment": pa.binary()}
-            yield pa.record_batch({k: pa.array(v, kinds[k]) for k, v in out.items()})
+            yield pa.record_batch({k: pa.array(v, {**_KINDS, "segment": pa.binary()}[k]) for k, v in out.items()})
+
+    return run
+
+
+PART = "anchor bigint, content bigint, check bigint, windows int, part_at bigint, part_windows int, part_anchor bigint, part_content bigint, part_check bigint"
+
+
+def _recut(length: int, gram: int, salt: int):
+    """Segments cut again by anchors of another hash; the new anchor goes with the old one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in slices(batches, "segment", 1 << 20):
+            row, at, count, anchor, content = segments(*text_buffer(batch.column("segment")), length, gram, salt)
+            rows = pa.array(row)
+            old = batch.column("anchor").to_numpy(zero_copy_only=False).astype(np.int64)[row].view(np.uint64)
+            yield pa.record_batch(
+                {k: batch.column(k).take(rows) for k in KEY}
+                | {
+                    "part_at": pa.array(at),
+                    "part_windows": pa.array(count.astype("int32")),
+                    "part_anchor": pa.array(mix(mix(old) ^ anchor.view(np.uint64)).view(np.int64)),
+                    "part_content": pa.array(content[:, 0]),
+                    "part_check": pa.array(content[:, 1]),
+                }
+            )
 
     return run
 
 
-FOUND = "anchor bigint, content bigint, windows int, runs array<int>"
+FOUND = "anchor bigint, content bigint, check bigint, windows int, runs array<int>"
 
 
 def _runs(flags):
@@ -114,69 +154,60 @@ def _runs(flags):
     return np.flatnonzero(edge).tolist()
 
 
-def _shard(length: int, queue_bytes: int):
-    """Sort the suffixes of a shard's segments and tell which windows repeat."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        keys, texts = {k: [] for k in ("anchor", "content", "windows")}, []
-        for batch in batches:
-            for k, v in keys.items():
-                v.extend(batch.column(k).to_pylist())
-            texts.extend(batch.column("segment").to_pylist())
-        if not texts:
-            return
-        # Characters: 0 ends the shard, 1 ends a segment, bytes follow.  A window never holds an end, so matches stay inside.
-        joined = np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8).astype(np.uint16) + np.uint16(2)
-        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
-        joined[ends] = 1
-        hit = repeated(np.append(joined, np.uint16(0)), length, queue_bytes)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        found = [_runs(hit[s : s + w]) for s, w in zip(starts, keys["windows"], strict=True)]
-        kinds = {"anchor": pa.int64(), "content": pa.int64(), "windows": pa.int32()}
-        for i in range(0, len(found), 4096):
-            yield pa.record_batch({k: pa.array(v[i : i + 4096], kinds[k]) for k, v in keys.items()} | {"runs": pa.array(found[i : i + 4096], pa.list_(pa.int32()))})
-
-    return run
-
+def _shards(length: int, sort_bytes: int):
+    """Sort the suffixes of each shard's segments, shard after shard, and tell which windows repeat.
 
-def _chunks(length: int, queue_bytes: int):
-    """Like ``_shard``, for part of a heavy anchor's segments; windows come out one by one, with their hashes."""
+    A shard's text and keys are written to scratch files as they arrive, so a shard may be far larger than memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def windows_of(texts, hits):
-            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            one, two = prefix(data), prefix(data, BASE2)
-            for o, h in zip(offsets[:-1], hits, strict=True):
-                at = o + np.arange(len(h))
-                yield spans(one, at, at + length), spans(two, at, at + length, BASE2)
-
-        rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
-        joined = np.frombuffer(b"".join(r["segment"] + b"\0" for r in rows), np.uint8).astype(np.uint16) + np.uint16(2)
-        ends = np.cumsum([len(r["segment"]) + 1 for r in rows]) - 1
-        joined[ends] = 1
-        hit = repeated(np.append(joined, np.uint16(0)), length, queue_bytes)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hits = [hit[s : s + r["windows"]] for s, r in zip(starts, rows, strict=True)]
-        for r, h, (one, two) in zip(rows, hits, windows_of([r["segment"] for r in rows], hits), strict=True):
-            # Repeated windows are sent as well, so that single ones of other parts meet them.
-            n = len(h)
-            yield pa.record_batch(
-                {
-                    "anchor": pa.array([r["anchor"]] * n, pa.int64()),
-                    "content": pa.array([r["content"]] * n, pa.int64()),
-                    "windows": pa.array([r["windows"]] * n, pa.int32()),
-                    "place": pa.array(np.arange(n, dtype=np.int32)),
-                    "one": pa.array(one.view(np.int64)),
-                    "two": pa.array(two.view(np.int64)),
-                    "hit": pa.array(h),
-                }
-            )
+        worker_cache("none", "suffixes")
+        store = current = text = keys = None
+
+        def add(piece: pa.RecordBatch) -> None:
+            # Characters: 0 ends the shard, 1 ends a segment, bytes follow.  A window never holds an end, so matches stay inside.
+            data, offsets = text_buffer(piece.column("segment"))
+            np.insert(data.astype(np.uint16) + np.uint16(2), offsets[1:], np.uint16(1)).tofile(text)
+            columns = [piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in KEY]
+            np.column_stack([*columns, np.diff(offsets)]).tofile(keys)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            np.zeros(1, np.uint16).tofile(text)
+            text.close()
+            keys.close()
+            rows = store.read(keys.name, np.int64).reshape(-1, len(KEY) + 1)
+            hit, at = repeated(store.read(text.name, np.uint16), length, store), 0
+            for i in range(0, len(rows), 4096):
+                part, found = np.array(rows[i : i + 4096]), []
+                for windows, size in part[:, -2:].tolist():
+                    found.append(_runs(hit[at : at + windows]))
+                    at += size + 1
+                yield pa.record_batch({k: pa.array(part[:, j], pa.int64()).cast(_KINDS[k]) for j, k in enumerate(KEY)} | {"runs": pa.array(found, pa.list_(pa.int32()))})
+
+        try:
+            for batch in batches:
+                shards = batch.column("shard").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    if shards[a] != current:
+                        if store is not None:
+                            yield from finish()
+                            store.close()
+                        store, current = Store(sort_bytes), shards[a]
+                        text, keys = open(store.path(), "wb"), open(store.path(), "wb")  # noqa: SIM115
+                    add(batch.slice(a, b - a))
+            if store is not None:
+                yield from finish()
+        finally:
+            if store is not None:
+                text.close()
+                keys.close()
+                store.close()
+            give_back()
 
     return run
 
@@ -223,6 +254,26 @@ def _skewless(rows: DataFrame, small: DataFrame, on: list[str], weight: str, lim
     return rows.join(heavy, on).select(*columns).union(apart.join(light, on).select(*columns))
 
 
+def _contents(found: DataFrame) -> DataFrame:
+    """The distinct contents of segments whose anchor occurs more than once: KEY, copies, a place, distinct_contents."""
+    # Partial aggregation leaves one row of a content for each task, so groups of copies don't pile up.
+    contents = found.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("place"))
+    contents = materialize(contents, "contents")
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("distinct_contents"), F.sum("copies").alias("occurrences")).filter("occurrences > 1")
+    anchors = materialize(anchors, "anchors")
+    bound = F.greatest(F.lit(1000.0), F.lit(contents.count() * 0.001))
+    return materialize(_skewless(contents, anchors, ["anchor"], "distinct_contents", bound), "live")
+
+
+def _texts(base: DataFrame, contents: DataFrame, length: int) -> DataFrame:
+    """KEY and the bytes of each content, cut out of the document of its place."""
+    wanted = F.struct(*KEY, F.col("place.at").alias("at"))
+    wanted = contents.groupBy(F.col("place.key").alias("key"), F.col("place.id").alias("id")).agg(F.collect_list(wanted).alias("wanted"))
+    same = (F.col("d.key") == F.col("w.key")) & F.col("d.id").eqNullSafe(F.col("w.id"))
+    texts = base.alias("d").join(wanted.alias("w"), same).select("d.text", "w.wanted")
+    return materialize(texts.mapInArrow(_cut(length), TEXTS).dropDuplicates(KEY), "texts")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans.
 
@@ -234,44 +285,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
     found = materialize(base.filter(F.octet_length("text") >= length).mapInArrow(_segments(length, gram), SEGMENT), "segments")
-    # Partial aggregation leaves one row of a content for each task, so groups of copies don't pile up.
-    contents = found.groupBy("anchor", "content", "windows").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("place"))
-    contents = materialize(contents, "contents")
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("distinct_contents"), F.sum("copies").alias("occurrences")).filter("occurrences > 1")
-    anchors = materialize(anchors, "anchors")
-    bound = F.greatest(F.lit(1000.0), F.lit(contents.count() * 0.001))
-    live = materialize(_skewless(contents, anchors, ["anchor"], "distinct_contents", bound), "live")
-
-    open_ = live.filter("distinct_contents > 1")
-    wanted = F.struct("anchor", "content", "windows", F.col("place.at").alias("at"), (F.col("distinct_contents") > HEAVY_SEGMENTS).alias("heavy"))
-    wanted = open_.groupBy(F.col("place.key").alias("key"), F.col("place.id").alias("id")).agg(F.collect_list(wanted).alias("wanted"))
-    same = (F.col("d.key") == F.col("w.key")) & F.col("d.id").eqNullSafe(F.col("w.id"))
-    texts = base.alias("d").join(wanted.alias("w"), same).select("d.text", "w.wanted")
-    texts = materialize(texts.mapInArrow(_cut(length), "anchor bigint, content bigint, windows int, heavy boolean, segment binary").dropDuplicates(["anchor", "content", "windows"]), "texts")
-
+    live = _contents(found)
+    for salt in range(1, RECUTS + 1):
+        many = live.filter(F.col("distinct_contents") > MANY)
+        if many.isEmpty():
+            break
+        parts = materialize(_texts(base, many, length).mapInArrow(_recut(length, gram, salt), PART), "parts")
+        sizes = many.select(*KEY, "copies")
+        limit = F.greatest(F.lit(1000.0), F.lit(found.count() * 0.001))
+        marked = materialize(_skewless(found, sizes, KEY, "copies", limit).withColumn("hot", F.col("copies") > limit), "many")
+        # Contents of many copies are few, so their parts are broadcast and no key is hot in the shuffle beside it.
+        hot = F.broadcast(parts.join(F.broadcast(marked.filter("hot").select(*KEY).distinct()), KEY))
+        rows = marked.filter("hot").join(hot, KEY).unionByName(marked.filter("not hot").join(parts, KEY))
+        rows = rows.select("id", "key", (F.col("at") + F.col("part_at")).alias("at"), F.col("part_windows").alias("windows"), F.col("part_anchor").alias("anchor"), F.col("part_content").alias("content"), F.col("part_check").alias("check"))
+        names = many.select("anchor").distinct()
+        found = materialize(found.join(names, "anchor", "left_anti").select(*rows.columns).union(rows), "segments")
+        live = _contents(found)
+
+    texts = _texts(base, live.filter("distinct_contents > 1"), length)
     total = texts.agg(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    light = texts.filter("not heavy").repartition(shards, "anchor").select("anchor", "content", "windows", "segment").mapInArrow(_shard(length, QUEUE_BYTES), FOUND)
-    parts = [light]
-    if not texts.filter("heavy").isEmpty():
-        # A heavy anchor's segments are sorted in parts; what is single in its part is then counted across parts by hash.
-        dealt = texts.filter("heavy").repartition(shards, "anchor", "content").select("anchor", "content", "windows", "segment")
-        places = materialize(dealt.mapInArrow(_chunks(length, QUEUE_BYTES), "anchor bigint, content bigint, windows int, place int, one bigint, two bigint, hit boolean"), "places")
-        twice = places.groupBy("one", "two").agg(F.count("*").alias("n"), F.first("anchor").alias("a"), F.first("content").alias("c"), F.first("place").alias("p"))
-        single = twice.filter("n = 1").select(F.col("a").alias("anchor"), F.col("c").alias("content"), F.col("p").alias("place"), F.lit(True).alias("single"))
-        flags = places.join(single, ["anchor", "content", "place"], "left").withColumn("again", F.col("hit") | F.col("single").isNull())
-        runs = flags.filter("again").groupBy("anchor", "content", "windows").agg(F.sort_array(F.collect_set("place")).alias("p"))
-        pairs = "flatten(transform(filter(p, (x, i) -> i = 0 or p[i - 1] <> x - 1), x -> array(x)))"
-        stops = "transform(filter(p, (x, i) -> i = size(p) - 1 or p[i + 1] <> x + 1), x -> x + 1)"
-        parts.append(runs.select("anchor", "content", "windows", F.expr(f"flatten(zip_with({pairs}, {stops}, (a, b) -> array(a, b)))").alias("runs")))
-    sorted_ = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    tasks = max(-(-total // TASK_BYTES), min(shards, 4 * spark.sparkContext.defaultParallelism))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
+    sorted_ = dealt.mapInArrow(_shards(length, SORT_BYTES), FOUND)
     sorted_ = materialize(sorted_.filter(F.size("runs") > 0), "runs")
 
     # Contents that occur more than once repeat as a whole; the others repeat where the sorting says.
-    whole = live.filter("copies > 1").select("anchor", "content", "windows", "copies", F.array(F.lit(0), F.col("windows")).alias("runs"))
-    some = live.filter("copies = 1").select("anchor", "content", "windows", "copies").join(sorted_, ["anchor", "content", "windows"])
+    whole = live.filter("copies > 1").select(*KEY, "copies", F.array(F.lit(0), F.col("windows")).alias("runs"))
+    some = live.filter("copies = 1").select(*KEY, "copies").join(sorted_, KEY)
     hits = materialize(whole.unionByName(some.select(*whole.columns)), "hits")
-    rows = _skewless(found, hits, ["anchor", "content", "windows"], "copies", F.greatest(F.lit(1000.0), F.lit(found.count() * 0.001)))
+    rows = _skewless(found, hits, KEY, "copies", F.greatest(F.lit(1000.0), F.lit(found.count() * 0.001)))
     spans_ = rows.groupBy("key", "id").agg(F.collect_set(F.struct("at", "runs")).alias("found"))
     same = (F.col("d.key") == F.col("s.key")) & F.col("d.id").eqNullSafe(F.col("s.id"))
     out = base.alias("d").join(spans_.alias("s"), same, "left").select("d.id", "d.text", "s.found")

@@ -2,14 +2,14 @@
 
 A pre-token is a run of spaces and the non-spaces after it.  No piece of the vocabulary holds a space after another
 character, and none holds a line feed, so pre-tokens (and what follows a line feed) are encoded independently.  Tier one is
-a compact table of frequent pre-tokens and their token counts, broadcast once: the word pieces of the vocabulary itself, so
-its size is bounded by the vocabulary and never depends on the corpus.  Tier two is a bounded cache in each Python worker
+a compact table of the corpus' frequent pre-tokens and their token counts, of bounded size, broadcast once.  Tier two is a bounded cache in each Python worker
 that lives on between tasks; only what both miss is encoded.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +22,8 @@ MARK = "▁"
 #: Entries of a worker's cache (about 100 bytes each) and the longest pre-token that is kept in it.
 CACHE_ENTRIES, CACHE_LONGEST = 400_000, 200
 MAX_FREQUENT = 65_536
+#: Texts whose pre-tokens are counted for the table of frequent ones.
+SAMPLE = 4_000
 
 
 def _model(path: str):
@@ -40,14 +42,23 @@ def separable(model) -> bool:
     return not inner and model.encode("a  b ", out_type=str)[-1] == MARK and model.encode("１ ﬁ") == model.encode(MARK.join(["１", "ﬁ"]))
 
 
-def frequent_table(path: str, limit: int = MAX_FREQUENT) -> tuple[str, bytes]:
-    """Pre-tokens joined by line feeds and their token counts, one byte each: the vocabulary's word pieces."""
+def frequent_units(docs: DataFrame, limit: int = MAX_FREQUENT, sample: int = SAMPLE) -> list[str]:
+    """The most frequent pre-tokens of about ``sample`` texts of ``docs(text)``, taken by a hash: at most ``limit``.
+
+    The table only saves time: what it lacks is encoded, so counts don't depend on the sample.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    taken = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    cut = F.split(F.replace(F.replace(F.col("text"), F.lit(MARK), F.lit(" ")), F.lit("\n"), F.lit(" \n")), " ")
+    units = taken.select(F.explode(cut).alias("unit")).filter(F.length("unit").between(1, CACHE_LONGEST))
+    return [r["unit"] for r in units.groupBy("unit").count().orderBy(F.desc("count"), "unit").limit(limit).collect()]
+
+
+def frequent_table(path: str, units: list[str]) -> tuple[str, bytes]:
+    """Pre-tokens joined by spaces, which none of them holds, and their token counts, four bytes each."""
     model = _model(path)
-    words = [p[1:] for i in range(model.vocab_size()) if (p := model.id_to_piece(i)).startswith(MARK) and MARK not in p[1:]]
-    words = list(dict.fromkeys(w for w in words if "\n" not in w))[:limit]
-    counts = [min(255, len(x)) for x in model.encode(words, num_threads=1)]
-    counts = [1 if w == "" else n for w, n in zip(words, counts, strict=True)]
-    return "\n".join(words), bytes(counts)
+    counts = [len(x) - u.startswith("\n") for u, x in zip(units, model.encode(units, num_threads=1), strict=True)] if units else []
+    return " ".join(units), array("I", counts).tobytes()
 
 
 def _counter(path: str, table) -> Iterator:
@@ -55,7 +66,7 @@ def _counter(path: str, table) -> Iterator:
         model, cache = _model(path), worker_cache("piece-counts", "token_counts")
         if path not in cache:
             words, counts = table.value
-            cache[path] = dict(zip(words.split("\n"), counts, strict=True)), {}, separable(model)
+            cache[path] = dict(zip(words.split(" ") if words else [], array("I", counts), strict=True)), {}, separable(model)
         first, second, cut = cache[path]
         first.setdefault("", 1)
         spaced = re.compile(" +[^ ]*")
@@ -116,8 +127,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     counted whole.  Models whose texts can't be cut at spaces are encoded whole.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent_table(model_path))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
+    # At most MAX_FREQUENT pre-tokens of at most CACHE_LONGEST characters: the broadcast is bounded whatever the corpus.
+    table = spark.sparkContext.broadcast(frequent_table(model_path, frequent_units(base)))
     out = base.mapInArrow(_counter(model_path, table), "id bigint, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -22,8 +22,6 @@ from tidewright.llm._common import materialize, slices, text_buffer, worker_cach
 #: Labelled rows that lexicon and weights are fitted on at most.
 LABELLED = 20_000
 STEMS = range(3, 9)
-#: Candidate terms that come to the driver at most, most frequent first.
-CANDIDATES = 50_000
 WINDOW = 24
 #: Characters from which on a misspelt term is hardly met by chance.
 LONG = 7
@@ -212,9 +210,8 @@ def _candidates(text: str) -> set[str]:
     lowered = text.lower()
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         word = lowered[a:b]
-        if len(word) <= 40:
-            out.add(word + "$")
-            out.update(word[:n] for n in STEMS if n <= len(word))
+        out.add(word + "$")
+        out.update(word[:n] for n in STEMS if n <= len(word))
     return out
 
 
@@ -254,12 +251,17 @@ def _tail(k: int, n: int, p: float) -> float:
     return -n * d / math.log(10)
 
 
+def _bar(tried: int) -> float:
+    """log10 of the chance that a term has to stay below, with ``tried`` of them looked at."""
+    return -math.log10(max(1, tried)) - 1.3
+
+
 def choose_terms(rows: list[tuple[str, int, int]], base: float, tried: int) -> list[tuple[str, bool]]:
     """Terms of (candidate, toxic, clean) that can't be chance; of a family the longest with the same support.
 
     A whole word below a stem is left to it only where the stem's clean rate is no worse, or worse only by what may be chance.
     """
-    good, bar = [], -math.log10(max(1, tried)) - 1.3
+    good, bar = [], _bar(tried)
     for term, toxic, clean in rows:
         chance = _tail(toxic, toxic + clean, base)
         if toxic >= 0.3 * (toxic + clean) and chance < bar:
@@ -279,7 +281,7 @@ def choose_terms(rows: list[tuple[str, int, int]], base: float, tried: int) -> l
         same = stem and any(k.startswith(new[0]) and m >= 0.9 * new[1] for k, m, _ in kept)
         if not covered and not same:
             kept = [k for k in kept if not left_to(new, k)] + [new]
-    return [(t.rstrip("$"), not t.endswith("$")) for t, _, _ in kept[:2000]]
+    return [(t.rstrip("$"), not t.endswith("$")) for t, _, _ in kept]
 
 
 def _log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> float:
@@ -339,22 +341,26 @@ def _hits(automaton):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Model:
     """Lexicon and weights from at most about ``labelled`` labelled rows, taken by a hash of their id; fold 0 is never used."""
     spark = docs.sparkSession
-    known = labels.filter("toxic is not null").select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y")).dropDuplicates(["id"])
-    known = known.filter(~held_out(F.col("id")))
-    share = min(1.0, labelled / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = labels.filter("toxic is not null").select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y")).filter("id is not null")
+    # Ids and texts that are labelled both ways count as toxic, in whatever order they come.
+    known = known.groupBy("id").agg(F.max("y").alias("y")).filter(~held_out(F.col("id")))
+    part = min(1.0, labelled / max(1, known.count()))
+    known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = materialize(base.join(F.broadcast(known), "id").filter("text <> ''").select("text", "y").dropDuplicates(["text"]), "toxicity-sample")
+    sample = materialize(base.join(F.broadcast(known), "id").filter("text <> ''").groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model([], build([]), [], math.log((n_toxic + 0.5) / (n_clean + 0.5)))
     stems = materialize(sample.filter("y = 1").mapInArrow(_toxic_candidates(), "term string, cluster bigint").groupBy("term").agg(F.countDistinct("cluster").alias("n")), "stems")
     tried = stems.count()
-    frequent = {r["term"]: r["n"] for r in stems.filter("n >= 4").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    # Every candidate that could pass the test, were it never seen in a clean text: bounded by the labelled rows alone.
+    share = n_toxic / (n_toxic + n_clean)
+    fewest = _bar(tried) / math.log10(share)
+    frequent = {r["term"]: r["n"] for r in stems.filter(F.col("n") > F.lit(fewest)).collect()}
     wanted = spark.sparkContext.broadcast(frozenset(frequent))
     clean = {r["term"]: r["n"] for r in sample.filter("y = 0").mapInArrow(_count_terms(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    terms = choose_terms([(t, n, clean.get(t, 0)) for t, n in frequent.items()], n_toxic / (n_toxic + n_clean), tried)
+    terms = choose_terms([(t, n, clean.get(t, 0)) for t, n in frequent.items()], share, tried)
     automaton = build(terms)
     shared = spark.sparkContext.broadcast(astuple(automaton))
     counts: dict[int, list[int]] = {}
