@@ -202,13 +202,13 @@ def test_seeded_topk_draws_from_a_share_of_all_nodes(spark, tmp_path):
     assert got == {t: random.Random(f"42:{t}").choice(live) for t in range(1, 2001)}
 
 
-def test_location_removal_whole_decides_every_node(spark):
+def test_location_removal_decides_every_node(spark):
     results = rows(spark, "(1, 1, 11, 5), (1, 2, 11, 5), (1, 1, 12, 5), (2, 3, 20, 5), (2, 3, 20, 5), (2, 1, 21, 5) t(object, attempt, node, payload)")
     objects = rows(spark, "(1, 9, 2), (2, 9, 3) t(object, size, attempt)")
-    assert decide(spark, "location_removal_whole", results=results, objects=objects) == {(1, 11, True, 2), (1, 12, False, 1), (2, 20, True, 2), (2, 21, False, 1)}
+    assert decide(spark, "location_removal", results=results, objects=objects) == {(1, 11, True, 2), (1, 12, False, 1), (2, 20, True, 2), (2, 21, False, 1)}
 
 
-def test_ledger_conservation_whole_sums_every_allocation(spark):
+def test_ledger_conservation_sums_every_allocation(spark):
     resources = rows(spark, "(1, 'CPU', 8000, 1000), (1, 'GPU', 1000, 1000), (2, 'CPU', 4000, 1000) t(node, resource, total, available)")
     allocations = rows(
         spark,
@@ -216,4 +216,4 @@ def test_ledger_conservation_whole_sums_every_allocation(spark):
         " (1, 'GPU', 'RELEASED', 1000), (2, 'CPU', 'PREPARED', 2000), (2, 'GPU', 'ACTIVE', 1000) t(node, resource, state, milli)",
     )
     expected = {(1, "CPU", 8000, 1000, 7000, True), (1, "GPU", 1000, 1000, 0, True), (2, "CPU", 4000, 1000, 2000, False), (2, "GPU", 0, 0, 1000, False)}
-    assert decide(spark, "ledger_conservation_whole", node_resources=resources, allocations=allocations) == expected
+    assert decide(spark, "ledger_conservation", node_resources=resources, allocations=allocations) == expected

@@ -82,6 +82,79 @@ def test_store_is_bounded(spark):
         rt.shutdown()
 
 
+def test_dropping_gives_space_back(spark):
+    rt.init(spark, inline_threshold=10, object_store_bytes=1000)
+    try:
+        for _ in range(3):
+            assert rt.drop_object(rt.put(b"x" * 700))
+    finally:
+        rt.shutdown()
+
+
+def test_one_deadline_for_a_whole_call(running):
+    def nap(s):
+        time.sleep(s)
+        return s
+
+    refs = [rt.remote(nap).remote(s) for s in (0.2, 2.5, 2.5, 0.2)]
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        rt.get(refs, timeout=1.0)
+    assert time.monotonic() - began < 1.8
+    ready, rest = rt.wait(refs, num_returns=4, timeout=0.5)
+    assert time.monotonic() - began < 2.4 and len(ready) + len(rest) == 4
+    rt.get(refs)
+
+
+def test_resources_are_held(spark):
+    rt.init(spark, num_cpus=1, node_resources={"custom": 1})
+    try:
+        def span(s):
+            began = time.time()
+            time.sleep(s)
+            return began, time.time()
+
+        one = rt.remote(span)
+        (a, b), (c, d) = rt.get([one.remote(0.5), one.remote(0.5)])
+        assert c >= b or a >= d
+        free = rt.remote(num_cpus=0)(span)
+        (a, b), (c, d) = rt.get([free.remote(1.5), free.remote(1.5)])
+        assert c < b and a < d
+        with pytest.raises(ValueError):
+            rt.remote(num_cpus=1, resources={"CPU": 2})(span)
+        assert rt.get(rt.remote(num_cpus=1, resources={"CPU": 1, "custom": 1})(lambda: 3).remote()) == 3
+    finally:
+        report = rt.shutdown()
+    assert report["submitted"] == report["finished"] == 5 and report["failed"] == report["cancelled"] == 0
+
+
+def test_tasks_in_placement_groups(running):
+    group = rt.placement_group([{"CPU": 2}])
+    inside = rt.remote(placement_group=group, bundle_index=0)(lambda x: x)
+    assert rt.get(inside.remote(4)) == 4
+    with pytest.raises(rt.RuntimeFailure):
+        inside.options(num_cpus=3).remote(1)
+    with pytest.raises(ValueError):
+        inside.options(bundle_index=1).remote(1)
+    nap = inside.options(num_cpus=2)
+    nap.function = lambda x: time.sleep(x)
+    running_, waiting = nap.remote(1.5), nap.remote(0)
+    assert rt.remove_placement_group(group)
+    with pytest.raises(rt.RuntimeFailure):
+        rt.get(waiting)
+    rt.get(running_)
+    assert rt._state.free == {0: {"CPU": 2000, "custom": 1000}, 1: {"CPU": 2000, "custom": 1000}}
+    with pytest.raises(rt.RuntimeFailure):
+        inside.remote(1)
+
+
+def test_many_waiting_calls_need_no_threads(running):
+    ref = rt.remote(num_cpus=1)(lambda x: x + 1).remote(0)
+    for _ in range(90):
+        ref = rt.remote(num_cpus=0)(lambda x: x + 1).remote(ref)
+    assert rt.get(ref) == 91
+
+
 def test_actor(running):
     @rt.remote
     class Counter:
@@ -152,32 +225,6 @@ def test_trace_files(spark, tmp_path):
     assert [json.loads(x)["event_id"] for x in (tmp_path / "one").read_text().splitlines()] == ["e1", "e4", "e5", "e2", "e3"]
 
 
-RULES = [
-    {"key": "submit", "component": "owner", "event": "submitted", "fields": {"task_id": "$t"}, "most": 1},
-    {"key": "grant", "component": "node", "event": "granted", "fields": {"task_id": "$t", "lease_id": "$l"}},
-    {"key": "start", "component": "node", "event": "started", "fields": {"lease_id": "$l"}},
-    {"key": "finish", "component": "owner", "event": "finished", "fields": {"task_id": "$t"}, "most": 1},
-]
-
-
-@pytest.mark.parametrize("reverse", [False, True])
-def test_contract_holds_in_any_row_order(spark, reverse):
-    assert traces.match_contract(records(spark, reverse), RULES, [("submit", "grant"), ("submit", "finish")], [{"component": "owner", "prefixes": ["lost", "retried"]}]) == []
-
-
-def test_contract_violations(spark):
-    events = records(spark)
-    assert traces.match_contract(events.filter("event_id <> 'e2'"), RULES)[0].startswith("grant")
-    assert traces.match_contract(events, RULES, [("finish", "submit")]) == ["submit isn't after finish"]
-    assert traces.match_contract(events, RULES, [], [{"component": "owner", "event": "finished", "fields": {"task_id": "t2"}}]) == ["forbidden: owner finished"]
-
-
-def test_contract_source(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"events": RULES[:1], "orders": [{"before": "a", "after": "b"}]}))
-    got = traces.read_contract(spark, str(tmp_path / "c.json"))
-    assert got["orders"].collect()[0]["before"] == "a" and got["events"].count() == 1
-
-
 def run_stream(spark, tmp_path, rows, schema, f):
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Personalisation of derived ids; another system's ids come out when its own is given.
+#: Personalisation of derived ids.
 PERSON = b"tidewright-id-1"
 BYTES = 16
 

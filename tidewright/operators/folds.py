@@ -1,7 +1,9 @@
-"""Order-dependent reducers: each key's operations in sequence, streamed through a state of constant size per key.
+"""Order-dependent reducers: each key's operations in sequence, streamed through a state.
 
 A fold can't be a window function, because whether one operation is accepted depends on what became of those before it.
-Rows are dealt by key and sorted within partitions, so a task holds one state at a time and never a whole group.
+Rows are dealt by key and sorted within partitions, so a task holds one key's state at a time and never its rows.  Task,
+lease, reservation and publication states have a fixed size; a ledger's grows with its tokens, because a released token must
+never come back, and a store's with the objects that it holds.
 """
 
 from __future__ import annotations
@@ -9,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from tidewright.sources.shared import materialize
+from tidewright.sources.traces import total_order
+
 
 def ordered_fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], schema: str) -> DataFrame:
     """One output row per input row: ``step(state, row)`` changes the state and returns the columns of ``schema``."""
@@ -39,14 +44,27 @@ def _retry_start() -> dict:
     return {"attempt": 0, "retries": 0, "state": "RUNNING"}
 
 
+#: Events of the current attempt that contradict how the task has ended; others of the kind that ended it are repeats.
+_CONTRADICTS = {
+    "SUCCEEDED": ("APPLICATION", "SYSTEM"),
+    "APPLICATION_FAILED": ("SUCCESS", "SYSTEM"),
+    "SYSTEM_FAILED": ("SUCCESS", "APPLICATION"),
+}
+
+
 def _retry_step(s: dict, r: dict) -> dict:
-    if s["state"] != "RUNNING" or r["attempt"] != s["attempt"]:
-        action = "FENCE_STALE_ATTEMPT"
-    elif r["event"] == "SUCCESS":
+    event = r["event"]
+    if r["attempt"] != s["attempt"]:
+        action = "FENCE_STALE_ATTEMPT"  # before the event is looked at
+    elif event not in ("SUCCESS", "APPLICATION", "SYSTEM"):
+        raise ValueError(f"unknown failure: {event}")
+    elif event in _CONTRADICTS.get(s["state"], ()):
+        action = "ERROR:CONTRADICTION"
+    elif event == "SUCCESS":
         action, s["state"] = "ACCEPT_SUCCESS", "SUCCEEDED"
-    elif r["event"] == "APPLICATION":
+    elif event == "APPLICATION":
         action, s["state"] = "FAIL_APPLICATION", "APPLICATION_FAILED"
-    elif s["retries"] < r["max_retries"]:
+    elif s["state"] == "RUNNING" and s["retries"] < r["max_retries"]:
         action, s["retries"], s["attempt"] = "RETRY_TASK", s["retries"] + 1, s["attempt"] + 1
     else:
         action, s["state"] = "FAIL_RETRY_EXHAUSTED", "SYSTEM_FAILED"
@@ -54,21 +72,29 @@ def _retry_step(s: dict, r: dict) -> dict:
 
 
 def retry_fold(events: DataFrame) -> DataFrame:
-    """What each event of a task's attempts leads to: a stale attempt is fenced, a system failure retried while the budget lasts."""
+    """What each event of a task's attempts leads to: stale attempts are fenced, system failures retried while the budget lasts.
+
+    After the end, a repeat of what ended the task is accepted again, and a contradiction is an error that changes nothing.
+    """
     return ordered_fold(events, "task", ["seq"], _retry_start, _retry_step, "task bigint, seq bigint, action string, attempt bigint, state string")
 
 
+#: The same decisions as a table of transitions.
 RETRY_CHECK = """
-WITH RECURSIVE walk AS (
+WITH RECURSIVE rule(state, event, budget, action, next) AS (VALUES
+  ('RUNNING', 'SUCCESS', NULL, 'ACCEPT_SUCCESS', 'SUCCEEDED'), ('RUNNING', 'APPLICATION', NULL, 'FAIL_APPLICATION', 'APPLICATION_FAILED'),
+  ('RUNNING', 'SYSTEM', TRUE, 'RETRY_TASK', 'RUNNING'), ('RUNNING', 'SYSTEM', FALSE, 'FAIL_RETRY_EXHAUSTED', 'SYSTEM_FAILED'),
+  ('SUCCEEDED', 'SUCCESS', NULL, 'ACCEPT_SUCCESS', 'SUCCEEDED'), ('SUCCEEDED', 'APPLICATION', NULL, 'ERROR:CONTRADICTION', 'SUCCEEDED'), ('SUCCEEDED', 'SYSTEM', NULL, 'ERROR:CONTRADICTION', 'SUCCEEDED'),
+  ('APPLICATION_FAILED', 'SUCCESS', NULL, 'ERROR:CONTRADICTION', 'APPLICATION_FAILED'), ('APPLICATION_FAILED', 'APPLICATION', NULL, 'FAIL_APPLICATION', 'APPLICATION_FAILED'),
+  ('APPLICATION_FAILED', 'SYSTEM', NULL, 'ERROR:CONTRADICTION', 'APPLICATION_FAILED'), ('SYSTEM_FAILED', 'SUCCESS', NULL, 'ERROR:CONTRADICTION', 'SYSTEM_FAILED'),
+  ('SYSTEM_FAILED', 'APPLICATION', NULL, 'ERROR:CONTRADICTION', 'SYSTEM_FAILED'), ('SYSTEM_FAILED', 'SYSTEM', NULL, 'FAIL_RETRY_EXHAUSTED', 'SYSTEM_FAILED')),
+walk AS (
   SELECT task, CAST(0 AS BIGINT) AS seq, CAST('' AS STRING) AS action, CAST(0 AS BIGINT) AS attempt, CAST('RUNNING' AS STRING) AS state FROM (SELECT DISTINCT task FROM {task_events}) t
   UNION ALL
-  SELECT e.task, e.seq,
-         CASE WHEN w.state <> 'RUNNING' OR e.attempt <> w.attempt THEN 'FENCE_STALE_ATTEMPT' WHEN e.event = 'SUCCESS' THEN 'ACCEPT_SUCCESS'
-              WHEN e.event = 'APPLICATION' THEN 'FAIL_APPLICATION' WHEN w.attempt < e.max_retries THEN 'RETRY_TASK' ELSE 'FAIL_RETRY_EXHAUSTED' END,
-         CASE WHEN w.state = 'RUNNING' AND e.attempt = w.attempt AND e.event = 'SYSTEM' AND w.attempt < e.max_retries THEN w.attempt + 1 ELSE w.attempt END,
-         CASE WHEN w.state <> 'RUNNING' OR e.attempt <> w.attempt THEN w.state WHEN e.event = 'SUCCESS' THEN 'SUCCEEDED'
-              WHEN e.event = 'APPLICATION' THEN 'APPLICATION_FAILED' WHEN w.attempt < e.max_retries THEN 'RUNNING' ELSE 'SYSTEM_FAILED' END
-  FROM walk w JOIN {task_events} e ON e.task = w.task AND e.seq = w.seq + 1)
+  SELECT e.task, e.seq, CASE WHEN e.attempt <> w.attempt THEN 'FENCE_STALE_ATTEMPT' ELSE r.action END,
+         CASE WHEN e.attempt = w.attempt AND r.action = 'RETRY_TASK' THEN w.attempt + 1 ELSE w.attempt END, CASE WHEN e.attempt <> w.attempt THEN w.state ELSE r.next END
+  FROM walk w JOIN {task_events} e ON e.task = w.task AND e.seq = w.seq + 1
+  JOIN rule r ON r.state = w.state AND r.event = e.event AND (r.budget IS NULL OR r.budget = (w.attempt < e.max_retries)))
 SELECT * FROM walk WHERE seq > 0
 """
 
@@ -152,7 +178,7 @@ def ledger_fold(ops: DataFrame, totals: DataFrame) -> DataFrame:
                 held[1] = "ACTIVE"
         return {"ledger": r["ledger"], "seq": r["seq"], "ok": ok, "error": error, "available": max(0, s["free"]), "debt": max(0, -s["free"])}
 
-    joined = ops.join(F.broadcast(totals), "ledger")
+    joined = ops.join(totals, "ledger")
     return ordered_fold(joined, "ledger", ["seq"], start, step, "ledger bigint, seq bigint, ok boolean, error string, available bigint, debt bigint")
 
 
@@ -250,36 +276,71 @@ def store_fold(ops: DataFrame, capacity: int) -> DataFrame:
     return ordered_fold(ops, "store", ["seq"], start, step, "store bigint, seq bigint, ok boolean, error string, used bigint")
 
 
-def mailbox_execution(calls: DataFrame) -> DataFrame:
-    """Order in which an actor runs its calls: by arrival, but each caller's calls in contiguous numbers; repeats are cached."""
+RESERVATION_CHECK = """
+WITH RECURSIVE ops AS (SELECT pg, seq, reply, bundle, row_number() OVER (PARTITION BY pg ORDER BY seq) AS r FROM {bundle_replies}),
+walk AS (
+  SELECT pg, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST('NONE' AS STRING) AS phase, CAST(NULL AS BIGINT) AS payload, CAST(NULL AS STRING) AS error FROM (SELECT DISTINCT pg FROM ops) t
+  UNION ALL
+  SELECT o.pg, o.seq, o.r,
+         CASE WHEN o.reply = 'REJECTED' THEN 'ABORTED' WHEN o.reply = 'PREPARED' AND w.phase = 'NONE' THEN 'PREPARED' WHEN o.reply = 'COMMITTED' AND w.phase = 'PREPARED' THEN 'COMMITTED' ELSE w.phase END,
+         CASE WHEN o.reply = 'PREPARED' AND w.phase = 'NONE' THEN o.bundle ELSE w.payload END,
+         CASE WHEN o.reply = 'PREPARED' AND w.phase = 'ABORTED' THEN 'FENCED' WHEN o.reply = 'PREPARED' AND w.phase IN ('PREPARED', 'COMMITTED') AND w.payload IS DISTINCT FROM o.bundle THEN 'CONFLICT'
+              WHEN o.reply = 'COMMITTED' AND w.phase NOT IN ('PREPARED', 'COMMITTED') THEN 'NOT_PREPARED' END
+  FROM walk w JOIN ops o ON o.pg = w.pg AND o.r = w.r + 1)
+SELECT pg, seq, phase, error FROM walk WHERE r > 0
+"""
 
-    schema = pa.schema([("actor", pa.string()), ("caller", pa.int64()), ("seq", pa.int64()), ("state", pa.string()), ("run_order", pa.int64())])
+PUBLICATION_CHECK = """
+WITH RECURSIVE needs(stage, prior) AS (VALUES ('PREPARED', 'INTENT'), ('ARMED', 'PREPARED'), ('TERMINAL', 'ARMED'), ('COMMITTED', 'PREPARED'), ('COMMITTED', 'TERMINAL'),
+  ('ADOPTED', 'COMMITTED'), ('FENCED', 'INTENT'), ('RETIRED', 'FENCED')),
+asked AS (
+  SELECT s.ref, s.is_put, s.seq, s.stage, row_number() OVER (PARTITION BY s.ref ORDER BY s.seq) AS r,
+         (SELECT coalesce(list(n.prior), []) FROM needs n WHERE n.stage = s.stage AND NOT (s.is_put AND n.prior = 'TERMINAL')) AS priors
+  FROM {stages} s),
+walk AS (
+  SELECT ref, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST('' AS STRING) AS stage, CAST([] AS VARCHAR[]) AS got, CAST(NULL AS STRING) AS error FROM (SELECT DISTINCT ref FROM asked) t
+  UNION ALL
+  SELECT x.ref, x.seq, x.r, x.stage, CASE WHEN x.error IS NULL AND NOT list_contains(x.got, x.stage) THEN list_append(x.got, x.stage) ELSE x.got END, x.error
+  FROM (SELECT a.ref, a.seq, a.r, a.stage, w.got,
+               CASE WHEN list_contains(w.got, a.stage) THEN NULL WHEN a.is_put AND a.stage = 'TERMINAL' THEN 'NO_TERMINAL_STAGE' WHEN NOT list_has_all(w.got, a.priors) THEN 'PREREQUISITE'
+                    WHEN list_contains(w.got, 'FENCED') AND a.stage NOT IN ('FENCED', 'RETIRED') THEN 'FENCED' END AS error
+        FROM walk w JOIN asked a ON a.ref = w.ref AND a.r = w.r + 1) x)
+SELECT ref, seq, stage, error IS NULL AS accepted, nullif(list_position(got, stage), 0) AS receipt, error, list_contains(got, 'PREPARED') AND NOT list_contains(got, 'RETIRED') AS graph_active
+FROM walk WHERE r > 0
+"""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        actor, next_, held, order = None, {}, {}, 0
-        out: list[tuple] = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["actor"] != actor:
-                    out += [(actor, c, s, "BUFFERED", None) for c, s in sorted(held)]
-                    actor, next_, held, order = r["actor"], {}, set(), 0
-                caller, seq = r["caller"], r["seq"]
-                expected = next_.get(caller, 0)
-                if seq < expected or (caller, seq) in held:
-                    out.append((actor, caller, seq, "CACHED", None))
-                    continue
-                held.add((caller, seq))
-                while (caller, expected) in held:
-                    held.remove((caller, expected))
-                    out.append((actor, caller, expected, "RUN", order))
-                    order, expected = order + 1, expected + 1
-                next_[caller] = expected
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
-                out = []
-        out += [(actor, c, s, "BUFFERED", None) for c, s in sorted(held)]
-        if out:
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
 
+def mailbox_execution(calls: DataFrame) -> DataFrame:
+    """Order in which an actor runs its calls: by arrival, but each caller's calls in contiguous numbers; repeats are cached.
+
+    A call runs when the last of its caller's calls up to its number has arrived, and calls that one arrival sets free run by
+    their numbers.  So places are a total order by that arrival, counted from the first of each actor: no task holds an
+    actor's calls, only a caller's.
+    """
     plain = calls.select("actor", "caller", "seq", "arrival")
-    return plain.repartition("actor").sortWithinPartitions("actor", "arrival").mapInArrow(run, "actor string, caller bigint, seq bigint, state string, run_order bigint")
+    first = plain.groupBy("actor", "caller", "seq").agg(F.min("arrival").alias("arrival"), F.count("*").alias("n"))
+    upto = Window.partitionBy("actor", "caller").orderBy("seq")
+    placed = first.withColumn("place", F.row_number().over(upto) - 1).withColumn("due", F.max("arrival").over(upto))
+    placed = materialize(placed, "calls")
+    ran = total_order(placed.filter("seq = place").select("actor", "due", "caller", "seq"), ["actor", "due", "seq", "caller"])
+    start = ran.groupBy("actor").agg(F.min("place").alias("start"))
+    run = ran.join(F.broadcast(start), "actor") if placed.select("actor").distinct().count() < BROADCAST_ACTORS else ran.join(start, "actor")
+    run = run.select("actor", "caller", "seq", F.lit("RUN").alias("state"), (F.col("place") - F.col("start")).alias("run_order"))
+    none = F.lit(None).cast("bigint").alias("run_order")
+    held = placed.filter("seq <> place").select("actor", "caller", "seq", F.lit("BUFFERED").alias("state"), none)
+    again = placed.filter("n > 1").select("actor", "caller", "seq", F.lit("CACHED").alias("state"), none, F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+    return run.union(held).union(again.select("actor", "caller", "seq", "state", "run_order"))
+
+
+#: Actors whose first places are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ACTORS = 100_000
+
+MAILBOX_CHECK = """
+WITH once AS (SELECT actor, caller, seq, min(arrival) AS arrival FROM {actor_calls} GROUP BY actor, caller, seq),
+numbered AS (SELECT a.*, (SELECT count(*) FROM once b WHERE b.actor = a.actor AND b.caller = a.caller AND b.seq < a.seq) = a.seq AS runs,
+                    max(arrival) OVER (PARTITION BY actor, caller ORDER BY seq) AS due FROM once a)
+SELECT actor, caller, seq, CASE WHEN runs THEN 'RUN' ELSE 'BUFFERED' END AS state,
+       CASE WHEN runs THEN row_number() OVER (PARTITION BY actor, runs ORDER BY due, seq) - 1 END AS run_order FROM numbered
+UNION ALL
+SELECT actor, caller, seq, 'CACHED', NULL FROM (SELECT *, row_number() OVER (PARTITION BY actor, caller, seq ORDER BY arrival) AS k FROM {actor_calls}) t WHERE k > 1
+"""

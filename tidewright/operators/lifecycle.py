@@ -2,15 +2,13 @@
 
 from tidewright.operators.decision import decision
 
+_KIND = "CASE event WHEN 'SUCCESS' THEN 'NONE' WHEN 'APPLICATION' THEN 'APPLICATION' WHEN 'SYSTEM' THEN 'SYSTEM' ELSE {error}(concat('unknown failure: ', coalesce(event, 'NULL'))) END"
 FAILURES = decision(
     "failure_classification",
     "task_events",
-    """
-SELECT task, seq, event, CASE event WHEN 'SUCCESS' THEN 'NONE' WHEN 'APPLICATION' THEN 'APPLICATION' WHEN 'SYSTEM' THEN 'SYSTEM' END AS failure_kind,
-       event = 'SYSTEM' AND attempt < max_retries AS retryable
-FROM {task_events}
-""",
-    "Application failures are never retried; system failures are while the budget lasts.",
+    "SELECT task, seq, event, " + _KIND.format(error="raise_error") + " AS failure_kind, event = 'SYSTEM' AND attempt < max_retries AS retryable FROM {task_events}",
+    "Application failures are never retried; system failures are while the budget lasts; anything else is an error, never a silent retry.",
+    check="SELECT task, seq, event, " + _KIND.format(error="error") + " AS failure_kind, event = 'SYSTEM' AND attempt < max_retries AS retryable FROM {task_events}",
 )
 
 RECONSTRUCTION = decision(
@@ -53,8 +51,8 @@ SELECT node, epoch, CASE WHEN r = 1 AND born IS NULL THEN 'UNKNOWN' WHEN r = 1 T
 
 SUFFIX = decision(
     "death_suffix",
-    "node_deaths",
-    "SELECT node, epoch, reason FROM {node_deaths} WHERE epoch > 2",
+    "node_deaths settings",
+    "SELECT d.node, d.epoch, d.reason FROM {node_deaths} d CROSS JOIN {settings} s WHERE d.epoch > s.death_cursor",
     "Deaths after a cursor; the epoch column gives their order.",
 )
 
@@ -104,7 +102,6 @@ ACTOR_EXIT = decision(
     "actor_exit_disposition",
     "actor_exits actors",
     """
-WITH first AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY detection) AS r FROM {actor_exits})
 SELECT e.detection, e.actor,
        CASE WHEN a.actor IS NULL THEN 'UNKNOWN'
             WHEN e.generation < a.generation THEN 'STALE'
@@ -112,9 +109,9 @@ SELECT e.detection, e.actor,
             ELSE 'APPLIED' END AS disposition,
        CASE WHEN a.state = 'ALIVE' AND e.generation = a.generation AND e.node = a.node AND e.route_epoch = a.route_epoch
             THEN CASE WHEN a.restarts_used < a.max_restarts THEN 'RESTARTING' ELSE 'DEAD' END END AS next_state
-FROM first e LEFT JOIN {actors} a ON a.actor = e.actor WHERE e.r = 1
+FROM {actor_exits} e LEFT JOIN {actors} a ON a.actor = e.actor
 """,
-    "One exit against an actor's record: stale, conflicting or applied, and whether the restart budget allows another generation.",
+    "Each exit by itself against an actor's record: stale, conflicting or applied, and whether the restart budget allows another generation.",
 )
 
 ACTOR_NODE_LOSS = decision(
@@ -141,8 +138,8 @@ CALL_STATUS = decision(
     "actor_call_status",
     "actor_calls",
     """
-SELECT actor, caller, seq, arrival, CASE WHEN arrival % 37 = 0 THEN 'SYSTEM_ERROR' WHEN payload < 1 THEN 'APPLICATION_ERROR' ELSE 'OK' END AS status,
-       arrival % 37 <> 0 AS consumes_sequence
+SELECT actor, caller, seq, arrival, CASE WHEN stale_generation THEN 'SYSTEM_ERROR' WHEN raised THEN 'APPLICATION_ERROR' ELSE 'OK' END AS status,
+       NOT stale_generation AS consumes_sequence
 FROM {actor_calls}
 """,
     "A stale generation is a system error; a user's exception is an application error that consumes its number and leaves the actor alive.",

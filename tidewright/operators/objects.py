@@ -70,16 +70,15 @@ FROM {pull_state} p JOIN source s ON s.object = p.object
     "Pull action by precedence; the source is the smallest node that isn't the requester or excluded.",
 )
 
-CHUNK_BYTES = 16384
 CHUNK_PLAN = decision(
     "chunk_plan",
-    "objects",
-    f"""
-SELECT object, explode(sequence(CAST(0 AS BIGINT), size * 4096 - 1, CAST({CHUNK_BYTES} AS BIGINT))) AS chunk_offset, size * 4096 AS size
-FROM {{objects}} WHERE size > 0
+    "objects settings",
+    """
+SELECT object, explode(sequence(CAST(0 AS BIGINT), size * 4096 - 1, chunk_bytes)) AS chunk_offset, size * 4096 AS size
+FROM {objects} CROSS JOIN {settings} WHERE size > 0
 """,
     "Offsets of the chunks that move an object.",
-    check=f"SELECT object, unnest(generate_series(0, size * 4096 - 1, {CHUNK_BYTES})) AS chunk_offset, size * 4096 AS size FROM {{objects}} WHERE size > 0",
+    check="SELECT object, unnest(generate_series(0, size * 4096 - 1, chunk_bytes)) AS chunk_offset, size * 4096 AS size FROM {objects} CROSS JOIN {settings} WHERE size > 0",
 )
 
 DELETABLE = decision(
@@ -94,13 +93,20 @@ WHERE NOT EXISTS (SELECT 1 FROM {object_refs} p WHERE p.object = r.object AND p.
 
 DROP = decision(
     "drop_exact_replica",
-    "results objects replicas",
+    "drop_requests objects replicas",
     """
-SELECT r.object, r.attempt, r.node, bool_or(o.attempt = r.attempt AND o.size = r.payload AND p.node IS NOT NULL) AS dropped
-FROM {results} r JOIN {objects} o ON o.object = r.object LEFT JOIN {replicas} p ON p.object = r.object AND p.node = r.node
-GROUP BY r.object, r.attempt, r.node
+SELECT q.object, q.attempt, q.node, q.owner, q.checksum, count(*) AS requests,
+       bool_or(o.attempt = q.attempt AND o.owner = q.owner AND o.checksum = q.checksum AND p.node IS NOT NULL) AS dropped
+FROM {drop_requests} q JOIN {objects} o ON o.object = q.object LEFT JOIN {replicas} p ON p.object = q.object AND p.node = q.node
+GROUP BY q.object, q.attempt, q.node, q.owner, q.checksum
+""",
+    "A replica goes only if node, producer's attempt, owner and checksum all match; any mismatch deletes nothing.",
+    check="""
+SELECT q.object, q.attempt, q.node, q.owner, q.checksum, count(*) AS requests,
+       EXISTS (SELECT 1 FROM {replicas} p WHERE p.object = q.object AND p.node = q.node)
+       AND (q.object, q.attempt, q.owner, q.checksum) IN (SELECT (object, attempt, owner, checksum) FROM {objects}) AS dropped
+FROM {drop_requests} q GROUP BY q.object, q.attempt, q.node, q.owner, q.checksum
 """,
-    "A replica goes only if attempt, size and node all match; any mismatch deletes nothing.",
 )
 
 _TOKENS = """
@@ -122,24 +128,31 @@ SELECT o.object, count(h.object) AS tokens, count(h.object) > 0 AS is_live FROM
 
 COLLECTABLE = decision(
     "collectable_objects",
-    "objects object_refs replicas nodes holdings",
+    "object_states object_refs object_locations object_edges",
     _TOKENS + """
-SELECT o.object FROM {objects} o
-WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.object = o.object) AND NOT EXISTS (SELECT 1 FROM {holdings} e WHERE e.src = concat('p', o.object))
-  AND NOT EXISTS (SELECT 1 FROM {replicas} r JOIN {nodes} n ON n.node = r.node WHERE r.object = o.object AND NOT n.alive)
+SELECT o.object FROM {object_states} o
+WHERE o.state <> 'READY_STORED' AND NOT o.collecting AND NOT o.publishing AND NOT o.has_lineage
+  AND NOT EXISTS (SELECT 1 FROM held h WHERE h.object = o.object) AND NOT EXISTS (SELECT 1 FROM {object_edges} e WHERE e.src = o.object)
+  AND NOT EXISTS (SELECT 1 FROM {object_locations} l WHERE l.object = o.object)
+""",
+    "Objects whose metadata can be forgotten: dead, not stored, nowhere located, without edges of either kind, lineage, publication or running collection.",
+    check="""
+SELECT object FROM {object_states} WHERE state IN ('READY_INLINE', 'ERROR', 'PENDING') AND NOT (collecting OR publishing OR has_lineage)
+EXCEPT SELECT src FROM {object_edges}
+EXCEPT SELECT object FROM {object_locations}
+EXCEPT SELECT object FROM (SELECT object, kind, token FROM {object_refs} GROUP BY object, kind, token HAVING NOT bool_or(released)) t
 """,
-    "Dead objects without outgoing edges, none of whose locations still waits for a dead node's cleanup.",
 )
 
 NODE_LOSS = decision(
     "node_loss_partition",
-    "replicas objects object_refs nodes",
+    "replicas objects nodes",
     """
 WITH marked AS (
   SELECT r.object, count(*) AS locations, CAST(sum(CASE WHEN n.alive THEN 0 ELSE 1 END) AS BIGINT) AS lost FROM {replicas} r JOIN {nodes} n ON n.node = r.node GROUP BY r.object)
 SELECT m.object, m.locations - m.lost AS surviving,
-       CASE WHEN m.object % 29 = 0 THEN 'COLLECTING' WHEN m.locations = m.lost THEN 'LOST' ELSE 'SURVIVING' END AS state
-FROM marked m WHERE m.lost > 0
+       CASE WHEN o.collecting THEN 'COLLECTING' WHEN m.locations = m.lost THEN 'LOST' ELSE 'SURVIVING' END AS state
+FROM marked m JOIN {objects} o ON o.object = m.object WHERE m.lost > 0
 """,
     "Objects with a replica on a dead node: lost with their last location, frozen while they are collected.",
 )
@@ -149,19 +162,9 @@ REMOVE_LOCATION = decision(
     "results objects",
     """
 SELECT r.object, r.node, bool_or(r.attempt = o.attempt) AS removed, count(*) AS requests
-FROM {results} r JOIN {objects} o ON o.object = r.object WHERE r.node % 10 = 1 GROUP BY r.object, r.node
-""",
-    "A location is removed only by a request of the current attempt.",
-)
-
-REMOVE_LOCATION_WHOLE = decision(
-    "location_removal_whole",
-    "results objects",
-    """
-SELECT r.object, r.node, bool_or(r.attempt = o.attempt) AS removed, count(*) AS requests
 FROM {results} r JOIN {objects} o ON o.object = r.object GROUP BY r.object, r.node
 """,
-    "As location_removal, whose SQL decides a tenth of the nodes only, for the requests of every node.",
+    "A location is removed only by a request of the current attempt.",
 )
 
 DEAD_WORKER = decision(
@@ -201,10 +204,10 @@ FROM {task_deps} GROUP BY task, object
 
 GATE = decision(
     "readiness_gate",
-    "task_deps pull_state",
+    "task_deps local_objects",
     """
-SELECT d.task, count(DISTINCT d.object) AS dependencies, bool_and(coalesce(p.local_ready, d.object % 6 <> 0)) AS ready
-FROM {task_deps} d LEFT JOIN {pull_state} p ON p.object = d.object WHERE NOT d.nested GROUP BY d.task
+SELECT d.task, count(DISTINCT d.object) AS dependencies, bool_and(coalesce(p.local_ready, FALSE)) AS ready
+FROM {task_deps} d LEFT JOIN {local_objects} p ON p.object = d.object WHERE NOT d.nested GROUP BY d.task
 """,
     "A task is ready when all its top-level dependencies are.",
 )
@@ -222,15 +225,15 @@ WHERE n.alive AND a.node IS NULL
 
 VALUES = decision(
     "value_storage",
-    "documents",
+    "documents settings",
     """
-SELECT doc_id, CASE WHEN octet_length(coalesce(text, '')) <= 2048 THEN 'INLINE' ELSE 'OBJECT_STORE' END AS storage,
+SELECT doc_id, CASE WHEN octet_length(coalesce(text, '')) <= inline_bytes THEN 'INLINE' ELSE 'OBJECT_STORE' END AS storage,
        CAST(octet_length(coalesce(text, '')) AS BIGINT) AS size, sha2(coalesce(text, ''), 256) AS checksum
-FROM {documents}
+FROM {documents} CROSS JOIN {settings}
 """,
     "Values up to the threshold travel inline, larger ones go to the store; both carry a SHA-256.",
     check="""
-SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) <= 2048 THEN 'INLINE' ELSE 'OBJECT_STORE' END AS storage,
-       strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS checksum FROM {documents}
+SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) <= inline_bytes THEN 'INLINE' ELSE 'OBJECT_STORE' END AS storage,
+       strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS checksum FROM {documents} CROSS JOIN {settings}
 """,
 )

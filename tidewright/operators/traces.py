@@ -4,68 +4,79 @@ from tidewright.operators.decision import decision
 
 DEDUP = decision(
     "trace_dedup",
-    "trace_events",
+    "trace_deliveries",
     """
-WITH doubled AS (SELECT * FROM {trace_events} UNION ALL SELECT * FROM {trace_events} WHERE arrival % 10 = 0)
-SELECT event_id, min(arrival) AS arrival, count(*) - 1 AS deduplicated, count(DISTINCT component) > 1 OR count(DISTINCT process_id) > 1 AS conflict
-FROM doubled GROUP BY event_id
+WITH contents AS (
+  SELECT event_id, min(arrival) AS arrival, count(*) AS n FROM {trace_deliveries}
+  GROUP BY event_id, process_id, process_sequence, component, event, cause_event_id, rpc_id, object_id, task_id)
+SELECT event_id, min(arrival) AS arrival, CAST(sum(n) - 1 AS BIGINT) AS deduplicated, count(*) > 1 AS conflict FROM contents GROUP BY event_id
 """,
-    "Records once each; the same id with other content is an error.",
-)
-
-EXPORT_ORDER = decision(
-    "trace_export_order",
-    "trace_events",
-    """
-SELECT event_id, process_id, process_sequence, row_number() OVER (PARTITION BY process_id ORDER BY process_sequence, event_id) AS place FROM {trace_events}
+    "Records once each, the first to arrive; the same id with other content in any column is an error.",
+    check="""
+SELECT event_id, min(arrival) AS arrival, count(*) - 1 AS deduplicated,
+       count(DISTINCT (process_id, process_sequence, component, event, cause_event_id, rpc_id, object_id, task_id)) > 1 AS conflict
+FROM {trace_deliveries} GROUP BY event_id
 """,
-    "Place of a record in the order of its process; processes themselves are ordered as text.",
 )
 
 FILTER = decision(
     "trace_filter",
-    "trace_events",
-    "SELECT event_id, component, event FROM {trace_events} WHERE component = 'error' AND (object_id = 3 OR task_id = 3 OR rpc_id = 3)",
-    "Equality filters on component and name, and a reference that matches any id attribute.",
+    "trace_events trace_filters",
+    """
+SELECT f.query, t.event_id, t.component, t.event FROM {trace_events} t JOIN {trace_filters} f
+  ON (f.component IS NULL OR t.component = f.component) AND (f.event IS NULL OR t.event = f.event)
+ AND (f.reference IS NULL OR t.object_id = f.reference OR t.task_id = f.reference OR t.rpc_id = f.reference)
+""",
+    "Equality filters on component and name, and a reference that matches any id attribute; a missing one is any.",
 )
 
 ENTITY = decision(
     "trace_entity",
-    "trace_events",
+    "trace_attributes",
     """
-SELECT event_id, CASE WHEN object_id > 3 THEN 'object' WHEN task_id > 2 THEN 'task' ELSE 'request' END AS entity_kind,
-       coalesce(CASE WHEN object_id > 3 THEN object_id END, CASE WHEN task_id > 2 THEN task_id END, rpc_id) AS entity_id
-FROM {trace_events}
+SELECT event_id, CASE WHEN object_id IS NOT NULL THEN 'object' WHEN task_id IS NOT NULL THEN 'task' WHEN lease_id IS NOT NULL THEN 'lease'
+                      WHEN actor_id IS NOT NULL THEN 'actor' WHEN placement_group_id IS NOT NULL THEN 'placement_group' WHEN worker_id IS NOT NULL THEN 'worker'
+                      WHEN node_id IS NOT NULL THEN 'node' WHEN request_id IS NOT NULL THEN 'request' END AS entity_kind,
+       coalesce(object_id, task_id, lease_id, actor_id, placement_group_id, worker_id, node_id, request_id) AS entity_id
+FROM {trace_attributes}
 """,
     "The first entity present, by precedence.",
 )
 
 RULES = decision(
     "trace_event_rules",
-    "trace_events",
+    "trace_events contract_rules",
     """
-WITH rules AS (SELECT 'sent' AS rule, 'rpc_request_sent' AS event, 'click' AS component UNION ALL SELECT 'received', 'rpc_request_received', 'view'
-               UNION ALL SELECT 'failed', 'rpc_reply_sent', 'error'),
-hits AS (
-  SELECT r.rule, t.event_id, t.object_id, t.process_id, t.process_sequence FROM rules r JOIN {trace_events} t ON t.event = r.event AND t.component = r.component),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY process_id, process_sequence, event_id) AS k FROM hits),
-counts AS (SELECT rule, count(*) AS n FROM hits GROUP BY rule)
-SELECT f.rule, f.event_id AS first_event, f.object_id AS bound_object, c.n AS matches FROM firsts f JOIN counts c ON c.rule = f.rule WHERE f.k = 1
+WITH hits AS (
+  SELECT r.rule, t.event_id, t.object_id, t.process_id, t.process_sequence FROM {contract_rules} r JOIN {trace_events} t ON t.event = r.event AND t.component = r.component),
+folded AS (SELECT rule, count(*) AS n, min(struct(process_id, process_sequence, event_id, object_id)) AS head FROM hits GROUP BY rule)
+SELECT rule, head.event_id AS first_event, head.object_id AS bound_object, n AS matches FROM folded
 """,
     "Event rules with literals: the first record in order binds the variables.",
+    check="""
+SELECT r.rule, arg_min(t.event_id, (t.process_id, t.process_sequence, t.event_id)) AS first_event,
+       arg_min(t.object_id, (t.process_id, t.process_sequence, t.event_id)) AS bound_object, count(*) AS matches
+FROM {contract_rules} r JOIN {trace_events} t ON t.event = r.event AND t.component = r.component GROUP BY r.rule
+""",
 )
 
 BOUND = decision(
     "trace_bound_rules",
-    "trace_events",
+    "trace_events contract_bound",
     """
 WITH first AS (
-  SELECT object_id, task_id FROM {trace_events} WHERE component = 'purchase' AND event = 'rpc_request_sent'
-  ORDER BY process_id, process_sequence, event_id LIMIT 1)
-SELECT t.event_id, t.process_id, t.process_sequence FROM {trace_events} t JOIN first b ON t.object_id = b.object_id AND t.task_id = b.task_id
-WHERE t.event = 'rpc_reply_received'
+  SELECT r.rule, r.later, min(struct(t.process_id, t.process_sequence, t.event_id, t.object_id, t.task_id)) AS b
+  FROM {contract_bound} r JOIN {trace_events} t ON t.component = r.component AND t.event = r.event GROUP BY r.rule, r.later)
+SELECT f.rule, t.event_id, t.process_id, t.process_sequence FROM {trace_events} t
+JOIN first f ON t.event = f.later AND t.object_id = f.b.object_id AND t.task_id = f.b.task_id
 """,
     "Records that must equal what an earlier rule bound.",
+    check="""
+SELECT f.rule, t.event_id, t.process_id, t.process_sequence
+FROM (SELECT r.rule, r.later, e.object_id, e.task_id, row_number() OVER (PARTITION BY r.rule ORDER BY e.process_id, e.process_sequence, e.event_id) AS k
+      FROM {contract_bound} r JOIN {trace_events} e ON e.component = r.component AND e.event = r.event) f
+JOIN {trace_events} t ON t.event = f.later AND t.object_id = f.object_id AND t.task_id = f.task_id WHERE f.k = 1
+""",
 )
 
 RPC = decision(
@@ -84,9 +95,10 @@ WHERE s.event = 'rpc_request_sent'
 
 ANCHORS = decision(
     "trace_rpc_anchors",
-    "trace_events",
+    "trace_events contract_anchors",
     """
-WITH anchor AS (SELECT process_id, min(process_sequence) AS opened, max(process_sequence) AS closed FROM {trace_events} WHERE component = 'signup' GROUP BY process_id),
+WITH anchor AS (
+  SELECT t.process_id, min(t.process_sequence) AS opened, max(t.process_sequence) AS closed FROM {trace_events} t JOIN {contract_anchors} c ON c.component = t.component GROUP BY t.process_id),
 served AS (
   SELECT s.rpc_id, s.process_id AS client, s.process_sequence AS sent_at, r.process_id AS server, r.process_sequence AS received_at
   FROM {trace_events} s JOIN {trace_events} r ON r.rpc_id = s.rpc_id AND r.event = 'rpc_request_received' AND r.cause_event_id = s.event_id AND r.process_id <> s.process_id
@@ -110,30 +122,31 @@ SELECT event_id, following FROM (SELECT event_id, lead(event_id) OVER (PARTITION
 
 FORBIDDEN = decision(
     "trace_forbidden",
-    "trace_events",
-    "SELECT event_id, component, event FROM {trace_events} WHERE component = 'signup' AND event LIKE 'rpc_reply%' AND object_id = 0",
+    "trace_events contract_forbidden",
+    "SELECT t.event_id, t.component, t.event FROM {trace_events} t JOIN {contract_forbidden} f ON t.component = f.component AND t.event LIKE concat(f.prefix, '%') AND t.object_id = f.object_id",
     "Records that a contract forbids, by component, name prefix and bound fields.",
 )
 
 VIOLATIONS = decision(
     "trace_violations",
-    "trace_events",
+    "trace_events contract_forbidden",
     """
 SELECT 'missing_cause' AS violation, t.event_id FROM {trace_events} t LEFT JOIN {trace_events} c ON c.event_id = t.cause_event_id
 WHERE t.cause_event_id IS NOT NULL AND c.event_id IS NULL
 UNION ALL
 SELECT 'same_process', t.event_id FROM {trace_events} t JOIN {trace_events} c ON c.event_id = t.cause_event_id WHERE t.event = 'rpc_request_received' AND c.process_id = t.process_id
 UNION ALL
-SELECT 'forbidden', event_id FROM {trace_events} WHERE component = 'signup' AND event LIKE 'rpc_reply%' AND object_id = 0
+SELECT 'forbidden', t.event_id FROM {trace_events} t JOIN {contract_forbidden} f ON t.component = f.component AND t.event LIKE concat(f.prefix, '%') AND t.object_id = f.object_id
 """,
     "All violations of a contract as one list.",
 )
 
 RENDER = decision(
     "trace_rendering",
-    "trace_events",
+    "trace_events contract_bindings",
     """
-SELECT event_id, concat(component, '.', event, ' <object', CAST(dense_rank() OVER (PARTITION BY component ORDER BY object_id) AS STRING), '>') AS line FROM {trace_events}
+SELECT t.event_id, concat(t.component, '.', t.event, ' object_id=', CASE WHEN b.name IS NULL THEN CAST(t.object_id AS STRING) ELSE concat('<', b.name, '>') END) AS line
+FROM {trace_events} t LEFT JOIN {contract_bindings} b ON b.object_id = t.object_id
 """,
-    "Canonical lines: identities become names.",
+    "Canonical lines: identities that a contract has bound become names.",
 )

@@ -13,6 +13,7 @@ from tidewright.operators.decision import REGISTRY, Decision
 from tidewright.plans.projections import BASE_TABLES, project, projection_sql
 from tidewright.runtime import run_tasks
 from tidewright.sources.shared import materialize
+from tidewright.sources.traces import total_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +149,12 @@ def trace_order_rules(trace_events: DataFrame) -> DataFrame:
     return held.select("before", "after", F.coalesce(F.col("first_sequence") <= F.col("s"), F.lit(False)).alias("holds"))
 
 
+@_tables("trace_events")
+def trace_export_order(trace_events: DataFrame) -> DataFrame:
+    """Each record's place in the total order of the trace."""
+    return total_order(trace_events.select("event_id", "process_id", "process_sequence"), ["process_id", "process_sequence", "event_id"])
+
+
 @_tables("tasks")
 def derived_ids(tasks: DataFrame) -> DataFrame:
     return tasks.select("task", ids.derived_id("driver-task", F.col("task")).alias("id"))
@@ -180,7 +187,26 @@ walk AS (SELECT seed, dst AS node, CAST(1 AS BIGINT) AS depth FROM ({seeds_sql})
   UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < {limit})
 SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node
 """
+ORACLES["trace_export_order"] = with_projections(
+    "SELECT event_id, process_id, process_sequence, row_number() OVER (ORDER BY process_id, process_sequence, event_id) AS place FROM {trace_events}", ("trace_events",)
+)
 ORACLES["retry_fold"] = with_projections(folds.RETRY_CHECK, ("task_events",))
+ORACLES["reservation_fold"] = with_projections(folds.RESERVATION_CHECK, ("bundle_replies",))
+ORACLES["publication_fold"] = with_projections(folds.PUBLICATION_CHECK, ("stages",))
+ORACLES["mailbox_execution"] = with_projections(folds.MAILBOX_CHECK, ("actor_calls",))
+ORACLES["reconstruction_preflight"] = with_projections(
+    """
+WITH RECURSIVE e AS (SELECT DISTINCT d.src, d.dst FROM {lineage_edges} d JOIN {order_states} o ON o.object = d.src WHERE o.state <> 'READY'),
+walk AS (
+  SELECT object AS seed, object AS node, CAST(0 AS BIGINT) AS depth FROM {order_states} WHERE state = 'LOST'
+  UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node),
+levels AS (SELECT node, max(depth) AS depth FROM (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node) t GROUP BY node)
+SELECT l.node AS object, l.depth, CASE WHEN o.state = 'READY' THEN 'SKIP' WHEN o.state = 'PENDING' AND NOT o.recovering THEN 'REJECT_PENDING' WHEN o.state = 'PENDING' THEN 'JOIN'
+       WHEN o.retries_left > 0 THEN 'REBUILD' ELSE 'REJECT_BUDGET' END AS action
+FROM levels l JOIN {order_states} o ON o.object = l.node
+""",
+    ("lineage_edges", "order_states"),
+)
 ORACLES["lease_lifecycle"] = with_projections(folds.LEASE_CHECK, ("lease_ops",))
 ORACLES["lineage_closure"] = with_projections(
     _REACH.format(edges_sql="SELECT src, dst FROM {lineage_edges}", seeds_sql="SELECT DISTINCT src AS seed FROM {lineage_edges} WHERE src NOT IN (SELECT dst FROM {lineage_edges})", limit=1000), ("lineage_edges",)

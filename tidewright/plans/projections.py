@@ -28,7 +28,32 @@ UNION ALL SELECT o_orderkey, 'GPU', 1000 FROM {orders} WHERE o_orderkey % 7 = 0"
     "task_deps": """
 SELECT l_orderkey AS task, l_linenumber AS pos, l_partkey AS object, l_suppkey AS owner, l_partkey % 5 = 0 AS nested FROM {lineitem}""",
     "objects": """
-SELECT l_partkey AS object, max(CAST(l_quantity AS BIGINT)) AS size, max(l_linenumber) AS attempt FROM {lineitem} GROUP BY l_partkey""",
+SELECT l_partkey AS object, max(CAST(l_quantity AS BIGINT)) AS size, max(l_linenumber) AS attempt, min(l_suppkey) AS owner,
+       concat('c', CAST(max(CAST(l_quantity AS BIGINT)) AS STRING)) AS checksum, l_partkey % 29 = 0 AS collecting
+FROM {lineitem} GROUP BY l_partkey""",
+    # What owners know of their objects; every twenty-ninth is being collected.
+    "object_states": """
+SELECT p_partkey AS object, CASE WHEN p_partkey % 8 = 0 THEN 'READY_STORED' WHEN p_partkey % 8 = 4 THEN 'READY_INLINE' WHEN p_partkey % 2 = 0 THEN 'ERROR' ELSE 'PENDING' END AS state,
+       p_partkey % 29 = 0 AS collecting, p_partkey % 31 = 0 AS publishing, p_partkey % 7 = 0 AS has_lineage
+FROM {part}""",
+    "object_locations": "SELECT DISTINCT l_partkey AS object, l_suppkey AS node FROM {lineitem} WHERE l_partkey % 8 = 0 OR l_partkey % 20 = 4",
+    # Objects that an object's value contains, and objects that its producer needed.
+    "object_edges": """
+SELECT l_partkey AS src, l_suppkey AS dst, CASE WHEN l_linenumber = 7 THEN 'CONTAINED' ELSE 'LINEAGE' END AS kind
+FROM {lineitem} WHERE l_linenumber = 7 AND l_partkey % 3 = 0 OR l_linenumber = 6 AND l_partkey % 5 = 0""",
+    "local_objects": "SELECT DISTINCT l_partkey AS object, l_partkey % 6 <> 0 AS local_ready FROM {lineitem}",
+    # Requests to delete one replica, with the identity that the sender believes in; some are stale.
+    "drop_requests": """
+SELECT l_partkey AS object, l_linenumber AS attempt, l_suppkey AS node, l_suppkey - l_orderkey % 3 AS owner,
+       concat('c', CAST(CAST(l_quantity AS BIGINT) + CASE WHEN l_orderkey % 2 = 0 THEN 50 - CAST(l_quantity AS BIGINT) ELSE 0 END AS STRING)) AS checksum
+FROM {lineitem}""",
+    # Thresholds and cursors that a user of the runtime sets: one row.
+    "settings": "SELECT CAST(2048 AS BIGINT) AS inline_bytes, CAST(16384 AS BIGINT) AS chunk_bytes, CAST(2 AS BIGINT) AS death_cursor",
+    # How a lease is asked for: targeted retries, leases of placement groups, and whether its dependencies are local.
+    "lease_requests": """
+SELECT o_orderkey AS task, o_orderkey % 13 = 0 AS targeted, CASE WHEN o_orderkey % 26 = 0 THEN o_orderkey % n.k + 1 ELSE o_orderkey % n.k END AS target,
+       o_orderkey % 17 = 0 AS gang, o_orderkey % 23 <> 0 AS localized
+FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
     "replicas": """
 SELECT DISTINCT l_partkey AS object, l_suppkey AS node FROM {lineitem}""",
     "results": """
@@ -63,7 +88,7 @@ FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
     "locations": "SELECT DISTINCT l_orderkey AS object, l_suppkey AS node, l_suppkey % 4 = 0 AS excluded FROM {lineitem}",
     # Actor calls: callers number their calls; some numbers are missing.
     "actor_calls": """
-SELECT event_type AS actor, user_id AS caller, event_id AS arrival, value AS payload,
+SELECT event_type AS actor, user_id AS caller, event_id AS arrival, value AS payload, event_id % 37 = 0 AS stale_generation, value < 1 AS raised,
        CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS BIGINT) - 1 + CASE WHEN event_id % 97 > 48 AND user_id % 3 = 0 THEN 1 ELSE 0 END AS seq
 FROM {events}""",
     "actors": """
@@ -140,8 +165,31 @@ SELECT CAST(e.event_id AS STRING) AS event_id, CAST(e.user_id AS STRING) AS proc
        CASE WHEN e.event_id % 4 <> 0 THEN CAST(e.event_id - 1 AS STRING) END AS cause_event_id,
        CAST((e.event_id - e.event_id % 4) / 4 AS BIGINT) AS rpc_id, CAST(floor(e.value) AS BIGINT) % 7 AS object_id, CAST(floor(e.value) AS BIGINT) % 5 AS task_id
 FROM {events} e""",
+    # Literal conditions of debug queries; NULL is any.
+    "trace_filters": """
+SELECT 'errors of 3' AS query, 'error' AS component, CAST(NULL AS STRING) AS event, CAST(3 AS BIGINT) AS reference
+UNION ALL SELECT 'replies of 5', NULL, 'rpc_reply_sent', 5 UNION ALL SELECT 'signups', 'signup', 'rpc_request_sent', NULL""",
+    "contract_rules": """
+SELECT 'sent' AS rule, 'click' AS component, 'rpc_request_sent' AS event UNION ALL SELECT 'received', 'view', 'rpc_request_received' UNION ALL SELECT 'failed', 'error', 'rpc_reply_sent'""",
+    # A rule whose first record binds values, and the event whose records must then have them.
+    "contract_bound": "SELECT 'bought' AS rule, 'purchase' AS component, 'rpc_request_sent' AS event, 'rpc_reply_received' AS later",
+    "contract_anchors": "SELECT 'signup' AS component",
+    "contract_forbidden": "SELECT 'signup' AS component, 'rpc_reply' AS prefix, CAST(0 AS BIGINT) AS object_id",
+    "contract_bindings": "SELECT 'root' AS name, CAST(0 AS BIGINT) AS object_id UNION ALL SELECT 'child', 3",
 }
 
+# Records as they arrive: every tenth twice, every seventieth again with other content.
+PROJECTIONS["trace_deliveries"] = f"""
+SELECT event_id, process_id, process_sequence, component, event, cause_event_id, rpc_id, object_id, task_id, arrival FROM ({PROJECTIONS["trace_events"]}) t
+UNION ALL SELECT event_id, process_id, process_sequence, component, event, cause_event_id, rpc_id, object_id + CASE WHEN arrival % 70 = 0 THEN 1 ELSE 0 END, task_id, arrival + 1000000000
+FROM ({PROJECTIONS["trace_events"]}) t WHERE arrival % 10 = 0"""
+# Id attributes of records, most of them absent.
+PROJECTIONS["trace_attributes"] = f"""
+SELECT event_id, CASE WHEN arrival % 11 = 0 THEN object_id END AS object_id, CASE WHEN arrival % 7 = 0 THEN task_id END AS task_id,
+       CASE WHEN arrival % 5 = 0 THEN arrival END AS lease_id, CASE WHEN arrival % 4 = 1 THEN task_id END AS actor_id, CASE WHEN arrival % 9 = 2 THEN object_id END AS placement_group_id,
+       CASE WHEN arrival % 3 = 0 THEN arrival END AS worker_id, CASE WHEN arrival % 2 = 0 THEN task_id END AS node_id, CASE WHEN arrival % 13 <> 0 THEN rpc_id END AS request_id
+FROM ({PROJECTIONS["trace_events"]}) t"""
+
 
 def projection_sql(name: str) -> str:
     """DuckDB text of a projection over the registered views."""

@@ -11,10 +11,12 @@ _OWN: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it back."""
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; where that is unset, a temporary folder serves a local master only."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="tidewright-"))
         base = _OWN[0]

@@ -1,22 +1,38 @@
-"""Trace files: an ordered JSON-lines sink, its source, and rule tables of trace contracts."""
+"""Trace files: an ordered JSON-lines sink, its source, and the total order of a trace."""
 
 from __future__ import annotations
 
 import json
 import os
 import tempfile
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators.graphs import reachable
+from tidewright.sources.shared import materialize
 
 TRACE_SCHEMA = "event_id string, timestamp_ns bigint, process_id string, process_sequence bigint, component string, event string, entity_kind string, entity_id string, cause_event_id string, fields map<string,string>"
 ORDER = ["process_id", "process_sequence", "event_id"]
 
 
+def total_order(rows: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """``rows`` with place: their number, from 1, in the order of columns.
+
+    Rows are dealt by range and sorted within partitions; a partition's offset is the number of rows before it, so no task
+    sees all rows.  One count for each partition comes to the driver.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_at"))
+    placed = materialize(placed, "ordered")
+    part, inside = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "_part bigint, _before bigint"))
+    return placed.join(offsets, part == F.col("_part")).select(*rows.columns, (F.col("_before") + inside + 1).alias("place"))
+
+
 def write_trace(events: DataFrame, path: str) -> None:
     """A folder of JSON lines, globally ordered by process (as text), sequence and id: part files follow each other in order."""
     events.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.json(path, ignoreNullFields=False)
@@ -44,69 +60,3 @@ def export_trace(events: DataFrame, path: str) -> int:
 def append_trace(events: DataFrame, path: str) -> None:
     """Append a batch to a folder of JSON lines."""
     events.write.mode("append").json(path)
-
-
-def read_contract(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Rule tables (events, rpcs, orders, forbidden) of a contract file: one JSON object with a list for each."""
-    whole = spark.read.option("multiLine", True).json(path)
-    out = {}
-    for name in ("events", "rpcs", "orders", "forbidden"):
-        if name in whole.columns:
-            out[name] = whole.select(F.explode(name).alias("rule")).select("rule.*")
-    return out
-
-
-def match_contract(events: DataFrame, rules: list[dict], orders: list[tuple[str, str]] = (), forbidden: list[dict] = ()) -> list[str]:
-    """Violations of a contract, in rule order.
-
-    A rule has key, component, event, fields (literal or ``$name``), least and most.  The first matching record in order binds
-    the names of its fields; later rules must agree with them.  Each rule is one filter over the events; only its first record
-    and its count come back.  An order holds when the second record is causally reachable from the first.
-    """
-    bound: dict[str, str] = {}
-    first: dict[str, str] = {}
-    out: list[str] = []
-    for rule in rules:
-        where = (F.col("component") == rule["component"]) & (F.col("event") == rule["event"])
-        for k, v in rule.get("fields", {}).items():
-            if not v.startswith("$"):
-                where &= F.col("fields")[k] == v
-            elif v in bound:
-                where &= F.col("fields")[k] == bound[v]
-            else:
-                where &= F.col("fields")[k].isNotNull()
-        hits = events.filter(where)
-        row = hits.orderBy(*ORDER).limit(1).collect()
-        for k, v in rule.get("fields", {}).items():
-            if row and v.startswith("$") and v not in bound:
-                bound[v] = row[0]["fields"][k]
-        same = hits
-        for k, v in rule.get("fields", {}).items():
-            if v in bound:
-                same = same.filter(F.col("fields")[k] == bound[v])
-        n = same.count()
-        if row:
-            first[rule["key"]] = row[0]["event_id"]
-        if n < rule.get("least", 1):
-            out.append(f"{rule['key']}: {n} of at least {rule.get('least', 1)}")
-        if rule.get("most") is not None and n > rule["most"]:
-            out.append(f"{rule['key']}: {n} of at most {rule['most']}")
-    spark = events.sparkSession
-    wanted = [(a, b) for a, b in orders if a in first and b in first]
-    if wanted:
-        later = events.selectExpr("event_id as src", "lead(event_id) over (partition by process_id order by process_sequence) as dst").filter("dst is not null")
-        edges = later.union(events.filter("cause_event_id is not null").selectExpr("cause_event_id as src", "event_id as dst"))
-        seeds = spark.createDataFrame([(first[a],) for a, _ in wanted], "node string").distinct()
-        reached = {(r["seed"], r["node"]) for r in reachable(edges, seeds).join(F.broadcast(spark.createDataFrame([(first[b],) for _, b in wanted], "node string").distinct()), "node").collect()}
-        out += [f"{b} isn't after {a}" for a, b in wanted if (first[a], first[b]) not in reached]
-    for rule in forbidden:
-        where = F.col("component") == rule["component"]
-        if rule.get("event"):
-            where &= F.col("event") == rule["event"]
-        if rule.get("prefixes"):
-            where &= reduce(or_, (F.col("event").startswith(p) for p in rule["prefixes"]))
-        for k, v in rule.get("fields", {}).items():
-            where &= F.col("fields")[k] == bound.get(v, v)
-        if not events.filter(where).isEmpty():
-            out.append(f"forbidden: {rule['component']} {rule.get('event') or '/'.join(rule.get('prefixes', ()))}")
-    return out
