@@ -110,20 +110,24 @@ def test_align_finds_offset_under_noise():
 
 
 def _brute(prints, queries):
-    """Best alignment of each query with each other class over all offsets."""
-    out = set()
+    """Best alignment of each query with each other class over all offsets: (offset, errors, bits)."""
+    out = {}
     for q in queries:
         for o in prints:
             if o == q:
                 continue
             a, b = prints[q], prints[o]
             judged = [g for s in range(-len(a), len(b)) if (g := media.judge(a, b, s, 0))]
-            if any(g[1] <= media.MOST_ERRORS * g[2] for g in judged):
-                out.add((q, o))
+            good = [g[:3] for g in judged if g[1] <= media.MOST_ERRORS * g[2]]
+            if good:
+                out[q, o] = min(good, key=lambda g: (g[1] / g[2], abs(g[0]), g[0]))
     return out
 
 
-def test_search_against_brute_force(spark):
+@pytest.mark.parametrize("keys", [media.BROADCAST_KEYS, 0])
+def test_search_against_brute_force(spark, monkeypatch, keys):
+    """Pairs, offsets, errors and votes, with the index of queries broadcast and joined."""
+    monkeypatch.setattr(media, "BROADCAST_KEYS", keys)
     import numpy as np
 
     rng = np.random.default_rng(3)
@@ -139,9 +143,13 @@ def test_search_against_brute_force(spark):
     members, found = media.match_recordings(spark.createDataFrame(rows, "id bigint, audio binary"))
     classes = {r["id"]: r["class_id"] for r in members.collect()}
     assert len(rows) == members.count() and classes[7] == classes[0] == 0 and classes[8] is None and classes[9] is None and classes[None] == 30
-    got = {(r["query_class"], r["match_class"]) for r in found.collect()}
+    got = {(r["query_class"], r["match_class"]): r for r in found.collect()}
     truth = _brute(prints, [q for q in prints if q % 100 == 0])
-    assert truth and got <= truth and len(got) >= 0.9 * len(truth)
+    assert truth and set(got) <= set(truth) and len(got) >= 0.9 * len(truth)
+    assert sum((r["offset"], r["bit_errors"], r["bits"]) == truth[k] for k, r in got.items()) >= 0.9 * len(got)
+    for (q, o), r in got.items():
+        (a, x), (b, y) = media.keys_of(prints[q]), media.keys_of(prints[o])
+        assert r["hits"] == sum(int((b == k).astype(int) @ (y - p == r["offset"])) for k, p in zip(a, x))
 
 
 def test_search_of_nothing(spark):
@@ -151,6 +159,39 @@ def test_search_of_nothing(spark):
     assert rendered[0]["audio"] is None and rendered[1]["audio"] is None and rendered[2]["audio"] is not None
 
 
+def test_audio_that_cant_be_read(spark):
+    import io
+    import wave
+
+    import numpy as np
+
+    samples = media.from_wav(media.melody(tune(4)))
+    prints = []
+    for width in (1, 2, 3, 4):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(media.RATE)
+            whole = np.round(samples * (2 ** (8 * width - 1) - 1)).astype(np.int64)
+            raw = (whole + 128).astype(np.uint8) if width == 1 else whole.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width]
+            w.writeframes(raw.tobytes())
+        prints.append(media.fingerprint(media.from_wav(out.getvalue())))
+    assert all(media.align(prints[1], p)[1] < 0.1 * 32 * len(p) for p in prints)
+    rows = [(1, bytearray(b"not audio")), (2, bytearray(b"")), (3, bytearray(media.melody(tune(1))[:60])), (4, bytearray(media.melody(tune(1))))]
+    members, found = media.match_recordings(spark.createDataFrame([(i, a, 1, "p") for i, a in rows], "id bigint, audio binary, rep int, print string"))
+    assert {r["id"]: r["class_id"] for r in members.collect()} == {1: None, 2: None, 3: None, 4: 4} and found.count() == 0
+
+
+def test_a_very_long_recording():
+    import numpy as np
+
+    samples = np.tile(media.from_wav(media.melody(tune(5))), 60)
+    p = media.fingerprint(samples)
+    part = media.fingerprint(samples[: len(samples) // 2])
+    assert len(p) > 7000 and media.align(p, part)[1] <= 0.15 * 32 * len(part)
+
+
 @pytest.mark.parametrize("rate", [4000, 8000])
 def test_wav_of_other_rates(rate):
     import io

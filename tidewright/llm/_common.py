@@ -21,9 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); where it is unset, a temporary one for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append(tempfile.mkdtemp(prefix="tidewright-"))
         base = _OWN_FOLDER[0]
@@ -43,7 +45,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: what was made of them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def neutral(df: DataFrame) -> tuple[DataFrame, list]:

@@ -32,13 +32,19 @@ def source_shares(rows: DataFrame) -> DataFrame:
     return sizes.withColumn("share", F.col("n_tokens") / F.lit(float(max(1, total))))
 
 
-def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float, float]]:
-    """Sum of p**a, entropy, and largest and smallest weight per natural share for each exponent, in one job over the sources."""
-    p, a = F.col("share"), F.col("exponent")
+def _largest(shares: DataFrame) -> tuple[int, float]:
+    """Number of sources with tokens, and the largest share; powers are taken of shares against it, so they never vanish."""
+    r = shares.filter("share > 0").agg(F.count("*").alias("n"), F.max("share").alias("top")).first()
+    return r["n"], r["top"] or 1.0
+
+
+def _moments(shares: DataFrame, top: float, exponents: list[float]) -> list[tuple[float, float, float, float]]:
+    """Sum of (p / top)**a, entropy, and largest and smallest weight per natural share for each exponent, in one job."""
+    p, a = F.col("share") / F.lit(top), F.col("exponent")
     powered = F.pow(p, a)
     each = shares.filter("share > 0").select("share", F.posexplode(F.array(*(F.lit(float(x)) for x in exponents))).alias("number", "exponent"))
-    sums = each.groupBy("number").agg(F.sum(powered).alias("z"), F.sum(powered * F.log(p)).alias("zl"), F.max(powered / p).alias("most"), F.min(powered / p).alias("least"))
-    out = [(0.0, 0.0, 0.0, 0.0)] * len(exponents)
+    sums = each.groupBy("number").agg(F.sum(powered).alias("z"), F.sum(powered * F.log(p)).alias("zl"), F.max(powered / F.col("share")).alias("most"), F.min(powered / F.col("share")).alias("least"))
+    out = [(1.0, 0.0, 0.0, 0.0)] * len(exponents)
     for r in sums.collect():  # a row for each exponent
         z = r["z"]
         out[r["number"]] = z, math.log(z) - exponents[r["number"]] * r["zl"] / z, r["most"] / z, r["least"] / z
@@ -54,12 +60,12 @@ def temperature(shares: DataFrame, target_entropy: float | None = None, max_repe
     the natural shares; above 1 it sharpens them, which an entropy below the natural one needs.  Targets that no exponent
     meets, or that only contradict each other, are a ValueError.  With fewer than two sources there is nothing to mix: 1.
     """
-    sources = shares.filter("share > 0").count()
+    sources, top = _largest(shares)
     if sources < 2:
         return 1.0
 
     def too_repeated(most: float, least: float) -> bool:
-        repeats = most / least if budget_passes is None else most * budget_passes
+        repeats = most / least if budget_passes is None and least else most if budget_passes is None else most * budget_passes
         return max_repeats is not None and repeats > max_repeats * (1 + 1e-9)
 
     def too_flat(exponent: float, moments: tuple) -> bool:
@@ -70,7 +76,7 @@ def temperature(shares: DataFrame, target_entropy: float | None = None, max_repe
         return target_entropy is not None and entropy > target_entropy * math.log(sources) + 1e-9
 
     def first_sharp(exponents: list[float]) -> int | None:
-        return next((i for i, m in enumerate(_moments(shares, exponents)) if not too_flat(exponents[i], m)), None)
+        return next((i for i, m in enumerate(_moments(shares, top, exponents)) if not too_flat(exponents[i], m)), None)
 
     ladder = [0.0, 1.0, *(2.0**k for k in range(1, 11))]
     place = first_sharp(ladder)
@@ -81,7 +87,7 @@ def temperature(shares: DataFrame, target_entropy: float | None = None, max_repe
         grid = [low + (high - low) * k / STEPS for k in range(1, STEPS + 1)]
         at = first_sharp(grid)
         low, high = low if at == 0 else grid[at - 1], grid[at]
-    _, _, most, least = _moments(shares, [high])[0]
+    _, _, most, least = _moments(shares, top, [high])[0]
     # At 1 every source has the same passes: a limit below that can't be met, nor can one that the entropy's sharpening breaks.
     if too_repeated(most, least):
         raise ValueError(f"no exponent meets max_repeats {max_repeats} with these targets")
@@ -106,9 +112,10 @@ def mix(
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key")
     shares = source_shares(docs.select(key, token_count(F.col(text_col)).alias("tokens")))
     exponent = temperature(shares, target_entropy, max_repeats, budget_passes)
-    z, _, _, least = _moments(shares, [exponent])[0]
+    top = _largest(shares)[1]
+    z, _, _, least = _moments(shares, top, [exponent])[0]
     passes = 1 / least if budget_passes is None and least else budget_passes or 1.0
-    weight = F.when(F.col("share") > 0, F.pow("share", F.lit(exponent)) / F.lit(z or 1.0)).otherwise(0.0)
+    weight = F.when(F.col("share") > 0, F.pow(F.col("share") / F.lit(top), F.lit(exponent)) / F.lit(z)).otherwise(0.0)
     plan = shares.select(
         "source_key",
         "n_docs",

@@ -151,31 +151,32 @@ def _prune(similarity: float, miss: float):
     return run
 
 
-def _fields(rows: list[dict]) -> dict:
-    """A group's columns as arrays: sig, distance, root."""
-    import numpy as np
+class Group:
+    """Members of a bucket as arrays: names, signatures, distances from the bucket's leader, numbers of roots, sets."""
+
+    def __init__(self, rows: list[dict], number: dict[bytes, int]):
+        import numpy as np
 
-    return {
-        "sig": np.frombuffer(b"".join(x["sig"] for x in rows), np.uint32).reshape(-1, HASHES),
-        "distance": np.array([x["distance"] for x in rows]),
-        "root": [x["root"] for x in rows],
-    }
+        self.nodes, self.names = [x["node"] for x in rows], [x["root"] for x in rows]
+        self.sig = np.frombuffer(b"".join(x["sig"] for x in rows), np.uint32).reshape(-1, HASHES)
+        self.distance = np.array([x["distance"] for x in rows])
+        self.root = np.array([number.setdefault(x["root"], len(number)) for x in rows], np.int64)
+        self.sets = [np.frombuffer(x["members"], np.uint64) for x in rows] if rows and "members" in rows[0] else None
 
 
-def _candidates(a: dict, b: dict, same: bool, place: int, similarity: float, steps):
-    """Pairs (i, j) of two groups of a bucket that could be linked and are this bucket's to test, strip by strip, likeliest first."""
+def _candidates(a: Group, b: Group, place: int, similarity: float, steps):
+    """Pairs (i, j) of two groups of a bucket that could be linked and are this bucket's to test, strip by strip, likeliest
+    first.  Roots are looked at when a strip comes, so pairs that were connected meanwhile aren't given."""
     import numpy as np
 
-    number = {r: i for i, r in enumerate({*a["root"], *b["root"]})}
-    ra, rb = (np.array([number[r] for r in side["root"]]) for side in (a, b))
-    for first in range(0, len(ra), 256):
+    for first in range(0, len(a.root), 256):
         strip = slice(first, first + 256)
-        sa, sb = a["sig"][strip], b["sig"]
-        differ = ra[strip, None] != rb[None, :]
-        if same:
-            differ &= np.arange(first, first + len(sa))[:, None] < np.arange(len(rb))[None, :]
+        sa, sb = a.sig[strip], b.sig
+        differ = a.root[strip, None] != b.root[None, :]
+        if a is b:
+            differ &= np.arange(first, first + len(sa))[:, None] < np.arange(len(sb))[None, :]
         # Jaccard distance is a metric: what stands at unlike distances from the leader can't be near each other.
-        differ &= np.abs(a["distance"][strip, None] - b["distance"][None, :]) <= 1 - similarity + 1e-9
+        differ &= np.abs(a.distance[strip, None] - b.distance[None, :]) <= 1 - similarity + 1e-9
         # Of the buckets that two classes share, the one of the first band tests them.
         for p in range(place):
             band = slice(p * BAND_ROWS, (p + 1) * BAND_ROWS)
@@ -198,19 +199,58 @@ def _blocks(similarity: float, miss: float):
         steps = least_matches(similarity, miss)
         for batch in batches:
             for row in batch.to_pylist():
-                rows = row["block"]
-                fields = _fields(rows)
-                for i, j, matches in _candidates(fields, fields, True, row["place"], similarity, steps):
+                group = Group(row["block"], {})
+                for i, j, matches in _candidates(group, group, row["place"], similarity, steps):
                     if len(i):
-                        ends = [([rows[x][c] for x in i], [rows[x][c] for x in j]) for c in ("node", "root")]
+                        ends = [([c[x] for x in i], [c[x] for x in j]) for c in (group.nodes, group.names)]
                         yield pa.record_batch({"u": pa.array(ends[0][0], pa.binary()), "v": pa.array(ends[0][1], pa.binary()), "matches": pa.array(matches), "ru": pa.array(ends[1][0], pa.binary()), "rv": pa.array(ends[1][1], pa.binary())})
 
     return run
 
 
+#: Bytes of the bit maps that a comparison of sets holds at once, and pairs that are compared at once.
+MAP_BYTES, AT_ONCE = 32 << 20, 4096
+
+
+class Overlaps:
+    """Exact sizes of intersections between the sets of two groups, by bit maps over the values that sets share."""
+
+    def __init__(self, groups: list[Group]):
+        import numpy as np
+
+        sets = [x for g in groups for x in g.sets]
+        self.start = {id(g): sum(len(h.sets) for h in groups[:i]) for i, g in enumerate(groups)}
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        values, column, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        # What only one set has is in no intersection.
+        shared = np.cumsum(seen > 1) - 1
+        row, kept = np.repeat(np.arange(len(sets)), self.sizes), (seen > 1)[column]
+        row, column = row[kept], shared[column[kept]]
+        width = int((seen > 1).sum())
+        step = max(64, MAP_BYTES // max(1, len(sets)) * 8 // 64 * 64)
+        self.maps = []
+        for low in range(0, width, step):
+            inside = (column >= low) & (column < low + step)
+            flags = np.zeros((len(sets), -(-min(step, width - low) // 64) * 8), np.uint8)
+            at = column[inside] - low
+            np.bitwise_or.at(flags, (row[inside], at >> 3), (1 << (at & 7)).astype(np.uint8))
+            self.maps.append(flags.view(np.uint64))
+
+    def common(self, a: Group, b: Group, i, j):
+        import numpy as np
+
+        x, y = i + self.start[id(a)], j + self.start[id(b)]
+        out = np.zeros(len(x), np.int64)
+        for flags in self.maps:
+            for k in range(0, len(x), AT_ONCE):
+                part = slice(k, k + AT_ONCE)
+                out[part] += np.bitwise_count(flags[x[part]] & flags[y[part]]).sum(1, dtype=np.int64)
+        return out, self.sizes[x] + self.sizes[y]
+
+
 def _cells(similarity: float, miss: float):
-    """Exact links within the cells of large buckets, rows sorted by cell: pairs are compared in place, and none once its ends
-    are connected.  A task holds one cell, which is two groups of members."""
+    """Exact links within the cells of large buckets, one or two groups each, rows sorted by cell: pairs are compared in place,
+    strip by strip, and none whose ends are connected by then."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,31 +258,24 @@ def _cells(similarity: float, miss: float):
 
         steps = least_matches(similarity, miss)
 
-        def links(cell: tuple, rows: list[dict]) -> pa.RecordBatch | None:
-            _, x, y = cell
-            left, right = ([r for r in rows if r["member_group"] == g] for g in (x, y))
-            a, b = _fields(left), _fields(right)
-            sets = [[np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right)]
-            parent: dict[bytes, bytes] = {}
-
-            def find(root: bytes) -> bytes:
-                while (up := parent.get(root, root)) != root:
-                    root = up
-                return root
-
-            found: tuple[list, list] = ([], [])
-            for i, j, _ in _candidates(a, b, x == y, rows[0]["place"], similarity, steps) if left and right else ():
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    u, v = find(a["root"][p]), find(b["root"][q])
-                    if u == v:
-                        continue
-                    both = np.concatenate([sets[0][p], sets[1][q]])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (len(both) - common):
-                        parent[max(u, v)] = min(u, v)
-                        found[0].append(left[p]["node"])
-                        found[1].append(right[q]["node"])
+        def links(rows: list[dict]) -> pa.RecordBatch | None:
+            number: dict[bytes, int] = {}
+            groups = [Group(r["block"], number) for r in rows]
+            a, b = groups[0], groups[-1]
+            overlaps, found = None, ([], [])
+            for i, j, _ in _candidates(a, b, rows[0]["place"], similarity, steps):
+                if not len(i):
+                    continue
+                overlaps = overlaps or Overlaps(groups)
+                common, both = overlaps.common(a, b, i, j)
+                good = 100 * common >= percent * (both - common)
+                for p, q in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    u, v = a.root[p], b.root[q]
+                    if u != v:
+                        for g in groups:
+                            g.root[g.root == max(u, v)] = min(u, v)
+                        found[0].append(a.nodes[p])
+                        found[1].append(b.nodes[q])
             return pa.record_batch({"u": pa.array(found[0], pa.binary()), "v": pa.array(found[1], pa.binary())}) if found[0] else None
 
         cell, rows = None, []
@@ -250,11 +283,11 @@ def _cells(similarity: float, miss: float):
             for row in batch.to_pylist():
                 key = (row["band"], row["x"], row["y"])
                 if key != cell:
-                    if rows and (got := links(cell, rows)) is not None:
+                    if len(rows) == 1 + (cell is not None and cell[1] != cell[2]) and (got := links(rows)) is not None:
                         yield got
                     cell, rows = key, []
                 rows.append(row)
-        if rows and (got := links(cell, rows)) is not None:
+        if len(rows) == 1 + (cell is not None and cell[1] != cell[2]) and (got := links(rows)) is not None:
             yield got
 
     return run
@@ -339,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         # Large buckets are tested in place on full sets, and no row is made for a pair.  Members are dealt to groups by a
         # hash, as many as their number and the bytes of their sets ask for, and a cell is two groups: so a bucket's work is
-        # dealt by cell, whatever its size, and each member is sent once for each group and not for each partner.
+        # dealt by cell, whatever its size, and a group is sent once for each other group, as one row.
         large = spread.filter(F.col("n") > BLOCK)
         wanted = large.select("node").distinct().join(classes.select("node", "rep"), "node")
         texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -347,9 +380,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         load = large.join(sets.select("node", F.length("members").alias("size")), "node").groupBy("band").agg(F.sum("size").alias("bytes"))
         groups = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
         dealt = large.join(load, "band").withColumn("groups", groups).withColumn("member_group", F.pmod(F.xxhash64("node", "band"), F.col("groups")).cast("int"))
-        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other")).join(sets, "node")
-        dealt = dealt.select("band", F.least("member_group", "other").alias("x"), F.greatest("member_group", "other").alias("y"), "place", "member_group", "node", "root", "sig", "distance", "members")
-        dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+        whole = F.struct("node", "root", "sig", "distance", "members")
+        packed = dealt.join(sets, "node").groupBy("band", "place", "groups", "member_group").agg(F.collect_list(whole).alias("block"))
+        packed = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
+        dealt = packed.select("band", F.least("member_group", "other").alias("x"), F.greatest("member_group", "other").alias("y"), "place", "member_group", "block")
+        dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "member_group")
         direct = materialize(dealt.mapInArrow(_cells(similarity, miss), "u binary, v binary").distinct(), "links-large")
         if not direct.isEmpty():
             links = links.union(direct)

@@ -13,20 +13,21 @@ so spread over shards; a shard of any size is sorted in bounded memory.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import mix, prefix, spans
-from tidewright.llm._common import give_back, materialize, slices, text_buffer, worker_cache
+from tidewright.llm._common import discard, give_back, materialize, slices, text_buffer, worker_cache
 from tidewright.llm.suffix_sort import Store, repeated
 
 LENGTH, GRAM = 400, 100
 #: Bytes of segment text that a shard holds on average and that a task sorts on average, and a sorter's memory for arrays and queues.
 SHARD_BYTES, TASK_BYTES, SORT_BYTES = 2 << 20, 32 << 20, 64 << 20
 #: Anchors with more distinct segments than this are cut again, this many times at most.
-MANY, RECUTS = 1024, 3
+MANY, RECUTS = 4096, 3
 _LOW = 30
 KEY = ["anchor", "content", "check", "windows"]
 SEGMENT = "id bigint, key bigint, at bigint, windows int, anchor bigint, content bigint, check bigint"
@@ -262,7 +263,9 @@ def _contents(found: DataFrame) -> DataFrame:
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("distinct_contents"), F.sum("copies").alias("occurrences")).filter("occurrences > 1")
     anchors = materialize(anchors, "anchors")
     bound = F.greatest(F.lit(1000.0), F.lit(contents.count() * 0.001))
-    return materialize(_skewless(contents, anchors, ["anchor"], "distinct_contents", bound), "live")
+    live = materialize(_skewless(contents, anchors, ["anchor"], "distinct_contents", bound), "live")
+    discard(contents, anchors)
+    return live
 
 
 def _texts(base: DataFrame, contents: DataFrame, length: int) -> DataFrame:
@@ -285,22 +288,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
     found = materialize(base.filter(F.octet_length("text") >= length).mapInArrow(_segments(length, gram), SEGMENT), "segments")
-    live = _contents(found)
-    for salt in range(1, RECUTS + 1):
+    # Occurrences and contents by rounds of cutting.  Those of anchors that are cut again stay where they are: nothing will
+    # be found under their old anchors.
+    cuts, lives = [found], []
+    for salt in range(1, RECUTS + 2):
+        live = _contents(found)
         many = live.filter(F.col("distinct_contents") > MANY)
-        if many.isEmpty():
+        if salt > RECUTS or many.isEmpty():
+            lives.append(live)
             break
-        parts = materialize(_texts(base, many, length).mapInArrow(_recut(length, gram, salt), PART), "parts")
-        sizes = many.select(*KEY, "copies")
+        lives.append(live.filter(F.col("distinct_contents") <= MANY))
+        texts = _texts(base, many, length)
+        parts = materialize(texts.mapInArrow(_recut(length, gram, salt), PART), "parts")
         limit = F.greatest(F.lit(1000.0), F.lit(found.count() * 0.001))
-        marked = materialize(_skewless(found, sizes, KEY, "copies", limit).withColumn("hot", F.col("copies") > limit), "many")
+        marked = materialize(_skewless(found, many.select(*KEY, "copies"), KEY, "copies", limit).withColumn("hot", F.col("copies") > limit), "many")
         # Contents of many copies are few, so their parts are broadcast and no key is hot in the shuffle beside it.
         hot = F.broadcast(parts.join(F.broadcast(marked.filter("hot").select(*KEY).distinct()), KEY))
         rows = marked.filter("hot").join(hot, KEY).unionByName(marked.filter("not hot").join(parts, KEY))
         rows = rows.select("id", "key", (F.col("at") + F.col("part_at")).alias("at"), F.col("part_windows").alias("windows"), F.col("part_anchor").alias("anchor"), F.col("part_content").alias("content"), F.col("part_check").alias("check"))
-        names = many.select("anchor").distinct()
-        found = materialize(found.join(names, "anchor", "left_anti").select(*rows.columns).union(rows), "segments")
-        live = _contents(found)
+        found = materialize(rows, "segments")
+        cuts.append(found)
+        discard(texts, parts, marked)
+    live = reduce(DataFrame.unionByName, lives)
 
     texts = _texts(base, live.filter("distinct_contents > 1"), length)
     total = texts.agg(F.sum(F.length("segment"))).first()[0] or 0
@@ -309,12 +318,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
     sorted_ = dealt.mapInArrow(_shards(length, SORT_BYTES), FOUND)
     sorted_ = materialize(sorted_.filter(F.size("runs") > 0), "runs")
+    discard(texts)
 
     # Contents that occur more than once repeat as a whole; the others repeat where the sorting says.
     whole = live.filter("copies > 1").select(*KEY, "copies", F.array(F.lit(0), F.col("windows")).alias("runs"))
     some = live.filter("copies = 1").select(*KEY, "copies").join(sorted_, KEY)
     hits = materialize(whole.unionByName(some.select(*whole.columns)), "hits")
-    rows = _skewless(found, hits, KEY, "copies", F.greatest(F.lit(1000.0), F.lit(found.count() * 0.001)))
+    rows = reduce(DataFrame.union, (_skewless(x, hits, KEY, "copies", F.greatest(F.lit(1000.0), F.lit(x.count() * 0.001))) for x in cuts))
     spans_ = rows.groupBy("key", "id").agg(F.collect_set(F.struct("at", "runs")).alias("found"))
     same = (F.col("d.key") == F.col("s.key")) & F.col("d.id").eqNullSafe(F.col("s.id"))
     out = base.alias("d").join(spans_.alias("s"), same, "left").select("d.id", "d.text", "s.found")
