@@ -149,6 +149,15 @@ def test_reservation(spark):
     ]
 
 
+def test_reservations_wait_for_their_children(spark):
+    ops = [("PREPARE", None), ("START", 1), ("COMMIT", None), ("START", 1), ("START", 2), ("FINALIZE_REMOVE", None), ("BEGIN_REMOVE", None), ("START", 3), ("FINALIZE_REMOVE", None), ("END", 1), ("ABORT", None), ("END", 2), ("END", 2), ("END", 9), ("FINALIZE_REMOVE", None), ("FINALIZE_REMOVE", None), ("COMMIT", None)]
+    got = folds.reservation_fold(spark.createDataFrame([(1, i, op, 5, child) for i, (op, child) in enumerate(ops)], "pg bigint, seq bigint, op string, payload bigint, child bigint")).orderBy("seq").collect()
+    assert [(r["phase"], r["live"], r["error"]) for r in got] == [
+        ("PREPARED", 0, None), ("PREPARED", 0, "NOT_COMMITTED"), ("COMMITTED", 0, None), ("COMMITTED", 1, None), ("COMMITTED", 2, None), ("COMMITTED", 2, "NOT_REMOVING"), ("REMOVING", 2, None), ("REMOVING", 2, "NOT_COMMITTED"),
+        ("REMOVING", 2, "CHILDREN"), ("REMOVING", 1, None), ("REMOVING", 1, "CHILDREN"), ("REMOVING", 0, None), ("REMOVING", 0, None), ("REMOVING", 0, "UNKNOWN"), ("ABORTED", 0, None), ("ABORTED", 0, None), ("ABORTED", 0, "NOT_PREPARED"),
+    ]
+
+
 def test_publication(spark):
     stages = ["INTENT", "PREPARED", "ARMED", "TERMINAL", "COMMITTED", "ADOPTED", "PREPARED", "FENCED", "RETIRED"]
     rows = [(1, False, i, s) for i, s in enumerate(stages)] + [(2, True, 0, "INTENT"), (2, True, 1, "TERMINAL"), (2, True, 2, "COMMITTED"), (2, True, 3, "PREPARED"), (2, True, 4, "COMMITTED"), (3, False, 0, "INTENT"), (3, False, 1, "FENCED"), (3, False, 2, "PREPARED")]

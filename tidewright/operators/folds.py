@@ -183,30 +183,56 @@ def ledger_fold(ops: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def reservation_fold(ops: DataFrame) -> DataFrame:
-    """Two-phase reservations (key, seq, op, payload): idempotent, an abort before the prepare fences it, new payloads conflict."""
+    """Two-phase reservations (pg, seq, op, payload, and child for START and END): idempotent, with new payloads a conflict.
+
+    An abort or removal before the prepare fences it.  A committed reservation lends to children; its removal keeps new ones
+    out, and it is only given back once every child that started has ended, however little the child holds.
+    """
 
     def start() -> dict:
-        return {"phase": "NONE", "payload": None}
+        return {"phase": "NONE", "payload": None, "live": set(), "ended": set()}
 
     def step(s: dict, r: dict) -> dict:
         op, phase, error = r["op"], s["phase"], None
         if op == "PREPARE":
             if phase == "NONE":
                 s["phase"], s["payload"] = "PREPARED", r["payload"]
+            elif s["payload"] is not None and s["payload"] != r["payload"]:
+                error = "CONFLICT"
             elif phase == "ABORTED":
                 error = "FENCED"
-            elif s["payload"] != r["payload"]:
-                error = "CONFLICT"
         elif op == "COMMIT":
             if phase in ("PREPARED", "COMMITTED"):
                 s["phase"] = "COMMITTED"
             else:
                 error = "NOT_PREPARED"
-        else:
+        elif op == "START":
+            if phase != "COMMITTED":
+                error = "NOT_COMMITTED"
+            elif r["child"] in s["ended"]:
+                error = "RELEASED"
+            else:
+                s["live"].add(r["child"])
+        elif op == "END":
+            if r["child"] in s["live"]:
+                s["live"].remove(r["child"])
+                s["ended"].add(r["child"])
+            elif r["child"] not in s["ended"]:
+                error = "UNKNOWN"
+        elif op == "FINALIZE_REMOVE" and phase not in ("REMOVING", "ABORTED"):
+            error = "NOT_REMOVING"
+        elif phase in ("NONE", "PREPARED"):
             s["phase"] = "ABORTED"
-        return {"pg": r["pg"], "seq": r["seq"], "phase": s["phase"], "error": error}
+        elif phase != "ABORTED":
+            s["phase"] = "REMOVING"
+            if op != "BEGIN_REMOVE":
+                error = "CHILDREN" if s["live"] else None
+                s["phase"] = "REMOVING" if s["live"] else "ABORTED"
+        return {"pg": r["pg"], "seq": r["seq"], "phase": s["phase"], "live": len(s["live"]), "error": error}
 
-    return ordered_fold(ops, "pg", ["seq"], start, step, "pg bigint, seq bigint, phase string, error string")
+    if "child" not in ops.columns:
+        ops = ops.withColumn("child", F.lit(None).cast("bigint"))
+    return ordered_fold(ops, "pg", ["seq"], start, step, "pg bigint, seq bigint, phase string, live bigint, error string")
 
 
 _PRIOR = {"INTENT": (), "PREPARED": ("INTENT",), "ARMED": ("PREPARED",), "TERMINAL": ("ARMED",), "COMMITTED": ("PREPARED", "TERMINAL"), "ADOPTED": ("COMMITTED",), "FENCED": ("INTENT",), "RETIRED": ("FENCED",)}
@@ -277,17 +303,27 @@ def store_fold(ops: DataFrame, capacity: int) -> DataFrame:
 
 
 RESERVATION_CHECK = """
-WITH RECURSIVE ops AS (SELECT pg, seq, reply, bundle, row_number() OVER (PARTITION BY pg ORDER BY seq) AS r FROM {bundle_replies}),
+WITH RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY pg ORDER BY seq) AS r FROM {reservation_ops}),
 walk AS (
-  SELECT pg, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST('NONE' AS STRING) AS phase, CAST(NULL AS BIGINT) AS payload, CAST(NULL AS STRING) AS error FROM (SELECT DISTINCT pg FROM ops) t
+  SELECT pg, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST('NONE' AS STRING) AS phase, CAST(NULL AS BIGINT) AS payload, CAST([] AS BIGINT[]) AS live, CAST([] AS BIGINT[]) AS ended,
+         CAST(NULL AS STRING) AS error FROM (SELECT DISTINCT pg FROM ops) t
   UNION ALL
   SELECT o.pg, o.seq, o.r,
-         CASE WHEN o.reply = 'REJECTED' THEN 'ABORTED' WHEN o.reply = 'PREPARED' AND w.phase = 'NONE' THEN 'PREPARED' WHEN o.reply = 'COMMITTED' AND w.phase = 'PREPARED' THEN 'COMMITTED' ELSE w.phase END,
-         CASE WHEN o.reply = 'PREPARED' AND w.phase = 'NONE' THEN o.bundle ELSE w.payload END,
-         CASE WHEN o.reply = 'PREPARED' AND w.phase = 'ABORTED' THEN 'FENCED' WHEN o.reply = 'PREPARED' AND w.phase IN ('PREPARED', 'COMMITTED') AND w.payload IS DISTINCT FROM o.bundle THEN 'CONFLICT'
-              WHEN o.reply = 'COMMITTED' AND w.phase NOT IN ('PREPARED', 'COMMITTED') THEN 'NOT_PREPARED' END
+         CASE WHEN o.op = 'PREPARE' AND w.phase = 'NONE' THEN 'PREPARED' WHEN o.op = 'COMMIT' AND w.phase = 'PREPARED' THEN 'COMMITTED'
+              WHEN o.op IN ('ABORT', 'BEGIN_REMOVE') AND w.phase IN ('NONE', 'PREPARED') THEN 'ABORTED' WHEN o.op = 'BEGIN_REMOVE' AND w.phase = 'COMMITTED' THEN 'REMOVING'
+              WHEN (o.op = 'ABORT' AND w.phase IN ('COMMITTED', 'REMOVING') OR o.op = 'FINALIZE_REMOVE' AND w.phase = 'REMOVING') THEN CASE WHEN len(w.live) > 0 THEN 'REMOVING' ELSE 'ABORTED' END
+              ELSE w.phase END,
+         CASE WHEN o.op = 'PREPARE' AND w.phase = 'NONE' THEN o.payload ELSE w.payload END,
+         CASE WHEN o.op = 'START' AND w.phase = 'COMMITTED' AND NOT list_contains(w.live, o.child) AND NOT list_contains(w.ended, o.child) THEN list_append(w.live, o.child)
+              WHEN o.op = 'END' THEN list_filter(w.live, lambda x: x <> o.child) ELSE w.live END,
+         CASE WHEN o.op = 'END' AND list_contains(w.live, o.child) THEN list_append(w.ended, o.child) ELSE w.ended END,
+         CASE WHEN o.op = 'PREPARE' AND w.payload <> o.payload THEN 'CONFLICT' WHEN o.op = 'PREPARE' AND w.phase = 'ABORTED' THEN 'FENCED'
+              WHEN o.op = 'COMMIT' AND w.phase NOT IN ('PREPARED', 'COMMITTED') THEN 'NOT_PREPARED' WHEN o.op = 'START' AND w.phase <> 'COMMITTED' THEN 'NOT_COMMITTED'
+              WHEN o.op = 'START' AND list_contains(w.ended, o.child) THEN 'RELEASED' WHEN o.op = 'END' AND NOT list_contains(w.live, o.child) AND NOT list_contains(w.ended, o.child) THEN 'UNKNOWN'
+              WHEN o.op = 'FINALIZE_REMOVE' AND w.phase NOT IN ('REMOVING', 'ABORTED') THEN 'NOT_REMOVING'
+              WHEN (o.op = 'ABORT' AND w.phase IN ('COMMITTED', 'REMOVING') OR o.op = 'FINALIZE_REMOVE' AND w.phase = 'REMOVING') AND len(w.live) > 0 THEN 'CHILDREN' END
   FROM walk w JOIN ops o ON o.pg = w.pg AND o.r = w.r + 1)
-SELECT pg, seq, phase, error FROM walk WHERE r > 0
+SELECT pg, seq, phase, len(live) AS live, error FROM walk WHERE r > 0
 """
 
 PUBLICATION_CHECK = """

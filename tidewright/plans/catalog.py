@@ -74,10 +74,9 @@ def ledger_fold(ledger_ops: DataFrame, node_resources: DataFrame) -> DataFrame:
     return folds.ledger_fold(ledger_ops.select("ledger", "seq", op.alias("op"), "token", "milli"), totals)
 
 
-@_tables("bundle_replies")
-def reservation_fold(bundle_replies: DataFrame) -> DataFrame:
-    op = F.when(F.col("reply") == "REJECTED", "ABORT").when(F.col("reply") == "PREPARED", "PREPARE").otherwise("COMMIT")
-    return folds.reservation_fold(bundle_replies.select("pg", "seq", op.alias("op"), F.col("bundle").alias("payload")))
+@_tables("reservation_ops")
+def reservation_fold(reservation_ops: DataFrame) -> DataFrame:
+    return folds.reservation_fold(reservation_ops)
 
 
 @_tables("stages")
@@ -191,7 +190,7 @@ ORACLES["trace_export_order"] = with_projections(
     "SELECT event_id, process_id, process_sequence, row_number() OVER (ORDER BY process_id, process_sequence, event_id) AS place FROM {trace_events}", ("trace_events",)
 )
 ORACLES["retry_fold"] = with_projections(folds.RETRY_CHECK, ("task_events",))
-ORACLES["reservation_fold"] = with_projections(folds.RESERVATION_CHECK, ("bundle_replies",))
+ORACLES["reservation_fold"] = with_projections(folds.RESERVATION_CHECK, ("reservation_ops",))
 ORACLES["publication_fold"] = with_projections(folds.PUBLICATION_CHECK, ("stages",))
 ORACLES["mailbox_execution"] = with_projections(folds.MAILBOX_CHECK, ("actor_calls",))
 ORACLES["reconstruction_preflight"] = with_projections(
@@ -207,6 +206,13 @@ FROM levels l JOIN {order_states} o ON o.object = l.node
 """,
     ("lineage_edges", "order_states"),
 )
+ORACLES["execute_tasks"] = with_projections(
+    """
+SELECT task, cpu, CASE WHEN task % 11 = 0 THEN 'APPLICATION_ERROR' ELSE 'OK' END AS status, CASE WHEN task % 11 <> 0 THEN CAST(cpu * 10 // (task % 11) AS STRING) END AS value,
+       CASE WHEN task % 11 = 0 THEN 'ZeroDivisionError' END AS error FROM {tasks}
+""",
+    ("tasks",),
+)
 ORACLES["lease_lifecycle"] = with_projections(folds.LEASE_CHECK, ("lease_ops",))
 ORACLES["lineage_closure"] = with_projections(
     _REACH.format(edges_sql="SELECT src, dst FROM {lineage_edges}", seeds_sql="SELECT DISTINCT src AS seed FROM {lineage_edges} WHERE src NOT IN (SELECT dst FROM {lineage_edges})", limit=1000), ("lineage_edges",)

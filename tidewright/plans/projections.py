@@ -112,6 +112,23 @@ FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
 SELECT o_custkey AS pg, o_orderkey % 2 AS bundle, o_orderkey AS seq, o_orderkey % n.k AS node,
        CASE WHEN o_orderkey % 19 = 0 THEN 'REJECTED' WHEN o_orderkey % 3 = 0 THEN 'PREPARED' ELSE 'COMMITTED' END AS reply
 FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
+    # Operations on the reservation of a group, with the children that it lends to.
+    "reservation_ops": """
+SELECT o_custkey AS pg, o_orderkey AS seq, o_orderkey % 19 % 2 AS payload, o_orderkey % 3 AS child,
+       CASE WHEN o_orderkey % 10 <= 1 THEN 'PREPARE' WHEN o_orderkey % 10 <= 3 THEN 'COMMIT' WHEN o_orderkey % 10 <= 5 THEN 'START' WHEN o_orderkey % 10 <= 7 THEN 'END'
+            WHEN o_orderkey % 30 = 8 THEN 'ABORT' WHEN o_orderkey % 10 = 8 THEN 'BEGIN_REMOVE' ELSE 'FINALIZE_REMOVE' END AS op
+FROM {orders}""",
+    # Requests and capacities in resources of any name.
+    "resource_requests": """
+SELECT o_orderkey AS task, 'CPU' AS resource, 1000 * (1 + o_orderkey % 4) AS milli FROM {orders} WHERE o_orderkey % 25 <> 0
+UNION ALL SELECT o_orderkey, 'GPU', 1000 FROM {orders} WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 'disk', 250 * (o_orderkey % 5) FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "node_capacities": """
+SELECT s_suppkey AS node, 'CPU' AS resource, 1000 * (1 + s_suppkey % 8) AS total,
+       CASE WHEN s_suppkey % 6 = 0 THEN 0 ELSE greatest(0, 1000 * (1 + s_suppkey % 8) - 1000 * (s_suppkey % 3)) END AS available
+FROM {supplier}
+UNION ALL SELECT s_suppkey, 'GPU', 1000 * (1 + s_suppkey % 2), 1000 * (s_suppkey % 2) FROM {supplier} WHERE s_suppkey % 5 = 0
+UNION ALL SELECT s_suppkey, 'disk', 500 * (s_suppkey % 3), 250 * (s_suppkey % 3) FROM {supplier} WHERE s_suppkey % 2 = 0""",
     "bundles": """
 SELECT o_orderkey AS pg, 1000 * (1 + o_orderkey % 4) AS cpu0, CASE WHEN o_orderkey % 7 = 0 THEN 1000 ELSE 0 END AS gpu0,
        1000 * (1 + o_orderkey % 3) AS cpu1, CASE WHEN o_orderkey % 9 = 0 THEN 1000 ELSE 0 END AS gpu1
