@@ -29,12 +29,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them."""
+    """Documents as often as the mixture draws them: as flat as 1.25 passes over the most repeated source allow, none dropped."""
     return mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences; other columns than the document's id and text end here."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

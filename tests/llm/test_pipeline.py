@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from helpers import components, normal
 from test_text import check_packing
 
@@ -84,13 +85,29 @@ def test_run_is_all_stages(spark, tmp_path):
     assert got.count() > 300
 
 
-def test_entry_works_without_this_subpackage(tmp_path):
-    shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+@pytest.mark.parametrize("left", [False, True])
+def test_entry_works_without_this_subpackage(tmp_path, left):
+    """Also with the pipeline's module left in place."""
+    gone = [".git", "llm", "__pycache__", "spark-warehouse", *([] if left else ["corpus_pipeline.py"])]
+    shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone))
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(k.startswith('op') or k == 'pipeline' for k in q))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120, check=True)
     assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[0]) > 50
 
 
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clean_documents_are_kept_without_labels(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_every_query_is_registered():
     import __spark_entry__
 

@@ -30,6 +30,18 @@ def test_what_a_task_does_after_its_end(spark):
     assert {(r["task"], r["seq"]): r["action"] for r in got} == expected
 
 
+def test_exits_of_one_actor_in_order(spark):
+    exit_, home = ("EXIT", 1, 0, 5, 0, True), 5
+    rows = [exit_, exit_, ("EXIT", 1, 0, 6, 0, True), ("EXIT", 2, 0, 5, 0, True), ("EXIT", 3, 1, 5, 1, True), ("RESTARTED", 0, 1, 5, 0, True), ("EXIT", 4, 1, 5, 2, False), ("EXIT", 4, 1, 5, 2, True), ("RESTARTED", 0, 1, 5, 0, True), exit_]
+    schema = "actor bigint, seq bigint, event string, detection bigint, generation bigint, node bigint, route_epoch bigint, node_alive boolean, max_restarts bigint, home bigint"
+    got = folds.actor_exit_fold(spark.createDataFrame([(1, i, *r, 1, home) for i, r in enumerate(rows)], schema)).orderBy("seq").collect()
+    assert [(r["disposition"], r["state"]) for r in got] == [
+        ("APPLIED", "RESTARTING"), ("ALREADY_APPLIED", "RESTARTING"), ("CONFLICT", "RESTARTING"), ("STALE", "RESTARTING"), ("CONFLICT", "RESTARTING"), ("APPLIED", "ALIVE"),
+        ("CONFLICT", "ALIVE"), ("APPLIED", "DEAD"), ("CONFLICT", "DEAD"), ("ALREADY_APPLIED", "DEAD"),
+    ]
+    assert got[-1]["generation"] == 1 and got[-1]["restarts_used"] == 1
+
+
 def test_collectable_needs_everything_released(spark):
     states = spark.createDataFrame([(i, "READY_STORED" if i == 2 else "READY_INLINE", i == 3, i == 4, i == 5) for i in range(1, 11)], "object bigint, state string, collecting boolean, publishing boolean, has_lineage boolean")
     refs = spark.createDataFrame([(1, 0, 1, False), (1, 0, 1, True), (6, 0, 1, False)], "object bigint, kind int, token bigint, released boolean")

@@ -235,6 +235,62 @@ def reservation_fold(ops: DataFrame) -> DataFrame:
     return ordered_fold(ops, "pg", ["seq"], start, step, "pg bigint, seq bigint, phase string, live bigint, error string")
 
 
+def actor_exit_fold(events: DataFrame) -> DataFrame:
+    """Exits and restarts of actors in order: (actor, seq, event, detection, generation, node, route_epoch, node_alive,
+    max_restarts, home), an actor beginning alive at home in generation 0 and route 0.
+
+    An applied detection that comes again is ALREADY_APPLIED if it says the same and a CONFLICT if not.  An exit of an older
+    generation is STALE; one that doesn't fit the actor's record, or whose node is dead, a CONFLICT.  An applied exit takes a
+    restart from the budget, or ends the actor; RESTARTED brings a waiting actor back on the next route.
+    """
+
+    def start() -> dict:
+        return {"state": "ALIVE", "generation": 0, "route": 0, "used": 0, "node": None, "applied": {}}
+
+    def step(s: dict, r: dict) -> dict:
+        exit_ = (r["generation"], r["node"], r["route_epoch"])
+        node = r["home"] if s["node"] is None else s["node"]
+        if r["event"] == "RESTARTED":
+            said = "APPLIED" if s["state"] == "RESTARTING" else "CONFLICT"
+            if said == "APPLIED":
+                s["state"], s["route"], s["node"] = "ALIVE", s["route"] + 1, r["node"]
+        elif r["detection"] in s["applied"]:
+            said = "ALREADY_APPLIED" if s["applied"][r["detection"]] == exit_ else "CONFLICT"
+        elif r["generation"] < s["generation"]:
+            said = "STALE"
+        elif s["state"] != "ALIVE" or not r["node_alive"] or exit_ != (s["generation"], node, s["route"]):
+            said = "CONFLICT"
+        else:
+            said, s["applied"][r["detection"]], s["route"] = "APPLIED", exit_, s["route"] + 1
+            if s["used"] < r["max_restarts"]:
+                s["state"], s["used"], s["generation"] = "RESTARTING", s["used"] + 1, s["generation"] + 1
+            else:
+                s["state"] = "DEAD"
+        return {"actor": r["actor"], "seq": r["seq"], "disposition": said, "state": s["state"], "generation": s["generation"], "restarts_used": s["used"]}
+
+    return ordered_fold(events, "actor", ["seq"], start, step, "actor bigint, seq bigint, disposition string, state string, generation bigint, restarts_used bigint")
+
+
+ACTOR_CHECK = """
+WITH RECURSIVE ops AS (SELECT *, concat(detection, '|', generation, '|', node, '|', route_epoch) AS record, row_number() OVER (PARTITION BY actor ORDER BY seq) AS r FROM {actor_lifecycle}),
+walk AS (
+  SELECT actor, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST('' AS STRING) AS disposition, CAST('ALIVE' AS STRING) AS state, CAST(0 AS BIGINT) AS generation, CAST(0 AS BIGINT) AS route,
+         CAST(0 AS BIGINT) AS used, min(home) AS at, CAST([] AS VARCHAR[]) AS applied FROM ops GROUP BY actor
+  UNION ALL
+  SELECT x.actor, x.seq, x.r, x.said, CASE WHEN x.said <> 'APPLIED' THEN x.state WHEN x.event = 'RESTARTED' THEN 'ALIVE' WHEN x.used < x.max_restarts THEN 'RESTARTING' ELSE 'DEAD' END,
+         CASE WHEN x.said = 'APPLIED' AND x.event = 'EXIT' AND x.used < x.max_restarts THEN x.generation + 1 ELSE x.generation END, CASE WHEN x.said = 'APPLIED' THEN x.route + 1 ELSE x.route END,
+         CASE WHEN x.said = 'APPLIED' AND x.event = 'EXIT' AND x.used < x.max_restarts THEN x.used + 1 ELSE x.used END, CASE WHEN x.said = 'APPLIED' AND x.event = 'RESTARTED' THEN x.node ELSE x.at END,
+         CASE WHEN x.said = 'APPLIED' AND x.event = 'EXIT' THEN list_append(x.applied, x.record) ELSE x.applied END
+  FROM (SELECT o.actor, o.seq, o.r, o.event, o.max_restarts, o.node, o.record, w.state, w.generation, w.route, w.used, w.at, w.applied,
+               CASE WHEN o.event = 'RESTARTED' THEN CASE WHEN w.state = 'RESTARTING' THEN 'APPLIED' ELSE 'CONFLICT' END
+                    WHEN list_contains(w.applied, o.record) THEN 'ALREADY_APPLIED' WHEN len(list_filter(w.applied, lambda a: starts_with(a, concat(o.detection, '|')))) > 0 THEN 'CONFLICT'
+                    WHEN o.generation < w.generation THEN 'STALE' WHEN w.state = 'ALIVE' AND o.node_alive AND o.generation = w.generation AND o.node = w.at AND o.route_epoch = w.route THEN 'APPLIED'
+                    ELSE 'CONFLICT' END AS said
+        FROM walk w JOIN ops o ON o.actor = w.actor AND o.r = w.r + 1) x)
+SELECT actor, seq, disposition, state, generation, used AS restarts_used FROM walk WHERE r > 0
+"""
+
+
 _PRIOR = {"INTENT": (), "PREPARED": ("INTENT",), "ARMED": ("PREPARED",), "TERMINAL": ("ARMED",), "COMMITTED": ("PREPARED", "TERMINAL"), "ADOPTED": ("COMMITTED",), "FENCED": ("INTENT",), "RETIRED": ("FENCED",)}
 
 

@@ -79,6 +79,11 @@ def reservation_fold(reservation_ops: DataFrame) -> DataFrame:
     return folds.reservation_fold(reservation_ops)
 
 
+@_tables("actor_lifecycle")
+def actor_exit_fold(actor_lifecycle: DataFrame) -> DataFrame:
+    return folds.actor_exit_fold(actor_lifecycle)
+
+
 @_tables("stages")
 def publication_fold(stages: DataFrame) -> DataFrame:
     return folds.publication_fold(stages)
@@ -206,6 +211,7 @@ FROM levels l JOIN {order_states} o ON o.object = l.node
 """,
     ("lineage_edges", "order_states"),
 )
+ORACLES["actor_exit_fold"] = with_projections(folds.ACTOR_CHECK, ("actor_lifecycle",))
 ORACLES["execute_tasks"] = with_projections(
     """
 SELECT task, cpu, CASE WHEN task % 11 = 0 THEN 'APPLICATION_ERROR' ELSE 'OK' END AS status, CASE WHEN task % 11 <> 0 THEN CAST(cpu * 10 // (task % 11) AS STRING) END AS value,

@@ -100,6 +100,13 @@ FROM {customer} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
 SELECT o_orderkey AS detection, o_custkey AS actor, (o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END) % 4 AS generation,
        o_custkey % 9 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS route_epoch, o_custkey % n.k AS node
 FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n""",
+    # Exits, their repeats and restarts of actors in order; some repeats say something else.
+    "actor_lifecycle": """
+SELECT actor, seq, CASE WHEN r % 3 = 2 THEN 'RESTARTED' ELSE 'EXIT' END AS event, 1000 * actor + life AS detection, life + CASE WHEN seq % 11 = 0 THEN 1 ELSE 0 END AS generation,
+       home + CASE WHEN seq % 5 = 0 AND r % 3 = 1 THEN 1 ELSE 0 END AS node, 2 * life AS route_epoch, seq % 13 <> 0 AS node_alive, actor % 4 AS max_restarts, home
+FROM (SELECT o_custkey AS actor, o_orderkey AS seq, o_custkey % n.k AS home, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) - 1 AS r,
+             CAST(floor((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 3) AS BIGINT) AS life
+      FROM {orders} CROSS JOIN (SELECT count(*) AS k FROM {supplier}) n) t""",
     # Registrations of nodes in epochs; some replay with another process.
     "registrations": """
 SELECT o_custkey % n.k AS node, o_orderkey AS epoch, o_orderkey % 3 AS pid, CASE WHEN o_orderkey % 31 = 0 THEN 'DEATH' ELSE 'REGISTER' END AS action
