@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import mix, set_digest, shingles
-from tidewright.llm._common import materialize, neutral, slices, text_buffer, worker_cache
+from tidewright.llm._common import give_back, materialize, neutral, slices, text_buffer, worker_cache
 from tidewright.llm.components import connected_components
 
 BANDS, BAND_ROWS = 32, 4
@@ -29,7 +29,7 @@ BATCH = 16
 #: Members of a bucket that are compared in one row; larger buckets are compared in cells of two groups of members.
 BLOCK = 256
 #: Members and bytes of shingle sets that a group holds on average.
-GROUP_ROWS, GROUP_BYTES = 2048, 16 << 20
+GROUP_ROWS, GROUP_BYTES = 6144, 24 << 20
 #: Probability at which a pair that reaches the threshold is given up, over all looks at it.
 MISS = 1e-6
 
@@ -221,12 +221,19 @@ class Overlaps:
         sets = [x for g in groups for x in g.sets]
         self.start = {id(g): sum(len(h.sets) for h in groups[:i]) for i, g in enumerate(groups)}
         self.sizes = np.array([len(x) for x in sets], np.int64)
-        values, column, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
-        # What only one set has is in no intersection.
-        shared = np.cumsum(seen > 1) - 1
-        row, kept = np.repeat(np.arange(len(sets)), self.sizes), (seen > 1)[column]
-        row, column = row[kept], shared[column[kept]]
-        width = int((seen > 1).sum())
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(values)
+        values = values[order]
+        new = np.append(True, values[1:] != values[:-1])[: len(values)]
+        del values
+        # What only one set has is in no intersection: columns are the values that come again.
+        again = ~(new & np.append(new[1:], True)[: len(new)])
+        ends = np.cumsum(self.sizes)
+        order = order[again]
+        row = np.searchsorted(ends, order, "right").astype(np.int32)
+        del order
+        column = (np.cumsum(new[again]) - 1).astype(np.int64)
+        width = int(column[-1]) + 1 if len(column) else 0
         step = max(64, MAP_BYTES // max(1, len(sets)) * 8 // 64 * 64)
         self.maps = []
         for low in range(0, width, step):
@@ -260,7 +267,8 @@ def _cells(similarity: float, miss: float):
 
         def links(rows: list[dict]) -> pa.RecordBatch | None:
             number: dict[bytes, int] = {}
-            groups = [Group(r["block"], number) for r in rows]
+            x, y = rows[0]["x"], rows[0]["y"]
+            groups = [Group([r for r in rows if r["member_group"] == g], number) for g in sorted({x, y})]
             a, b = groups[0], groups[-1]
             overlaps, found = None, ([], [])
             for i, j, _ in _candidates(a, b, rows[0]["place"], similarity, steps):
@@ -280,15 +288,18 @@ def _cells(similarity: float, miss: float):
 
         cell, rows = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["band"], row["x"], row["y"])
-                if key != cell:
-                    if len(rows) == 1 + (cell is not None and cell[1] != cell[2]) and (got := links(rows)) is not None:
-                        yield got
-                    cell, rows = key, []
-                rows.append(row)
-        if len(rows) == 1 + (cell is not None and cell[1] != cell[2]) and (got := links(rows)) is not None:
+            for piece in slices([batch], "members", 4 << 20):
+                for row in piece.to_pylist():
+                    key = (row["band"], row["x"], row["y"])
+                    if key != cell:
+                        if rows and (got := links(rows)) is not None:
+                            yield got
+                        cell, rows = key, []
+                    rows.append(row)
+        if rows and (got := links(rows)) is not None:
             yield got
+        del rows
+        give_back()
 
     return run
 
@@ -372,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         # Large buckets are tested in place on full sets, and no row is made for a pair.  Members are dealt to groups by a
         # hash, as many as their number and the bytes of their sets ask for, and a cell is two groups: so a bucket's work is
-        # dealt by cell, whatever its size, and a group is sent once for each other group, as one row.
+        # dealt by cell, whatever its size, and a member is sent once for each group, not for each partner.
         large = spread.filter(F.col("n") > BLOCK)
         wanted = large.select("node").distinct().join(classes.select("node", "rep"), "node")
         texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -380,11 +391,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         load = large.join(sets.select("node", F.length("members").alias("size")), "node").groupBy("band").agg(F.sum("size").alias("bytes"))
         groups = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
         dealt = large.join(load, "band").withColumn("groups", groups).withColumn("member_group", F.pmod(F.xxhash64("node", "band"), F.col("groups")).cast("int"))
-        whole = F.struct("node", "root", "sig", "distance", "members")
-        packed = dealt.join(sets, "node").groupBy("band", "place", "groups", "member_group").agg(F.collect_list(whole).alias("block"))
-        packed = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
-        dealt = packed.select("band", F.least("member_group", "other").alias("x"), F.greatest("member_group", "other").alias("y"), "place", "member_group", "block")
-        dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "member_group")
+        dealt = dealt.join(sets, "node").select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
+        dealt = dealt.select("band", F.least("member_group", "other").alias("x"), F.greatest("member_group", "other").alias("y"), "place", "member_group", "node", "root", "sig", "distance", "members")
+        dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
         direct = materialize(dealt.mapInArrow(_cells(similarity, miss), "u binary, v binary").distinct(), "links-large")
         if not direct.isEmpty():
             links = links.union(direct)
