@@ -358,6 +358,52 @@ def store_fold(ops: DataFrame, capacity: int) -> DataFrame:
     return ordered_fold(ops, "store", ["seq"], start, step, "store bigint, seq bigint, ok boolean, error string, used bigint")
 
 
+LEDGER_CHECK = """
+WITH RECURSIVE ops AS (
+  SELECT o.ledger, o.seq, o.token, o.milli, t.total, CASE WHEN o.pick < 6 THEN 'ALLOCATE' WHEN o.pick < 8 THEN 'RELEASE' WHEN o.pick < 9 THEN 'YIELD_CPU' ELSE 'REACQUIRE_CPU' END AS op,
+         row_number() OVER (PARTITION BY o.ledger ORDER BY o.seq) AS r
+  FROM {ledger_ops} o JOIN {node_resources} t ON t.node = o.ledger AND t.resource = 'CPU'),
+walk AS (
+  SELECT ledger, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST(NULL AS BOOLEAN) AS ok, CAST(NULL AS STRING) AS error, CAST(min(total) AS BIGINT) AS free,
+         CAST([] AS BIGINT[]) AS toks, CAST([] AS BIGINT[]) AS amounts, CAST([] AS VARCHAR[]) AS states FROM ops GROUP BY ledger
+  UNION ALL
+  SELECT ledger, seq, r, error IS NULL AND moves, error,
+         free + CASE WHEN error IS NOT NULL OR NOT moves THEN 0 WHEN op = 'ALLOCATE' THEN CASE WHEN spot = 0 THEN -milli ELSE 0 END WHEN op = 'REACQUIRE_CPU' THEN -amount WHEN op = 'RELEASE' AND state = 'CPU_YIELDED' THEN 0 ELSE amount END,
+         CASE WHEN op = 'ALLOCATE' AND spot = 0 AND error IS NULL THEN list_append(toks, token) ELSE toks END,
+         CASE WHEN op = 'ALLOCATE' AND spot = 0 AND error IS NULL THEN list_append(amounts, milli) ELSE amounts END,
+         CASE WHEN error IS NOT NULL OR NOT moves THEN states WHEN op = 'ALLOCATE' THEN CASE WHEN spot = 0 THEN list_append(states, 'ACTIVE') ELSE states END
+              ELSE list_concat(list_concat(states[1:spot - 1], [CASE op WHEN 'RELEASE' THEN 'RELEASED' WHEN 'YIELD_CPU' THEN 'CPU_YIELDED' ELSE 'ACTIVE' END]), states[spot + 1:]) END
+  FROM (
+    SELECT *, CASE WHEN op = 'RELEASE' THEN state <> 'RELEASED' WHEN op = 'YIELD_CPU' THEN state = 'ACTIVE' WHEN op = 'REACQUIRE_CPU' THEN state = 'CPU_YIELDED' ELSE TRUE END AS moves,
+           CASE WHEN spot = 0 AND op <> 'ALLOCATE' THEN 'UNKNOWN' WHEN op = 'ALLOCATE' AND spot = 0 AND milli > free THEN 'CAPACITY'
+                WHEN op = 'ALLOCATE' AND state = 'RELEASED' THEN 'RELEASED' WHEN op = 'ALLOCATE' AND amount <> milli THEN 'CONFLICT' END AS error
+    FROM (SELECT o.*, w.free, w.toks, w.amounts, w.states, w.spot, w.amounts[nullif(w.spot, 0)] AS amount, w.states[nullif(w.spot, 0)] AS state
+          FROM (SELECT w.*, o2.token AS asked, coalesce(list_position(w.toks, o2.token), 0) AS spot FROM walk w JOIN ops o2 ON o2.ledger = w.ledger AND o2.r = w.r + 1) w
+          JOIN ops o ON o.ledger = w.ledger AND o.r = w.r + 1) y) x)
+SELECT ledger, seq, coalesce(ok, FALSE) AS ok, error, greatest(0, free) AS available, greatest(0, -free) AS debt FROM walk WHERE r > 0
+"""
+
+STORE_CHECK = """
+WITH RECURSIVE ops AS (
+  SELECT ledger AS store, seq, token AS object, milli AS size, ['CREATE', 'CREATE', 'CREATE', 'WRITE', 'WRITE', 'SEAL', 'PIN', 'UNPIN', 'DELETE', 'DELETE'][pick + 1] AS op,
+         row_number() OVER (PARTITION BY ledger ORDER BY seq) AS r FROM {ledger_ops}),
+walk AS (
+  SELECT store, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST(NULL AS STRING) AS error, CAST(0 AS BIGINT) AS used,
+         CAST([] AS STRUCT(object BIGINT, size BIGINT, written BIGINT, sealed BOOLEAN, pins BIGINT)[]) AS held FROM ops GROUP BY store
+  UNION ALL
+  SELECT store, seq, r, error, used + CASE WHEN error IS NOT NULL THEN 0 WHEN op = 'CREATE' THEN size WHEN op = 'DELETE' THEN -item.size ELSE 0 END,
+         CASE WHEN error IS NOT NULL THEN held WHEN op = 'CREATE' THEN list_append(held, {{'object': object, 'size': size, 'written': CAST(0 AS BIGINT), 'sealed': FALSE, 'pins': CAST(0 AS BIGINT)}})
+              WHEN op = 'DELETE' THEN others
+              ELSE list_append(others, {{'object': object, 'size': item.size, 'written': CASE WHEN op = 'WRITE' THEN least(item.size, item.written + size) ELSE item.written END, 'sealed': item.sealed OR op = 'SEAL',
+                                        'pins': CASE WHEN op = 'PIN' THEN item.pins + 1 WHEN op = 'UNPIN' THEN greatest(0, item.pins - 1) ELSE item.pins END}}) END
+  FROM (
+    SELECT *, CASE WHEN op = 'CREATE' THEN CASE WHEN item IS NOT NULL THEN 'EXISTS' WHEN used + size > 20000 THEN 'FULL' END WHEN item IS NULL THEN 'UNKNOWN' WHEN op IN ('WRITE', 'SEAL') AND item.sealed THEN 'SEALED'
+                   WHEN op = 'SEAL' AND item.written < item.size THEN 'INCOMPLETE' WHEN op = 'DELETE' AND item.pins > 0 THEN 'PINNED' END AS error
+    FROM (SELECT o.store, o.seq, o.r, o.op, o.object, o.size, w.used, w.held, list_filter(w.held, lambda h: h.object = o.object)[1] AS item, list_filter(w.held, lambda h: h.object <> o.object) AS others
+          FROM walk w JOIN ops o ON o.store = w.store AND o.r = w.r + 1) y) x)
+SELECT store, seq, error IS NULL AS ok, error, used FROM walk WHERE r > 0
+"""
+
 RESERVATION_CHECK = """
 WITH RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY pg ORDER BY seq) AS r FROM {reservation_ops}),
 walk AS (

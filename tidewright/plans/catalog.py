@@ -211,6 +211,8 @@ FROM levels l JOIN {order_states} o ON o.object = l.node
 """,
     ("lineage_edges", "order_states"),
 )
+ORACLES["ledger_fold"] = with_projections(folds.LEDGER_CHECK, ("ledger_ops", "node_resources"))
+ORACLES["store_fold"] = with_projections(folds.STORE_CHECK, ("ledger_ops",))
 ORACLES["actor_exit_fold"] = with_projections(folds.ACTOR_CHECK, ("actor_lifecycle",))
 ORACLES["execute_tasks"] = with_projections(
     """
