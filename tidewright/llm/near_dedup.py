@@ -333,11 +333,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(base.mapInArrow(_sign(k), "id bigint, n_shingles bigint, node binary, sig binary, bands array<bigint>"), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    members = classes.select(F.posexplode("bands").alias("place", "band"), "node")
+    members = classes.select(F.posexplode("bands").alias("place", "band"), "node", "size")
     leaders = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    sides = materialize(members.join(leaders, "band").select("band", "place", "leader", "node", "n"), "buckets")
+    sides = materialize(members.join(leaders, "band").select("band", "place", "leader", "node", "size", "n"), "buckets")
     sigs = classes.select("node", "sig")
 
     def pruned(pairs: DataFrame, name: str) -> DataFrame:
@@ -373,22 +373,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(verified(more, "links-2"))
         roots = connected_components(links)
 
-    rooted = sides.filter("n > 2").join(roots, "node", "left").select("band", "place", "leader", "node", F.coalesce("root", "node").alias("root"))
+    rooted = sides.filter("n > 2").join(roots, "node", "left").select("band", "place", "leader", "node", "size", F.coalesce("root", "node").alias("root"))
     open_bands = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("band", "n")
     rooted = materialize(rooted.join(open_bands, "band"), "open")
     if not rooted.isEmpty():
         stand = compared(rooted.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "stand")
         stand = stand.select(F.col("u").alias("leader"), F.col("v").alias("node"), (1 - F.col("common") / F.col("union")).alias("distance"))
-        spread = rooted.join(stand, ["leader", "node"], "left").join(sigs, "node").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+        spread = rooted.join(stand, ["leader", "node"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
 
         # Large buckets are tested in place on full sets, and no row is made for a pair.  Members are dealt to groups by a
         # hash, as many as their number and the bytes of their sets ask for, and a cell is two groups: so a bucket's work is
         # dealt by cell, whatever its size, and a member is sent once for each group, not for each partner.
         large = spread.filter(F.col("n") > BLOCK)
-        wanted = large.select("node").distinct().join(classes.select("node", "rep"), "node")
-        texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-        sets = materialize(texts.mapInArrow(_sets(k), "node binary, members binary").dropDuplicates(["node"]), "large-sets")
-        load = large.join(sets.select("node", F.length("members").alias("size")), "node").groupBy("band").agg(F.sum("size").alias("bytes"))
+        wanted = rooted.filter(F.col("n") > BLOCK).select("node").distinct().join(classes.select("node", "rep", "sig"), "node")
+        texts = base.join(wanted.select("node", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+        sets = texts.mapInArrow(_sets(k), "node binary, members binary").dropDuplicates(["node"])
+        sets = materialize(sets.join(wanted.select("node", "sig"), "node"), "large-sets")
+        load = rooted.filter(F.col("n") > BLOCK).groupBy("band").agg(F.sum(8 * F.col("size").cast("bigint")).alias("bytes"))
         groups = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
         dealt = large.join(load, "band").withColumn("groups", groups).withColumn("member_group", F.pmod(F.xxhash64("node", "band"), F.col("groups")).cast("int"))
         dealt = dealt.join(sets, "node").select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
@@ -401,7 +402,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         # Small buckets fit one row, and what their pairs leave is compared by the grid.
         member = F.struct("node", "root", "sig", "distance")
-        pairs = spread.filter(F.col("n") <= BLOCK).groupBy("band", "place").agg(F.collect_list(member).alias("block")).select("place", "block")
+        pairs = spread.filter(F.col("n") <= BLOCK).join(sigs, "node").groupBy("band", "place").agg(F.collect_list(member).alias("block")).select("place", "block")
         ordered = [F.when(F.col("u") < F.col("v"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("u", "v"), ("v", "u"), ("ru", "rv"), ("rv", "ru"))]
         rest = materialize(pairs.mapInArrow(_blocks(similarity, miss), PAIR + ", ru binary, rv binary").select(*ordered, "matches").distinct(), "rest")
         # Two components need one link: the likeliest pair of each two comes first, and the others only where it fails.
