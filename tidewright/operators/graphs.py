@@ -65,16 +65,22 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = out.filter("ways = 1").drop("ways").join(into.filter("ways = 1").drop("ways"), "node").filter("up <> node")
     # least: the smallest node seen on the way; in a pure ring it becomes the ring's name.
     here = materialize(inner.select("node", "up", "down", F.col("node").alias("least")), "chains")
-    total, jumped = here.count(), 1
-    while jumped <= 2 * total:
+    before = -1
+    while True:
         ahead = here.select(F.col("node").alias("d"), F.col("down").alias("dd"), F.col("least").alias("dl"))
         behind = here.select(F.col("node").alias("u"), F.col("up").alias("uu"))
         moved = here.join(ahead, here["down"] == F.col("d"), "left").join(behind, here["up"] == F.col("u"), "left")
-        here = materialize(moved.select("node", F.coalesce("uu", "up").alias("up"), F.coalesce("dd", "down").alias("down"), F.least("least", F.coalesce("dl", "least")).alias("least")), "chains")
-        jumped *= 2
-        if here.join(here.select(F.col("node").alias("down")), "down", "left_semi").isEmpty():
+        least = F.least("least", F.coalesce("dl", "least"))
+        moved = moved.select("node", F.coalesce("uu", "up").alias("up"), F.coalesce("dd", "down").alias("down"), least.alias("least"), F.col("dd").isNotNull().alias("on"), (least < F.col("least")).alias("changed"))
+        moved = materialize(moved, "chains")
+        seen = moved.agg(F.count_if("on").alias("on"), F.count_if("changed").alias("changed")).first()
+        here = moved.select("node", "up", "down", "least")
+        # Jumps double, so while a chain is longer some node of it comes to its end, and while a ring is, some node of it
+        # hears of a smaller one: when neither happens, all chains have ended and all rings know their smallest node.
+        if not seen["on"] or (seen["on"] == before and not seen["changed"]):
             break
-    # What still points at a chain node after that many jumps goes round a pure ring.
+        before = seen["on"]
+    # What still points at a chain node goes round a pure ring.
     names = here.select(F.col("node").alias("down"))
     rings = here.join(names, "down", "left_semi").select("node", F.col("least").alias("ring"))
     return here.join(rings, "node", "left_anti").select("node", "up", "down"), rings
