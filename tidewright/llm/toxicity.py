@@ -9,6 +9,7 @@ its own.  All weights are log odds counted on the training labels.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, field
 
@@ -267,21 +268,33 @@ def choose_terms(rows: list[tuple[str, int, int]], base: float, tried: int) -> l
         if toxic >= 0.3 * (toxic + clean) and chance < bar:
             good.append((round(chance, 6), term, toxic, clean))
     good.sort(key=lambda r: (r[0], -len(r[1]), r[1]))
-    kept: list[tuple[str, int, int]] = []
+    kept: dict[str, tuple[str, int, int]] = {}
+    order: list[str] = []  # the kept terms in the order of text, so that those of one stem stand together
 
     def left_to(stem: tuple[str, int, int], other: tuple[str, int, int]) -> bool:
-        if stem[0].endswith("$") or not other[0].startswith(stem[0]):
-            return False
         return not other[0].endswith("$") or not stem[2] or _tail(other[1], other[1] + other[2], stem[1] / (stem[1] + stem[2])) >= bar
 
     for _, *row in good:
         new = tuple(row)
-        stem = not new[0].endswith("$")
-        covered = any(left_to(k, new) for k in kept)
-        same = stem and any(k.startswith(new[0]) and m >= 0.9 * new[1] for k, m, _ in kept)
-        if not covered and not same:
-            kept = [k for k in kept if not left_to(new, k)] + [new]
-    return [(t.rstrip("$"), not t.endswith("$")) for t, _, _ in kept]
+        term, toxic, _ = new
+        stems = (kept.get(term[:n]) for n in range(1, len(term) + 1))
+        if any(k is not None and not k[0].endswith("$") and left_to(k, new) for k in stems):
+            continue
+        if not term.endswith("$"):
+            first = bisect_left(order, term)
+            last = first
+            while last < len(order) and order[last].startswith(term):
+                last += 1
+            below = order[first:last]
+            if any(kept[k][1] >= 0.9 * toxic for k in below):
+                continue
+            for k in below:
+                if left_to(new, kept[k]):
+                    order.remove(k)
+                    del kept[k]
+        kept[term] = new
+        insort(order, term)
+    return [(t.rstrip("$"), not t.endswith("$")) for t in kept]
 
 
 def _log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> float:
