@@ -155,6 +155,48 @@ def test_many_waiting_calls_need_no_threads(running):
     assert rt.get(ref) == 91
 
 
+def test_failpoints_spend_the_retry_budget(running):
+    add = rt.remote(max_retries=2, failpoint=("system_error", 2))(lambda x: x + 1)
+    assert rt.get(add.remote(1)) == 2
+    with pytest.raises(rt.SystemTaskError):
+        rt.get(add.options(failpoint=("system_error", 3)).remote(1))
+    assert rt.get(add.options(max_retries=1, failpoint=("crash", 1)).remote(4)) == 5
+    with pytest.raises(ValueError):
+        add.options(failpoint=("lightning", 1))
+    assert rt.debug_snapshot()["failed"] == 1
+
+
+def test_loss_of_a_node(running):
+    def nap(s):
+        time.sleep(s)
+        return s
+
+    group = rt.placement_group([{"CPU": 1}, {"CPU": 1}], strategy="STRICT_SPREAD")
+    assert rt.debug_snapshot(group)["strategy"] == "STRICT_SPREAD" and rt.debug_snapshot()["nodes"][1]["free"]["CPU"] == 1000
+    kept, lost = rt.remote(num_cpus=1, max_retries=1)(nap).remote(1.5), rt.remote(num_cpus=1)(nap).remote(1.5)
+    time.sleep(0.3)
+    rt.crash_node(0)
+    # The group went with its node.
+    assert rt.debug_snapshot()["groups"] == [] and rt.debug_snapshot()["nodes"][0]["alive"] is False
+    got = []
+    for ref in (kept, lost):
+        try:
+            got.append(rt.get(ref))
+        except rt.SystemTaskError:
+            got.append(None)
+    assert got[0] == 1.5  # retried on the other node if it ran on the lost one
+    assert rt.debug_snapshot(kept) == {"ready": True, "dropped": False, "stored_bytes": 0, "rebuildable": True}
+    with pytest.raises(rt.RuntimeFailure):
+        rt.remote(num_cpus=3)(nap).remote(0)
+    rt.crash_node(1)
+    with pytest.raises(rt.RuntimeFailure):
+        rt.get(rt.remote(nap).remote(0))
+    with pytest.raises(ValueError):
+        rt.crash_node(1)
+    with pytest.raises(TypeError):
+        rt.debug_snapshot("text")
+
+
 def test_actor(running):
     @rt.remote
     class Counter:
