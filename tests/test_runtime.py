@@ -8,7 +8,7 @@ import pytest
 from tidewright import runtime as rt
 from tidewright.functions import ids
 from tidewright.sources import traces
-from tidewright.streaming.traces import BoundedSink, after_cursor, dedup_stream, mailbox_stream
+from tidewright.streaming.traces import BoundedSink, after_cursor, checked_stream, dedup_stream, mailbox_stream
 
 
 @pytest.fixture
@@ -281,6 +281,14 @@ def test_dedup_stream(spark, tmp_path):
     assert sorted(r["event_id"] for r in got) == ["a", "b", "c"]
 
 
+def test_checked_stream_tells_conflicts(spark, tmp_path):
+    rows = [[("a", 1, "x", None), ("b", 2, "x", None)], [("a", 3, "x", None), ("b", 4, "x", "cause"), ("c", 5, "z", None), ("c", 6, "z", None)]]
+    got = run_stream(spark, tmp_path, rows, "event_id string, arrival bigint, event string, cause_event_id string", lambda d: checked_stream(d, ["event", "cause_event_id"]))
+    assert sorted((r["event_id"], r["arrival"], r["disposition"]) for r in got) == [
+        ("a", 1, "ACCEPTED"), ("a", 3, "DEDUPLICATED"), ("b", 2, "ACCEPTED"), ("b", 4, "CONFLICT"), ("c", 5, "ACCEPTED"), ("c", 6, "DEDUPLICATED"),
+    ]
+
+
 def test_mailbox_stream(spark, tmp_path):
     rows = [[("x", 0, 7, 1, 1), ("x", 0, 7, 0, 2), ("x", 0, 7, 3, 3)], [("x", 0, 7, 2, 4), ("x", 0, 7, 1, 5), ("x", 1, 7, 0, 6)]]
     got = run_stream(spark, tmp_path, rows, "actor string, generation bigint, caller bigint, seq bigint, arrival bigint", mailbox_stream)

@@ -17,6 +17,25 @@ def dedup_stream(events: DataFrame, event_time: str | None = None, delay: str =
     return events.dropDuplicates(["event_id"])
 
 
+def checked_stream(events: DataFrame, content: list[str]) -> DataFrame:
+    """(event_id, arrival, disposition) of every record of a stream: the first of an id is ACCEPTED, others are DEDUPLICATED if
+    all of ``content`` is the same, and a CONFLICT if not.  The state of an id is one digest, kept as long as the stream runs."""
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (first,) = state.get if state.exists else (None,)
+        rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
+        out = []
+        for arrival, got in zip(rows["arrival"], rows["digest"], strict=True):
+            out.append((key[0], int(arrival), "ACCEPTED" if first is None else "DEDUPLICATED" if got == first else "CONFLICT"))
+            first = first or got
+        state.update((first,))
+        yield pd.DataFrame(out, columns=["event_id", "arrival", "disposition"])
+
+    plain = events.select("event_id", F.col("arrival").cast("bigint").alias("arrival"), digest.alias("digest"))
+    return plain.groupBy("event_id").applyInPandasWithState(run, "event_id string, arrival bigint, disposition string", "first string", "append", GroupStateTimeout.NoTimeout)
+
+
 def after_cursor(deaths: DataFrame, cursor: int) -> DataFrame:
     """The suffix of a death log after a cursor; a cursor beyond the head is an error for a batch."""
     if not deaths.isStreaming:
