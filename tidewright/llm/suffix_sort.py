@@ -205,7 +205,7 @@ class Sorter:
     Reduced strings of at most ``names`` names are sorted in memory (about 60 bytes each), longer ones as a text again.
     """
 
-    def __init__(self, text: np.ndarray, depth: int, store: Store, names: int = 1 << 20):
+    def __init__(self, text: np.ndarray, depth: int, store: Store, names: int = 1 << 21):
         self.text, self.depth, self.n, self.store, self.names, self.level = text, depth, len(text), store, names, 0
         self.size = max(int(text[a : a + BATCH].max()) for a in range(0, self.n, BATCH)) + 1
         self._classify()
@@ -501,7 +501,7 @@ class Sorter:
         self.store.free(self.rising, self.stars)
 
 
-def repeated(text: np.ndarray, depth: int, store: Store, names: int = 1 << 20) -> np.ndarray:
+def repeated(text: np.ndarray, depth: int, store: Store, names: int = 1 << 21) -> np.ndarray:
     """Which positions of ``text`` share at least ``depth`` characters with another one."""
     out = store.array(len(text), np.uint8)
     sorter = Sorter(text, depth, store, names)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import shingles
-from tidewright.llm._common import materialize, slices, text_buffer, worker_cache
+from tidewright.llm._common import give_back, materialize, slices, text_buffer, worker_cache
 
 #: Labelled rows that lexicon and weights are fitted on at most.
 LABELLED = 20_000
@@ -226,6 +226,7 @@ def _toxic_candidates():
                 cluster = int(values[bounds[i]] >> 1) if bounds[i + 1] > bounds[i] else 0
                 terms = sorted(_candidates(text))
                 yield pa.record_batch({"term": pa.array(terms, pa.string()), "cluster": pa.array([cluster] * len(terms), pa.int64())})
+        give_back()
 
     return run
 
@@ -239,6 +240,7 @@ def _count_terms(terms):
                 for term in _candidates(text) & wanted:
                     counts[term] = counts.get(term, 0) + 1
         yield pa.record_batch({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        give_back()
 
     return run
 
@@ -347,6 +349,7 @@ def _hits(automaton):
                 for code in codes:
                     counts[code, y] = counts.get((code, y), 0) + 1
         yield pa.record_batch({"code": pa.array([c for c, _ in counts], pa.int32()), "y": pa.array([y for _, y in counts], pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+        give_back()
 
     return run
 
@@ -399,6 +402,7 @@ def _score(model):
                 scores.append(round(1 / (1 + math.exp(-logit)), 9))
                 spotted.append(sorted({m.terms[c // 8][0] for c in codes}))
             yield pa.record_batch({"id": batch.column("id"), "score": pa.array(scores, pa.float64()), "terms": pa.array(spotted, pa.list_(pa.string()))})
+        give_back()
 
     return run
 
