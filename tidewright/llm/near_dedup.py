@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import mix, set_digest, shingles
-from tidewright.llm._common import give_back, materialize, neutral, slices, text_buffer, worker_cache
+from tidewright.llm._common import discard, give_back, materialize, neutral, slices, text_buffer, worker_cache
 from tidewright.llm.components import connected_components
 
 BANDS, BAND_ROWS = 32, 4
@@ -355,7 +355,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = [grid.select(F.col("cell").alias("part"), F.col(c).alias("node")).distinct() for c in ("u", "v")]
         full = ends[0].union(ends[1]).distinct().join(sets, "node").select("part", "node", "members")
         found = grid.groupBy("cell").cogroup(full.groupBy("part")).applyInArrow(_compare, "u binary, v binary, common bigint, union bigint")
-        return materialize(found, name)
+        found = materialize(found, name)
+        discard(sets)
+        return found
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         return compared(pairs, name).filter(F.col("common") * 100 >= F.col("union") * round(similarity * 100)).select("u", "v")
@@ -396,6 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = dealt.select("band", F.least("member_group", "other").alias("x"), F.greatest("member_group", "other").alias("y"), "place", "member_group", "node", "root", "sig", "distance", "members")
         dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
         direct = materialize(dealt.mapInArrow(_cells(similarity, miss), "u binary, v binary").distinct(), "links-large")
+        discard(sets)
         if not direct.isEmpty():
             links = links.union(direct)
             roots = connected_components(links)
