@@ -83,6 +83,9 @@ def give_back() -> None:
     import ctypes
     import gc
 
+    holder = sys.modules.get("_tidewright_worker_cache")
+    if holder is not None:
+        holder.__dict__.pop("powers", None)  # tables as long as the longest text; quickly made again
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import materialize, neutral
+from tidewright.llm._common import give_back, materialize, neutral
 
 RUN = "digest binary, keep_id bigint, n_keep bigint, group_size bigint, dest int"
 RUN_SCHEMA = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("group_size", pa.int64())])
@@ -69,6 +69,7 @@ def _merge(level: int, rounds: int, fan_in: int):
                 yield from sent(table.slice(0, table.num_rows - 1))
         if carry is not None:
             yield from sent(carry)
+        give_back()
 
     return run
 

@@ -111,6 +111,7 @@ def _sign(k: int):
                     "bands": pa.ListArray.from_arrays(np.arange(0, (len(sigs) + 1) * BANDS, BANDS, dtype=np.int32), keys.ravel()),
                 }
             )
+        give_back()
 
     return run
 
@@ -126,6 +127,7 @@ def _sets(k: int):
             nodes = batch.column("node").to_pylist()
             good = [i for i, n in enumerate(nodes) if n == digest[i]]
             yield pa.record_batch({"node": pa.array([nodes[i] for i in good], pa.binary()), "members": pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in good], pa.binary())})
+        give_back()
 
     return run
 
@@ -147,6 +149,7 @@ def _prune(similarity: float, miss: float):
                 matches[alive] += (a[alive, done:upto] == b[alive, done:upto]).sum(1)
                 alive, done = alive[matches[alive] >= least], upto
             yield pa.record_batch({"u": batch.column("u").take(pa.array(alive)), "v": batch.column("v").take(pa.array(alive)), "matches": pa.array(matches[alive])})
+        give_back()
 
     return run
 
@@ -204,6 +207,7 @@ def _blocks(similarity: float, miss: float):
                     if len(i):
                         ends = [([c[x] for x in i], [c[x] for x in j]) for c in (group.nodes, group.names)]
                         yield pa.record_batch({"u": pa.array(ends[0][0], pa.binary()), "v": pa.array(ends[0][1], pa.binary()), "matches": pa.array(matches), "ru": pa.array(ends[1][0], pa.binary()), "rv": pa.array(ends[1][1], pa.binary())})
+        give_back()
 
     return run
 

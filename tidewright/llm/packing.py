@@ -23,7 +23,7 @@ from tidewright.llm._common import give_back, materialize, slices, worker_cache
 
 CAPACITY = 2048
 #: Bytes of text that are encoded at once, entries of a worker's two caches (about 40 bytes each), and their longest key (bytes).
-BATCH_BYTES, CACHE_ENTRIES, CACHE_LONGEST = 4 << 20, 300_000, 100
+BATCH_BYTES, CACHE_ENTRIES, CACHE_LONGEST = 3 << 20, 250_000, 100
 #: Words that go to the library in one call.
 AT_ONCE = 8192
 #: Separators that str.split() cuts at and the tokenizer doesn't.
@@ -415,6 +415,7 @@ def _place(slots: dict[str, list[int]]):
             columns["sequence_id"] = pa.array(table["sequence"][at] + inside // table["each"][at])
             columns["offset"] = pa.array(table["offset"][at] + inside % table["each"][at] * length)
             yield pa.record_batch(columns)
+        give_back()
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._bytehash import words
-from tidewright.llm._common import materialize, neutral, slices, text_buffer, worker_cache
+from tidewright.llm._common import give_back, materialize, neutral, slices, text_buffer, worker_cache
 
 #: Hash buckets of each kind of n-gram.
 BUCKETS = 1 << 16
@@ -72,6 +72,7 @@ def _count():
         raw, target = raw[:, :BUCKETS].ravel(), target[:, :BUCKETS].ravel()
         used = np.flatnonzero(raw)
         yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
+        give_back()
 
     return run
 
@@ -91,6 +92,7 @@ def _weigh(table):
                     weight[full] += np.add.reduceat(ratio[kind][grams], bounds[full])
                     count[full] += np.add.reduceat((grams < BUCKETS).astype(np.int64), bounds[full])
             yield pa.record_batch({"id": batch.column("id"), "text_key": batch.column("text_key"), "n_grams": pa.array(count), "log_weight": pa.array(np.round(weight, 6))})
+        give_back()
 
     return run
 
